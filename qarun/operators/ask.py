@@ -1,0 +1,111 @@
+"""Sessions and asking: run a caller's responder over a table of questions."""
+
+from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
+from datetime import UTC, datetime
+from functools import partial
+
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from qarun.schema import ASK, ERROR, OK, START_SESSION
+
+OUTCOME = T.StructType(
+    [
+        T.StructField("session_id", T.StringType()),
+        T.StructField("ts", T.TimestampType()),
+        T.StructField("status", T.StringType()),
+        T.StructField("phase", T.StringType()),
+        T.StructField("response", T.StringType()),
+    ]
+)
+OUTCOME_ARROW = pa.schema(
+    [
+        ("session_id", pa.string()),
+        ("ts", pa.timestamp("us", tz="UTC")),
+        ("status", pa.string()),
+        ("phase", pa.string()),
+        ("response", pa.string()),
+    ]
+)
+
+
+def with_session(df: DataFrame, run_id: str) -> DataFrame:
+    """Add ``session_id``: one key per row, the same each time the plan runs."""
+    return df.withColumn("session_id", F.concat_ws("-", F.lit(run_id), F.col("row_index")))
+
+
+def _ask_one(
+    session_id: str | None,
+    question: str | None,
+    responder: Callable[[str, str], str],
+    open_session: Callable[[], str] | None,
+) -> dict:
+    phase, status, response = START_SESSION, ERROR, None
+    try:
+        if open_session is not None:
+            session_id = None
+            session_id = str(open_session())
+        phase = ASK
+        answer = responder(session_id, question)
+        response = None if answer is None else str(answer)
+        status = OK
+    except Exception:  # a bad row becomes an error record
+        pass
+    return {
+        "session_id": session_id,
+        "ts": datetime.now(UTC),
+        "status": status,
+        "phase": phase,
+        "response": response,
+    }
+
+
+def ask(
+    df: DataFrame,
+    responder: Callable[[str, str], str],
+    open_session: Callable[[], str] | None = None,
+    parallelism: int | None = None,
+    concurrency: int = 1,
+) -> DataFrame:
+    """Add ``session_id, ts, status, phase, response`` to a table with ``question``.
+
+    ``responder(session_id, question)`` is called once per row on the executors; when
+    ``open_session`` is given it is called first and its key replaces ``session_id``.
+    A row whose call raises becomes an ``error`` record and does not stop the job.
+
+    ``parallelism`` is the number of tasks (default: the cores of the cluster) and
+    ``concurrency`` the number of calls a task has under way at a time; more than one
+    needs a responder that is safe to call from several threads.
+
+    Spark may run a task again, so a responder can see a question twice. Keep
+    speculation off, write the result once, and report on what was written.
+    """
+    if open_session is None and "session_id" not in df.columns:
+        raise ValueError("ask needs a session_id column or open_session")
+    if open_session is not None and "session_id" not in df.columns:
+        df = df.withColumn("session_id", F.lit(None).cast("string"))
+    kept = [name for name in df.columns if name not in OUTCOME.names]
+    schema = T.StructType([*[df.schema[name] for name in kept], *OUTCOME.fields])
+    one = partial(_ask_one, responder=responder, open_session=open_session)
+
+    def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        with ThreadPoolExecutor(concurrency) as pool:
+            for batch in batches:
+                sessions = batch.column("session_id").to_pylist()
+                questions = batch.column("question").to_pylist()
+                outcomes = pa.RecordBatch.from_pylist(
+                    list(pool.map(one, sessions, questions)), schema=OUTCOME_ARROW
+                )
+                names = [*kept, *OUTCOME_ARROW.names]
+                columns = [batch.column(name) for name in kept] + outcomes.columns
+                yield pa.RecordBatch.from_arrays(columns, names=names)
+
+    # By row_index the spread is even and the same each time a task is run again.
+    tasks = parallelism or df.sparkSession.sparkContext.defaultParallelism
+    keys = ["row_index"] if "row_index" in df.columns else []
+    return (
+        df.select(*kept, "session_id").repartition(tasks, *keys).mapInArrow(answer, schema)
+    )

@@ -1,0 +1,59 @@
+"""Time gaps between the records of a run."""
+
+from datetime import timedelta
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from qarun.scratch import written
+
+SLOTS_PER_BLOCK = 4096
+
+
+def _micros(ts: str) -> Column:
+    return F.unix_micros(F.col(ts).cast("timestamp"))
+
+
+def gaps(
+    log: DataFrame, run: str, threshold: timedelta, ts: str = "ts", order: str = "row_index"
+) -> DataFrame:
+    """Records that came more than ``threshold`` after the one before them in their run.
+
+    Gives ``run, order, prev_ts, ts, gap_micros``; records with equal ``ts`` are taken
+    in the order of ``order``, and records without ``ts`` are left out.
+
+    Two records in one slot of ``threshold`` length are never further apart than the
+    threshold. So a slot is folded into its first and last record before any shuffle,
+    and only slots, which are written once, are put in order. A run with many slots is
+    worked on in blocks.
+    """
+    if threshold < timedelta(0):
+        raise ValueError("threshold must not be negative")
+    limit = threshold // timedelta(microseconds=1)
+    width = max(limit, 1)
+
+    slot = _micros(ts) - F.pmod(_micros(ts), F.lit(width))
+    block = F.col("_slot") - F.pmod(F.col("_slot"), F.lit(width * SLOTS_PER_BLOCK))
+    slots = written(
+        log.filter(F.col(ts).isNotNull())
+        .select(F.struct(run).alias("_run"), slot.alias("_slot"), ts, order)
+        .groupBy("_run", "_slot")
+        .agg(F.min(F.struct(ts, order)).alias("_first"), F.max(ts).alias("_last"))
+        .withColumn("_block", block),
+        "gap-slots",
+    )
+
+    by_block = Window.partitionBy("_run").orderBy("_block")
+    block_ends = slots.groupBy("_run", "_block").agg(F.max("_last").alias("_end"))
+    before = block_ends.select("_run", "_block", F.lag("_end").over(by_block).alias("_before"))
+
+    in_block = Window.partitionBy("_run", "_block").orderBy("_slot")
+    prev = F.coalesce(F.lag("_last").over(in_block), F.col("_before"))
+    return (
+        slots.join(before, ["_run", "_block"])
+        .withColumn("prev_ts", prev)
+        .select(f"_run.{run}", f"_first.{order}", "prev_ts", f"_first.{ts}")
+        .withColumn("gap_micros", _micros(ts) - _micros("prev_ts"))
+        .filter(F.col("gap_micros") > limit)
+    )

@@ -1,0 +1,46 @@
+"""Every registered query against its SQL in DuckDB, values included."""
+
+import datetime
+import os
+
+import duckdb
+import pytest
+
+import __spark_entry__ as contract
+
+SF_DIR = os.environ.get("ORACLE_SF_DIR", "/root/testdata/sf0.01")
+TABLES = ("conversations", "benchmark", "events")
+
+pytestmark = pytest.mark.skipif(not os.path.isdir(SF_DIR), reason="no test tables here")
+
+
+@pytest.fixture(scope="module")
+def duck():
+    connection = duckdb.connect()
+    for name in TABLES:
+        connection.execute(f"CREATE VIEW {name} AS FROM '{SF_DIR}/{name}.parquet'")
+    return connection
+
+
+def by_name(names, rows):
+    """Rows with their values in column-name order, sorted."""
+    places = sorted(range(len(names)), key=names.__getitem__)
+    return sorted(([row[i] for i in places] for row in rows), key=repr)
+
+
+def test_every_query_has_sql():
+    assert contract.queries().keys() == contract.oracle_sql().keys()
+
+
+@pytest.mark.parametrize("name", contract.queries())
+def test_same_rows(spark, duck, name):
+    ours = contract.queries()[name](spark, SF_DIR)
+    theirs = duck.execute(contract.oracle_sql()[name])
+    columns = [column[0] for column in theirs.description]
+    expected = theirs.fetchall()
+    assert sorted(ours.columns) == sorted(columns)
+    assert expected
+    assert not any(
+        isinstance(v, datetime.datetime) and v.tzinfo for row in expected for v in row
+    )
+    assert by_name(ours.columns, ours.collect()) == by_name(columns, expected)
