@@ -1,5 +1,5 @@
-from qarun.operators.ask import ask, with_session
-from qarun.operators.gaps import gaps
+from qarun.operators.asking import ask, with_session
+from qarun.operators.timing import gaps
 from qarun.operators.index import with_row_index
 from qarun.operators.pairs import pair_turns
 from qarun.operators.records import to_record

@@ -19,11 +19,12 @@ from qarun.scratch import written
 MAX_BROADCAST_BLOCKS = 200_000
 
 
-def running_start(counts: DataFrame, key: str) -> DataFrame:
+def running_start(counts: DataFrame, key: str, broadcast_rows: int = 0) -> DataFrame:
     """Add ``_start``: the sum of ``_n`` over all smaller keys; keys are unique.
 
     The counts are sorted once and kept together with the number of the sorted
-    part, so parts can be summed side by side and every later read agrees.
+    part, so parts can be summed side by side and every later read agrees. Up to
+    ``broadcast_rows`` counts the result is marked for broadcast.
     """
     parts = written(
         counts.orderBy(key).withColumn("_part", F.spark_partition_id()), "bucket-counts"
@@ -37,11 +38,14 @@ def running_start(counts: DataFrame, key: str) -> DataFrame:
         Window.partitionBy("_part").orderBy(key).rowsBetween(Window.unboundedPreceding, -1)
     )
     start = F.coalesce("_base", F.lit(0)) + F.coalesce(F.sum("_n").over(earlier_keys), F.lit(0))
-    return (
+    starts = (
         parts.join(F.broadcast(bases), "_part")
         .withColumn("_start", start)
         .drop("_part", "_base", "_n")
     )
+    if broadcast_rows and parts.count() <= broadcast_rows:
+        return F.broadcast(starts)
+    return starts
 
 
 def _by_key(df: DataFrame, order: Sequence[str], bucket: str) -> DataFrame:
@@ -66,15 +70,11 @@ def _by_file(df: DataFrame) -> DataFrame:
         ),
         "numbered-rows",
     )
-    blocks = written(
-        rows.groupBy("_block").agg(F.count(F.lit(1)).alias("_n"), F.min("_id").alias("_first")),
-        "file-blocks",
+    blocks = rows.groupBy("_block").agg(
+        F.count(F.lit(1)).alias("_n"), F.min("_id").alias("_first")
     )
-    starts = running_start(blocks, "_block")
-    if blocks.count() <= MAX_BROADCAST_BLOCKS:
-        starts = F.broadcast(starts)
     return (
-        rows.join(starts, "_block")
+        rows.join(running_start(blocks, "_block", MAX_BROADCAST_BLOCKS), "_block")
         .withColumn("row_index", F.col("_start") + F.col("_id") - F.col("_first"))
         .drop("_block", "_id", "_first", "_start")
     )

@@ -1,3 +1,3 @@
-from qarun.streaming.progress import progress, progress_counts, read_log_stream
+from qarun.streaming.counts import progress, progress_counts, read_log_stream
 
 __all__ = ["progress", "progress_counts", "read_log_stream"]

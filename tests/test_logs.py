@@ -1,0 +1,114 @@
+"""Record shape, log sink and log scan."""
+
+import datetime
+import json
+import pathlib
+
+import pytest
+from pyspark.sql import functions as F
+
+from qarun.operators import errors, summary, to_record
+from qarun.schema import RECORD_FIELDS
+from qarun.sources import intact, read_log, with_run, write_log
+
+LINE = (
+    '{"ts":"2025-01-23T10:30:45Z","row_index":0,"status":"ok","phase":"ask",'
+    '"question":"What is the capital of France?","response":"The capital of France is Paris."}'
+)
+
+
+def lines(path):
+    return [
+        line
+        for part in sorted(pathlib.Path(path).glob("part-*"))
+        for line in part.read_text(encoding="utf-8").splitlines()
+    ]
+
+
+def record(spark):
+    return spark.createDataFrame(
+        [(0, "2025-01-23 10:30:45.987", "ok", "ask", "What is the capital of France?")],
+        "row_index int, ts string, status string, phase string, question string",
+    ).select("*", F.lit("The capital of France is Paris.").alias("response"), F.lit("s").alias("session_id"))
+
+
+def test_record_has_six_fields_and_whole_seconds(spark):
+    df = to_record(record(spark))
+    assert tuple(df.columns) == RECORD_FIELDS
+    assert dict(df.dtypes)["ts"] == "timestamp" and dict(df.dtypes)["row_index"] == "bigint"
+    assert df.select(F.date_format("ts", "HH:mm:ss.SSS")).first()[0] == "10:30:45.000"
+
+
+@pytest.mark.parametrize("zone", ["UTC", "America/New_York", "Asia/Kolkata"])
+def test_documented_line_in_any_session_zone(spark, tmp_path, zone):
+    spark.conf.set("spark.sql.session.timeZone", zone)
+    try:
+        df = spark.createDataFrame([(1737628245,)], "s long").select(
+            F.timestamp_seconds("s").alias("ts"),
+            F.lit(0).alias("row_index"),
+            F.lit("ok").alias("status"),
+            F.lit("ask").alias("phase"),
+            F.lit("What is the capital of France?").alias("question"),
+            F.lit("The capital of France is Paris.").alias("response"),
+        )
+        path = str(tmp_path / "log")
+        write_log(to_record(df), path)
+        assert lines(path) == [LINE]
+        back = intact(read_log(spark, path))
+        assert back.select(F.unix_seconds("ts")).first()[0] == 1737628245
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+
+
+def test_null_response_is_written(spark, tmp_path):
+    path = str(tmp_path / "log")
+    write_log(to_record(record(spark).withColumn("response", F.lit(None))), path)
+    [line] = lines(path)
+    assert json.loads(line)["response"] is None and list(json.loads(line)) == list(RECORD_FIELDS)
+
+
+def test_round_trip(spark, tmp_path):
+    rows = [
+        (datetime.datetime(2025, 1, 1, 0, 0, i), i, "ok", "ask", q, r)
+        for i, (q, r) in enumerate(
+            [("a", "b"), (None, None), ("new\nline", 'quo"te'), ("  sp ", ""), ("ünï ", " ")]
+        )
+    ]
+    names = "ts timestamp, row_index long, status string, phase string, question string, response string"
+    df = to_record(spark.createDataFrame(rows, names))
+    path = str(tmp_path / "log")
+    write_log(df.repartition(3), path)
+    assert len(list(pathlib.Path(path).glob("part-*"))) > 1
+    assert sorted(map(tuple, intact(read_log(spark, path)).collect())) == rows
+
+
+def test_write_does_not_overwrite_by_default(spark, tmp_path):
+    path = str(tmp_path / "log")
+    write_log(to_record(record(spark)), path)
+    with pytest.raises(Exception, match="ALREADY_EXISTS|already exists"):
+        write_log(to_record(record(spark)), path)
+    write_log(to_record(record(spark)), path, mode="append")
+    assert read_log(spark, path).count() == 2
+
+
+@pytest.mark.parametrize("cut", [1, 30, 60, len(LINE) - 1])
+def test_cut_off_last_line(spark, tmp_path, cut):
+    second = LINE.replace('"row_index":0', '"row_index":1')
+    (tmp_path / "log.jsonl").write_text(LINE + "\n" + second + "\n" + LINE[:cut])
+    log = read_log(spark, str(tmp_path / "log.jsonl"))
+    rows = log.orderBy("row_index").collect()
+    assert [r._corrupt for r in rows if r._corrupt is not None] == [LINE[:cut]]
+    whole = intact(log)
+    assert tuple(whole.columns) == RECORD_FIELDS
+    assert whole.count() == 2
+    assert errors(whole).count() == 0
+    assert [tuple(r) for r in summary(whole).collect()] == [("ok", "ask", 2)]
+
+
+def test_many_logs_and_their_runs(spark, tmp_path):
+    for run in ("monday", "tuesday"):
+        write_log(to_record(record(spark)), str(tmp_path / run))
+    log = read_log(spark, [str(tmp_path / "monday"), str(tmp_path / "tuesday")])
+    runs = sorted(r.run.rsplit("/", 1)[1] for r in with_run(log).collect())
+    assert runs == ["monday", "tuesday"]
+    assert sorted(r.n for r in with_run(log).groupBy("run").agg(F.count("*").alias("n")).collect()) == [1, 1]

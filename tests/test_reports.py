@@ -1,0 +1,100 @@
+"""Reports on a log, and their shape when one key holds most rows."""
+
+import pytest
+from pyspark.sql import functions as F
+
+from qarun.operators import empty_responses, errors, shared_sessions, summary, unanswered, view
+
+SCHEMA = "row_index long, status string, phase string, question string, response string"
+
+
+def log(spark, *rows):
+    return spark.createDataFrame(list(rows), SCHEMA)
+
+
+@pytest.fixture(scope="module")
+def mixed(spark):
+    return log(
+        spark,
+        (3, "error", "start_session", "d", None),
+        (0, "ok", "ask", "a", "A"),
+        (2, None, "ask", "c", "C"),
+        (1, "ok", "ask", "b", ""),
+        (4, "OK", "ask", "e", "E"),
+    )
+
+
+def test_view(mixed):
+    rows = [tuple(r) for r in view(mixed).collect()]
+    assert rows == [(0, "a", "A"), (1, "b", ""), (2, "c", "C"), (3, "d", None), (4, "e", "E")]
+    assert [tuple(r) for r in view(mixed, 2).collect()] == rows[:2]
+    assert view(mixed, 0).count() == 0
+
+
+def test_view_of_the_first_rows_is_a_top_n(mixed):
+    plan = view(mixed, 2)._jdf.queryExecution().executedPlan().toString()
+    assert "TakeOrderedAndProject" in plan
+
+
+def test_errors(mixed):
+    assert sorted(r.row_index for r in errors(mixed).collect()) == [2, 3, 4]
+
+
+def test_empty_responses(spark):
+    values = [None, "", "   ", "\t\n", " \u00a0", "x", " x\n\n", "\n"]
+    df = log(spark, *[(i, "ok", "ask", "q", v) for i, v in enumerate(values)])
+    assert sorted(r.row_index for r in empty_responses(df).collect()) == [0, 1, 2, 3, 7]
+    assert "status" in empty_responses(df).columns
+
+
+def test_summary(mixed):
+    assert {tuple(r) for r in summary(mixed).collect()} == {
+        ("error", "start_session", 1),
+        ("ok", "ask", 2),
+        (None, "ask", 1),
+        ("OK", "ask", 1),
+    }
+
+
+def test_shared_sessions(spark):
+    rows = [("s1", "a"), ("s1", "b"), ("s2", "c"), ("s3", None), ("s3", "d"), (None, "e"), (None, "f")]
+    df = spark.createDataFrame(rows, "session_id string, question string")
+    assert {tuple(r) for r in shared_sessions(df).collect()} == {("s1", 2), ("s3", 2)}
+    assert {tuple(r) for r in shared_sessions(df, question="question").collect()} == {("s1", 2)}
+
+
+def test_unanswered(spark):
+    questions = spark.createDataFrame(
+        [(0, "a"), (1, "b"), (2, "b"), (None, "c")], "row_index long, question string"
+    )
+    seen = log(spark, (1, "ok", "ask", "b", "B"), (1, "ok", "ask", "b", "B"), (None, "ok", "ask", "z", "Z"))
+    left = unanswered(questions, seen, "row_index")
+    assert left.columns == ["row_index", "question"]
+    assert sorted(r.question for r in left.collect()) == ["a", "b", "c"]
+    assert sorted(r.question for r in unanswered(questions, seen, ["question"]).collect()) == ["a", "c"]
+
+
+def test_unanswered_splits_a_hot_question(spark):
+    """One text asked by a third of the rows, and repeated as often in the log."""
+    n = 60_000
+    hot = F.when(F.col("id") % 3 == 0, F.lit("hot")).otherwise(F.concat(F.lit("q"), "id"))
+    padding = F.sha2(F.col("id").cast("string"), 512)
+    questions = spark.range(0, n, 1, 16).select("id", hot.alias("question"), padding.alias("pad"))
+    answered = questions.filter("id % 3 = 0 or id % 2 = 0").select("question")
+    settings = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "200k",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "100k",
+    }
+    for key, value in settings.items():
+        spark.conf.set(key, value)
+    try:
+        left = unanswered(questions, answered, "question")
+        assert left.count() == sum(1 for i in range(n) if i % 3 and i % 2)
+        left.collect()
+        plan = left._jdf.queryExecution().executedPlan().toString()
+        assert "skewed" in plan.split("== Initial Plan ==")[0]
+    finally:
+        for key in settings:
+            spark.conf.unset(key)

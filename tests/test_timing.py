@@ -1,0 +1,92 @@
+"""Record gaps against a walk over the sorted records."""
+
+import datetime
+import random
+
+import pytest
+from pyspark.sql import functions as F
+
+from qarun.operators import gaps
+from qarun.operators import timing
+
+START = datetime.datetime(2024, 5, 1)
+SCHEMA = "run string, row_index long, ts timestamp"
+
+
+def walk(rows, threshold):
+    found, last = [], {}
+    timed = [r for r in rows if r[2] is not None]
+    for run, index, ts in sorted(timed, key=lambda r: (r[0] or "", r[2], r[1])):
+        if run in last and ts - last[run] > threshold:
+            gap = (ts - last[run]) // datetime.timedelta(microseconds=1)
+            found.append((run, index, last[run], ts, gap))
+        last[run] = ts
+    return sorted(found, key=repr)
+
+
+def made_log(seed, n=700, step=1):
+    rng = random.Random(seed)
+    rows = []
+    for i in range(n):
+        run = rng.choice(["hot", "hot", "hot", "a", "b", None])
+        offset = rng.randrange(0, 4000) * step
+        rows.append((run, i, START + datetime.timedelta(seconds=offset)))
+    rows += [("hot", n + i, START) for i in range(50)]
+    rows += [("a", n + 60, START - datetime.timedelta(days=20_000)), ("a", n + 61, None)]
+    return rows
+
+
+@pytest.mark.parametrize("slots_per_block", [1, 3, 4096])
+@pytest.mark.parametrize(
+    "threshold",
+    [
+        datetime.timedelta(0),
+        datetime.timedelta(microseconds=1),
+        datetime.timedelta(seconds=7),
+        datetime.timedelta(minutes=3),
+        datetime.timedelta(days=3),
+    ],
+)
+def test_same_gaps_as_a_walk(spark, monkeypatch, slots_per_block, threshold):
+    monkeypatch.setattr(timing, "SLOTS_PER_BLOCK", slots_per_block)
+    rows = made_log(slots_per_block)
+    got = gaps(spark.createDataFrame(rows, SCHEMA).repartition(5), "run", threshold)
+    assert got.columns == ["run", "row_index", "prev_ts", "ts", "gap_micros"]
+    assert sorted(map(tuple, got.collect()), key=repr) == walk(rows, threshold)
+
+
+def test_stuck_run(spark):
+    rows = [("r", i, START + datetime.timedelta(minutes=m)) for i, m in enumerate((0, 1, 30))]
+    [row] = gaps(spark.createDataFrame(rows, SCHEMA), "run", datetime.timedelta(minutes=10)).collect()
+    assert (row.row_index, row.gap_micros) == (2, 29 * 60 * 10**6)
+
+
+def test_equal_to_the_threshold_is_no_gap(spark):
+    rows = [("r", i, START + datetime.timedelta(minutes=10 * i)) for i in range(3)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    assert gaps(df, "run", datetime.timedelta(minutes=10)).count() == 0
+    assert gaps(df, "run", datetime.timedelta(minutes=10, microseconds=-1)).count() == 2
+
+
+def test_negative_threshold_is_refused(spark):
+    with pytest.raises(ValueError):
+        gaps(spark.createDataFrame([], SCHEMA), "run", datetime.timedelta(-1))
+
+
+def test_no_window_over_single_records(spark, monkeypatch):
+    """A hot run reaches the windows as slots, however many records it has."""
+    seen = {}
+
+    def kept(df, name):
+        seen[name] = df
+        return written(df, name)
+
+    written = timing.written
+    monkeypatch.setattr(timing, "written", kept)
+    df = spark.range(50_000).select(
+        F.lit("hot").alias("run"),
+        F.col("id").alias("row_index"),
+        F.timestamp_micros(F.col("id") * 1000).alias("ts"),
+    )
+    assert gaps(df, "run", datetime.timedelta(seconds=10)).count() == 0
+    assert seen["gap-slots"].count() == 5
