@@ -1,17 +1,3 @@
-from qarun.functions.columns import (
-    ORDER_BUCKET_BITS,
-    is_blank,
-    is_ok,
-    key_struct,
-    long_bucket,
-    order_bucket,
-)
+from qarun.functions.columns import ORDER_BUCKET_BITS, is_blank, is_ok, long_bucket
 
-__all__ = [
-    "ORDER_BUCKET_BITS",
-    "is_blank",
-    "is_ok",
-    "key_struct",
-    "long_bucket",
-    "order_bucket",
-]
+__all__ = ["ORDER_BUCKET_BITS", "is_blank", "is_ok", "long_bucket"]

@@ -1,10 +1,7 @@
 """Column expressions shared by the operators."""
 
-from collections.abc import Sequence
-
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from qarun.schema import OK
 
@@ -26,33 +23,3 @@ def is_blank(text: Column) -> Column:
 def long_bucket(number: Column, bits: int = ORDER_BUCKET_BITS) -> Column:
     """Bucket of 2**bits neighbouring integers, rounded down; keeps their order."""
     return F.shiftright(number.cast("bigint"), bits)
-
-
-def order_bucket(df: DataFrame, order: Sequence[str], bits: int = ORDER_BUCKET_BITS) -> Column:
-    """A struct that sorts like ``order`` but groups neighbouring rows.
-
-    All order columns but the last are kept as they are, so that one hot value in
-    them is spread over the buckets of the last. A last column that is not an
-    integer is kept too: then every key is a bucket of its own.
-    """
-    *head, last = order
-    last_type = df.schema[last].dataType
-    if isinstance(last_type, T.IntegralType):
-        return key_struct(df, head, _tail=(long_bucket(F.col(last), bits), T.LongType()))
-    return key_struct(df, head, _tail=(F.col(last), last_type))
-
-
-def key_struct(
-    df: DataFrame, columns: Sequence[str], **computed: tuple[Column, T.DataType]
-) -> Column:
-    """One struct of several key columns: it compares and joins nulls like values.
-
-    Its fields are nullable whatever they are made of. So the struct has the type it
-    has when read back from a file, and a join of both needs no cast, which would
-    cost a shuffle.
-    """
-    fields = [T.StructField(name, df.schema[name].dataType) for name in columns]
-    fields += [T.StructField(name, kind) for name, (_, kind) in computed.items()]
-    values = [F.col(name) for name in columns]
-    values += [column.alias(name) for name, (column, _) in computed.items()]
-    return F.struct(*values).cast(T.StructType(fields))

@@ -6,12 +6,15 @@ never the rows, are sorted across buckets.
 """
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_, or_
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from qarun.functions import ORDER_BUCKET_BITS, order_bucket
+from qarun.functions import ORDER_BUCKET_BITS, long_bucket
 from qarun.scratch import written
 
 # A block of a file is about 128 MB of input, so this many blocks stand for about
@@ -19,41 +22,59 @@ from qarun.scratch import written
 MAX_BROADCAST_BLOCKS = 200_000
 
 
-def running_start(counts: DataFrame, key: str, broadcast_rows: int = 0) -> DataFrame:
-    """Add ``_start``: the sum of ``_n`` over all smaller keys; keys are unique.
+def _running_start(parts: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Add ``_start``: the sum of ``_n`` over all smaller keys.
 
-    The counts are sorted once and kept together with the number of the sorted
-    part, so parts can be summed side by side and every later read agrees. Up to
-    ``broadcast_rows`` counts the result is marked for broadcast.
+    ``parts`` is sorted into the parts that ``_part`` numbers, so the parts are
+    summed side by side and only their totals are put in one row order.
     """
-    parts = written(
-        counts.orderBy(key).withColumn("_part", F.spark_partition_id()), "bucket-counts"
-    )
     # One row per part of the sort, at most spark.sql.shuffle.partitions of them.
     totals = parts.groupBy("_part").agg(F.sum("_n").alias("_total"))
     earlier_parts = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     bases = totals.select("_part", F.sum("_total").over(earlier_parts).alias("_base"))
 
-    earlier_keys = (
-        Window.partitionBy("_part").orderBy(key).rowsBetween(Window.unboundedPreceding, -1)
-    )
+    by_key = Window.partitionBy("_part").orderBy(*keys)
+    earlier_keys = by_key.rowsBetween(Window.unboundedPreceding, -1)
     start = F.coalesce("_base", F.lit(0)) + F.coalesce(F.sum("_n").over(earlier_keys), F.lit(0))
-    starts = (
+    return (
         parts.join(F.broadcast(bases), "_part")
         .withColumn("_start", start)
         .drop("_part", "_base", "_n")
     )
-    if broadcast_rows and parts.count() <= broadcast_rows:
-        return F.broadcast(starts)
-    return starts
 
 
-def _by_key(df: DataFrame, order: Sequence[str], bucket: str) -> DataFrame:
-    counts = df.groupBy(bucket).agg(F.count(F.lit(1)).alias("_n"))
-    place = F.row_number().over(Window.partitionBy(bucket).orderBy(*order)) - 1
+def _join_start(
+    rows: DataFrame, counts: DataFrame, keys: Sequence[str], broadcast_rows: int = 0
+) -> DataFrame:
+    """Give each row the ``_start`` of its bucket; ``counts`` has one row per bucket.
+
+    The counts are sorted once and written with the number of the sorted part, so
+    that every later read agrees. Up to ``broadcast_rows`` of them are broadcast.
+    """
+    parts = written(
+        counts.orderBy(*keys).withColumn("_part", F.spark_partition_id()), "bucket-counts"
+    )
+    inner = {key: f"_at{i}" for i, key in enumerate(keys)}
+    starts = _running_start(parts, keys).withColumnsRenamed(inner)
+    if broadcast_rows and parts.count() <= broadcast_rows:
+        starts = F.broadcast(starts)
+
+    # A null-safe join does not keep the partitioning of the rows, so it is used only
+    # when there is a null to be matched.
+    null_safe = not parts.filter(reduce(or_, [F.col(key).isNull() for key in keys])).isEmpty()
+    same = [
+        F.col(key).eqNullSafe(F.col(at)) if null_safe else F.col(key) == F.col(at)
+        for key, at in inner.items()
+    ]
+    return rows.join(starts, reduce(and_, same)).drop(*inner.values())
+
+
+def _by_key(df: DataFrame, order: Sequence[str], bucket: Sequence[str]) -> DataFrame:
+    counts = df.groupBy(*bucket).agg(F.count(F.lit(1)).alias("_n"))
+    inside = [name for name in order if name not in bucket] or order
+    place = F.row_number().over(Window.partitionBy(*bucket).orderBy(*inside)) - 1
     return (
-        df.withColumn("_place", place)
-        .join(running_start(counts, bucket), bucket)
+        _join_start(df.withColumn("_place", place), counts, bucket)
         .withColumn("row_index", F.col("_start") + F.col("_place"))
         .drop("_place", "_start")
     )
@@ -65,39 +86,47 @@ def _by_file(df: DataFrame) -> DataFrame:
     rows = written(
         df.select(
             "*",
-            F.struct("_metadata.file_path", "_metadata.file_block_start").alias("_block"),
+            F.col("_metadata.file_path").alias("_path"),
+            F.col("_metadata.file_block_start").alias("_offset"),
             F.monotonically_increasing_id().alias("_id"),
         ),
         "numbered-rows",
     )
-    blocks = rows.groupBy("_block").agg(
-        F.count(F.lit(1)).alias("_n"), F.min("_id").alias("_first")
-    )
+    block = ["_path", "_offset"]
+    counts = rows.groupBy(*block).agg(F.count(F.lit(1)).alias("_n"), F.min("_id").alias("_first"))
     return (
-        rows.join(running_start(blocks, "_block", MAX_BROADCAST_BLOCKS), "_block")
+        _join_start(rows, counts, block, MAX_BROADCAST_BLOCKS)
         .withColumn("row_index", F.col("_start") + F.col("_id") - F.col("_first"))
-        .drop("_block", "_id", "_first", "_start")
+        .drop(*block, "_id", "_first", "_start")
     )
 
 
 def with_row_index(
     df: DataFrame,
     order: Sequence[str] | None = None,
-    bucket: str | None = None,
+    bucket: Sequence[str] | None = None,
     bits: int = ORDER_BUCKET_BITS,
 ) -> DataFrame:
     """Add ``row_index``, the zero-based position of each row.
 
     Without ``order``, ``df`` must come from a file scan: rows are numbered by file
     path, then by place in the file. With ``order``, a list of columns that together
-    identify a row, they are numbered in its ascending order, nulls first. ``bucket``
-    may name a struct column that groups neighbouring rows and sorts like ``order``;
-    a frame already partitioned by it is not shuffled again.
+    identify a row, they are numbered in its ascending order, nulls first.
+
+    ``bucket`` may name columns that group neighbouring rows and sort like ``order``;
+    a frame already partitioned by them is not shuffled again. By default all order
+    columns but the last are kept as they are and the last, if an integer, is cut to
+    ranges of 2**bits, so a hot value of the others is spread over many buckets.
+
+    ``df`` is read twice, first for its bucket columns only. The counts are taken at
+    once; the rest runs with the result.
     """
     if order is None:
         return _by_file(df)
     if bucket is not None:
         return _by_key(df, order, bucket)
-    return _by_key(df.withColumn("_bucket", order_bucket(df, order, bits)), order, "_bucket").drop(
-        "_bucket"
-    )
+    *head, last = order
+    if not isinstance(df.schema[last].dataType, T.IntegralType):
+        return _by_key(df, order, order)
+    ranged = df.withColumn("_range", long_bucket(F.col(last), bits))
+    return _by_key(ranged, order, [*head, "_range"]).drop("_range")

@@ -4,9 +4,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from qarun.functions import ORDER_BUCKET_BITS, key_struct, long_bucket
+from qarun.functions import ORDER_BUCKET_BITS, long_bucket
 from qarun.schema import ASK, ERROR, OK
 
+BLOCK = ["conv_id", "block"]
+
 
 def _lent_turns(turns: DataFrame, bits: int) -> DataFrame:
     """The first turn of each later block, moved to the block before it.
@@ -16,26 +18,26 @@ def _lent_turns(turns: DataFrame, bits: int) -> DataFrame:
     collected per conversation.
     """
     later = turns.filter(F.col("turn") >= 1 << bits)
-    firsts = later.groupBy("conv_id", "_block").agg(F.min("turn").alias("turn"))
-    before = F.lag("_block", 1, 0).over(Window.partitionBy("conv_id").orderBy("_block"))
+    firsts = later.groupBy(*BLOCK).agg(F.min("turn").alias("turn"))
+    before = F.lag("block", 1, 0).over(Window.partitionBy("conv_id").orderBy("block"))
     targets = firsts.select("conv_id", "turn", before.alias("_to"))
     return (
         later.join(targets, ["conv_id", "turn"])
-        .withColumn("_block", F.col("_to"))
+        .withColumn("block", F.col("_to"))
         .withColumn("_lent", F.lit(True))
         .drop("_to")
     )
 
 
 def pair_turns(
-    conversations: DataFrame, keep_bucket: bool = False, bits: int = ORDER_BUCKET_BITS
+    conversations: DataFrame, keep_block: bool = False, bits: int = ORDER_BUCKET_BITS
 ) -> DataFrame:
     """One row per user turn: ``conv_id, turn, status, phase, question, response``.
 
     ``conv_id, turn`` is the key of ``conversations``. A question is ``ok`` when the
     next turn of its conversation is by the assistant. A long conversation is worked
-    on in blocks of 2**bits turns, so no task holds a whole one. ``keep_bucket``
-    keeps the column ``bucket`` that the rows are partitioned by, for the row index.
+    on in blocks of 2**bits turns, so no task holds a whole one. ``keep_block``
+    keeps the column ``block``; by it and ``conv_id`` the rows are partitioned.
     """
     # The text of other roles, such as system prompts, is never part of the result.
     needed = F.when(F.col("role").isin("user", "assistant"), F.col("text"))
@@ -44,16 +46,18 @@ def pair_turns(
         "turn",
         "role",
         needed.alias("text"),
-        F.greatest(long_bucket(F.col("turn"), bits), F.lit(0)).alias("_block"),
+        F.greatest(long_bucket(F.col("turn"), bits), F.lit(0)).alias("block"),
+    )
+    lent = _lent_turns(turns, bits)
+    here = Window.partitionBy(*BLOCK).orderBy("turn")
+    paired = (
+        turns.withColumn("_lent", F.lit(False))
+        .unionByName(lent)
+        .select(
+            "*", F.lead("role").over(here).alias("_by"), F.lead("text").over(here).alias("_reply")
+        )
+        .filter((F.col("role") == "user") & ~F.col("_lent"))
     )
-    in_block = turns.withColumn("_lent", F.lit(False)).unionByName(_lent_turns(turns, bits))
-    in_block = in_block.withColumn("bucket", key_struct(in_block, ["conv_id", "_block"]))
-
-    # Ordered like the row index, so that one sort serves both.
-    here = Window.partitionBy("bucket").orderBy("conv_id", "turn")
-    paired = in_block.select(
-        "*", F.lead("role").over(here).alias("_by"), F.lead("text").over(here).alias("_reply")
-    ).filter((F.col("role") == "user") & ~F.col("_lent"))
 
     answered = F.col("_by").eqNullSafe(F.lit("assistant"))
     pairs = paired.select(
@@ -63,6 +67,6 @@ def pair_turns(
         F.lit(ASK).alias("phase"),
         F.col("text").alias("question"),
         F.when(answered, F.col("_reply")).alias("response"),
-        "bucket",
+        "block",
     )
-    return pairs if keep_bucket else pairs.drop("bucket")
+    return pairs if keep_block else pairs.drop("block")

@@ -37,23 +37,25 @@ def gaps(
     block = F.col("_slot") - F.pmod(F.col("_slot"), F.lit(width * SLOTS_PER_BLOCK))
     slots = written(
         log.filter(F.col(ts).isNotNull())
-        .select(F.struct(run).alias("_run"), slot.alias("_slot"), ts, order)
-        .groupBy("_run", "_slot")
+        .select(slot.alias("_slot"), run, ts, order)
+        # The slot comes first: it tells rows apart faster than a run that most share.
+        .groupBy("_slot", run)
         .agg(F.min(F.struct(ts, order)).alias("_first"), F.max(ts).alias("_last"))
         .withColumn("_block", block),
         "gap-slots",
     )
 
-    by_block = Window.partitionBy("_run").orderBy("_block")
-    block_ends = slots.groupBy("_run", "_block").agg(F.max("_last").alias("_end"))
-    before = block_ends.select("_run", "_block", F.lag("_end").over(by_block).alias("_before"))
+    # Each block is lent the end of the block before it, as a row ahead of its slots.
+    next_block = F.lead("_block").over(Window.partitionBy(run).orderBy("_block"))
+    ends = slots.groupBy("_block", run).agg(F.max("_last").alias("_last"))
+    lent = ends.withColumn("_block", next_block).filter(F.col("_block").isNotNull())
 
-    in_block = Window.partitionBy("_run", "_block").orderBy("_slot")
-    prev = F.coalesce(F.lag("_last").over(in_block), F.col("_before"))
+    in_block = Window.partitionBy("_block", run).orderBy(F.col("_slot").asc_nulls_first())
     return (
-        slots.join(before, ["_run", "_block"])
-        .withColumn("prev_ts", prev)
-        .select(f"_run.{run}", f"_first.{order}", "prev_ts", f"_first.{ts}")
+        slots.unionByName(lent, allowMissingColumns=True)
+        .withColumn("prev_ts", F.lag("_last").over(in_block))
+        .filter(F.col("_slot").isNotNull())
+        .select(run, f"_first.{order}", "prev_ts", f"_first.{ts}")
         .withColumn("gap_micros", _micros(ts) - _micros("prev_ts"))
         .filter(F.col("gap_micros") > limit)
     )

@@ -11,7 +11,7 @@ def recorded_results(conversations: DataFrame, bits: int = ORDER_BUCKET_BITS) ->
 
     Pairing and numbering share one shuffle of the conversations.
     """
-    pairs = pair_turns(conversations, keep_bucket=True, bits=bits)
-    return with_row_index(pairs, ["conv_id", "turn"], bucket="bucket").select(
+    pairs = pair_turns(conversations, keep_block=True, bits=bits)
+    return with_row_index(pairs, ["conv_id", "turn"], bucket=["conv_id", "block"]).select(
         "row_index", "conv_id", "turn", "status", "phase", "question", "response"
     )

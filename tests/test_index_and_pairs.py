@@ -136,7 +136,7 @@ def test_pairing_and_numbering_share_one_shuffle_of_the_text(spark, tmp_path):
 def test_no_task_gets_a_whole_hot_conversation(spark):
     rows = [(1, t, "user" if t % 2 == 0 else "assistant", "x") for t in range(4000)]
     rows += [(c, 0, "user", "x") for c in range(2, 500)]
-    pairs = pair_turns(spark.createDataFrame(rows, SCHEMA), keep_bucket=True, bits=6)
-    sizes = pairs.groupBy("bucket").count().agg(F.max("count")).first()[0]
+    pairs = pair_turns(spark.createDataFrame(rows, SCHEMA), keep_block=True, bits=6)
+    sizes = pairs.groupBy("conv_id", "block").count().agg(F.max("count")).first()[0]
     assert sizes <= 2**6
     assert pairs.filter("status = 'ok'").count() == 2000
