@@ -24,6 +24,7 @@ from qarun.operators import (
     with_session,
 )
 from qarun.plans import recorded_results as recorded
+from qarun.plans import run
 from qarun.scratch import new_path, written
 from qarun.sources import intact, read_log, read_questions, resolve_question, write_log
 from qarun.streaming import progress as log_progress_stream
@@ -163,6 +164,13 @@ def batch_ask(spark: SparkSession, sf_dir: str) -> DataFrame:
     return asked.select("row_index", "session_id", "status", "phase", "question", "response")
 
 
+def file_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    questions, log = new_path(spark, "question-files"), new_path(spark, "log")
+    turns = _user_turns(spark, sf_dir).orderBy("conv_id", "turn")
+    _write_csv(turns.select(F.col("text").alias("question")), questions)
+    return run(spark, questions, log, _answer, RUN_ID).drop("ts")
+
+
 def record_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = _table(spark, sf_dir, "events")
     return gaps(events, "user_id", timedelta(days=1), order="event_id")
@@ -199,6 +207,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "log_round_trip": log_round_trip,
         "log_progress": log_progress,
         "batch_ask": batch_ask,
+        "file_run": file_run,
         "record_gaps": record_gaps,
         "progress": progress,
     }
@@ -216,6 +225,14 @@ WHERE role = 'user'
 """
 
 
+ASKED_SQL = f"""
+SELECT row_index, CASE WHEN length(question) > 200 THEN 'error' ELSE 'ok' END AS status,
+       'ask' AS phase, question,
+       CASE WHEN length(question) <= 200 THEN 'A: ' || left(question, 20) END AS response
+FROM ({RECORDED_SQL})
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     counts = f"SELECT status, phase, count(*) AS n FROM ({RECORDED_SQL}) GROUP BY status, phase"
     return {
@@ -258,11 +275,8 @@ def oracle_sql() -> dict[str, str]:
         "log_progress": counts,
         "batch_ask": f"""
             SELECT row_index, '{RUN_ID}-' || row_index AS session_id,
-                   CASE WHEN length(question) > 200 THEN 'error' ELSE 'ok' END AS status,
-                   'ask' AS phase, question,
-                   CASE WHEN length(question) <= 200 THEN 'A: ' || left(question, 20) END
-                       AS response
-            FROM ({RECORDED_SQL})""",
+                   status, phase, question, response FROM ({ASKED_SQL})""",
+        "file_run": ASKED_SQL,
         "record_gaps": """
             SELECT user_id, event_id, prev_ts, ts,
                    date_diff('microsecond', prev_ts, ts) AS gap_micros

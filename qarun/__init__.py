@@ -1,0 +1 @@
+"""Question runs on Spark: ask, log and report."""

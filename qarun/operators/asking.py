@@ -42,7 +42,8 @@ def _ask_one(
     question: str | None,
     responder: Callable[[str, str], str],
     open_session: Callable[[], str] | None,
-) -> dict:
+) -> tuple:
+    """The values of OUTCOME for one question."""
     phase, status, response = START_SESSION, ERROR, None
     try:
         if open_session is not None:
@@ -54,13 +55,7 @@ def _ask_one(
         status = OK
     except Exception:  # a bad row becomes an error record
         pass
-    return {
-        "session_id": session_id,
-        "ts": datetime.now(UTC),
-        "status": status,
-        "phase": phase,
-        "response": response,
-    }
+    return session_id, datetime.now(UTC), status, phase, response
 
 
 def ask(
@@ -93,19 +88,20 @@ def ask(
 
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         with ThreadPoolExecutor(concurrency) as pool:
+            each = map if concurrency == 1 else pool.map
             for batch in batches:
                 sessions = batch.column("session_id").to_pylist()
                 questions = batch.column("question").to_pylist()
-                outcomes = pa.RecordBatch.from_pylist(
-                    list(pool.map(one, sessions, questions)), schema=OUTCOME_ARROW
-                )
+                outcomes = list(each(one, sessions, questions))
+                added = [
+                    pa.array([outcome[i] for outcome in outcomes], field.type)
+                    for i, field in enumerate(OUTCOME_ARROW)
+                ]
                 names = [*kept, *OUTCOME_ARROW.names]
-                columns = [batch.column(name) for name in kept] + outcomes.columns
+                columns = [batch.column(name) for name in kept] + added
                 yield pa.RecordBatch.from_arrays(columns, names=names)
 
     # By row_index the spread is even and the same each time a task is run again.
     tasks = parallelism or df.sparkSession.sparkContext.defaultParallelism
     keys = ["row_index"] if "row_index" in df.columns else []
-    return (
-        df.select(*kept, "session_id").repartition(tasks, *keys).mapInArrow(answer, schema)
-    )
+    return df.select(*kept, "session_id").repartition(tasks, *keys).mapInArrow(answer, schema)

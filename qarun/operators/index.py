@@ -93,7 +93,11 @@ def _by_file(df: DataFrame) -> DataFrame:
         "numbered-rows",
     )
     block = ["_path", "_offset"]
-    counts = rows.groupBy(*block).agg(F.count(F.lit(1)).alias("_n"), F.min("_id").alias("_first"))
+    n, first, last = F.count(F.lit(1)), F.min("_id"), F.max("_id")
+    moved = F.raise_error(F.lit("rows of a file block are not together; index the scan itself"))
+    counts = rows.groupBy(*block).agg(
+        n.alias("_n"), F.when(last - first + 1 == n, first).otherwise(moved).alias("_first")
+    )
     return (
         _join_start(rows, counts, block, MAX_BROADCAST_BLOCKS)
         .withColumn("row_index", F.col("_start") + F.col("_id") - F.col("_first"))
@@ -109,8 +113,8 @@ def with_row_index(
 ) -> DataFrame:
     """Add ``row_index``, the zero-based position of each row.
 
-    Without ``order``, ``df`` must come from a file scan: rows are numbered by file
-    path, then by place in the file. With ``order``, a list of columns that together
+    Without ``order``, ``df`` must come straight from a file scan: rows are numbered by
+    file path, then by place in the file. With ``order``, a list of columns that together
     identify a row, they are numbered in its ascending order, nulls first.
 
     ``bucket`` may name columns that group neighbouring rows and sort like ``order``;

@@ -8,7 +8,9 @@ from pyspark.sql.window import Window
 
 from qarun.scratch import written
 
-SLOTS_PER_BLOCK = 4096
+# One window holds at most this many slots, some 10 MB. Far fewer would only cut
+# runs with few records into blocks of one or two.
+SLOTS_PER_BLOCK = 100_000
 
 
 def _micros(ts: str) -> Column:

@@ -32,7 +32,9 @@ def read_questions(
     ``multi_line=None`` the files are checked first and split when no value needs
     it; True or False saves the check. All files must have the same header.
     """
-    paths = path if isinstance(path, str) else list(path)
+    paths = [path] if isinstance(path, str) else list(path)
+    if any(p.lower().endswith(".xlsx") for p in paths):
+        raise ValueError("spreadsheets cannot be read; save the sheet as CSV")
     if multi_line is None:
         multi_line = has_spanning_rows(spark, paths)
     return spark.read.options(

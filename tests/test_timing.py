@@ -6,8 +6,8 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from qarun.operators import gaps
-from qarun.operators import timing
+from qarun.operators import gaps, timing, to_record
+from qarun.sources import intact, read_log, with_run, write_log
 
 START = datetime.datetime(2024, 5, 1)
 SCHEMA = "run string, row_index long, ts timestamp"
@@ -36,7 +36,7 @@ def made_log(seed, n=700, step=1):
     return rows
 
 
-@pytest.mark.parametrize("slots_per_block", [1, 3, 4096])
+@pytest.mark.parametrize("slots_per_block", [1, 3, 100_000])
 @pytest.mark.parametrize(
     "threshold",
     [
@@ -90,3 +90,18 @@ def test_no_window_over_single_records(spark, monkeypatch):
     )
     assert gaps(df, "run", datetime.timedelta(seconds=10)).count() == 0
     assert seen["gap-slots"].count() == 5
+
+
+def test_run_is_the_directory_of_the_log(spark, tmp_path):
+    for name, minutes in (("first", (0, 1, 30)), ("second", (0, 5))):
+        df = spark.createDataFrame(
+            [(i, START + datetime.timedelta(minutes=m)) for i, m in enumerate(minutes)],
+            "row_index long, ts timestamp",
+        ).select(
+            "*", *[F.lit("x").alias(c) for c in ("status", "phase", "question", "response")]
+        )
+        write_log(to_record(df), str(tmp_path / name))
+    log = read_log(spark, [str(tmp_path / "first"), str(tmp_path / "second")])
+    [row] = gaps(intact(with_run(log)), "run", datetime.timedelta(minutes=10)).collect()
+    assert row.run.endswith("/first") and row.row_index == 2
+    assert row.gap_micros == 29 * 60 * 10**6
