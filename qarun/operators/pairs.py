@@ -6,23 +6,36 @@ from pyspark.sql.window import Window
 
 from qarun.functions import ORDER_BUCKET_BITS, long_bucket
 from qarun.schema import ASK, ERROR, OK
+from qarun.scratch import written
 
 BLOCK = ["conv_id", "block"]
 
+# First turns of later blocks, three numbers each, that are broadcast (some 50 MB).
+# Beyond it, with billions of turns in long conversations, Spark joins by key.
+MAX_BROADCAST_FIRSTS = 1_000_000
 
-def _lent_turns(turns: DataFrame, bits: int) -> DataFrame:
+
+def _lent_turns(turns: DataFrame, bits: int) -> DataFrame | None:
     """The first turn of each later block, moved to the block before it.
 
-    Most conversations have one block; the filter on ``turn`` then skips the whole
-    scan. For the others only the keys of first turns, one per 2**bits turns, are
-    collected per conversation.
+    None if no conversation has a second block, which row-group statistics tell
+    without a read. Otherwise the keys of first turns, one per block, are put in order
+    per conversation, and their rows are picked from a second scan.
     """
     later = turns.filter(F.col("turn") >= 1 << bits)
-    firsts = later.groupBy(*BLOCK).agg(F.min("turn").alias("turn"))
+    if later.isEmpty():
+        return None
     before = F.lag("block", 1, 0).over(Window.partitionBy("conv_id").orderBy("block"))
-    targets = firsts.select("conv_id", "turn", before.alias("_to"))
+    firsts = written(
+        later.groupBy(*BLOCK)
+        .agg(F.min("turn").alias("turn"))
+        .select("conv_id", "turn", before.alias("_to")),
+        "first-turns",
+    )
+    if firsts.count() <= MAX_BROADCAST_FIRSTS:
+        firsts = F.broadcast(firsts)
     return (
-        later.join(targets, ["conv_id", "turn"])
+        later.join(firsts, ["conv_id", "turn"])
         .withColumn("block", F.col("_to"))
         .withColumn("_lent", F.lit(True))
         .drop("_to")
@@ -49,10 +62,10 @@ def pair_turns(
         F.greatest(long_bucket(F.col("turn"), bits), F.lit(0)).alias("block"),
     )
     lent = _lent_turns(turns, bits)
+    turns = turns.withColumn("_lent", F.lit(False))
     here = Window.partitionBy(*BLOCK).orderBy("turn")
     paired = (
-        turns.withColumn("_lent", F.lit(False))
-        .unionByName(lent)
+        (turns if lent is None else turns.unionByName(lent))
         .select(
             "*", F.lead("role").over(here).alias("_by"), F.lead("text").over(here).alias("_reply")
         )

@@ -6,7 +6,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from qarun.operators import pair_turns, with_row_index
+from qarun.operators import pair_turns, pairs, with_row_index
 from qarun.plans import recorded_results
 
 SCHEMA = "conv_id long, turn long, role string, text string"
@@ -54,8 +54,9 @@ def test_pairs_do_not_depend_on_block_size(spark, seed, bits):
     assert sorted(map(tuple, got.collect())) == expected
 
 
-def test_pairs_without_broadcast(spark):
+def test_pairs_without_broadcast(spark, monkeypatch):
     rows = made_turns(9)
+    monkeypatch.setattr(pairs, "MAX_BROADCAST_FIRSTS", 0)
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
         df = spark.createDataFrame(rows, SCHEMA)
@@ -76,8 +77,8 @@ def test_a_system_turn_is_not_a_question_and_not_an_answer(spark):
 
 
 def test_columns_of_pairs(spark):
-    pairs = pair_turns(spark.createDataFrame(made_turns(1), SCHEMA))
-    assert pairs.columns == ["conv_id", "turn", "status", "phase", "question", "response"]
+    df = pair_turns(spark.createDataFrame(made_turns(1), SCHEMA))
+    assert df.columns == ["conv_id", "turn", "status", "phase", "question", "response"]
 
 
 @pytest.mark.parametrize("parallelism", ["1", "3", "16"])
@@ -136,7 +137,7 @@ def test_pairing_and_numbering_share_one_shuffle_of_the_text(spark, tmp_path):
 def test_no_task_gets_a_whole_hot_conversation(spark):
     rows = [(1, t, "user" if t % 2 == 0 else "assistant", "x") for t in range(4000)]
     rows += [(c, 0, "user", "x") for c in range(2, 500)]
-    pairs = pair_turns(spark.createDataFrame(rows, SCHEMA), keep_block=True, bits=6)
-    sizes = pairs.groupBy("conv_id", "block").count().agg(F.max("count")).first()[0]
+    df = pair_turns(spark.createDataFrame(rows, SCHEMA), keep_block=True, bits=6)
+    sizes = df.groupBy("conv_id", "block").count().agg(F.max("count")).first()[0]
     assert sizes <= 2**6
-    assert pairs.filter("status = 'ok'").count() == 2000
+    assert df.filter("status = 'ok'").count() == 2000
