@@ -7,8 +7,10 @@ never the rows, are sorted across buckets.
 
 from collections.abc import Sequence
 from functools import reduce
+from itertools import accumulate
 from operator import and_, or_
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -22,48 +24,47 @@ from qarun.scratch import written
 MAX_BROADCAST_BLOCKS = 200_000
 
 
-def _running_start(parts: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Add ``_start``: the sum of ``_n`` over all smaller keys.
-
-    ``parts`` is sorted into the parts that ``_part`` numbers, so the parts are
-    summed side by side and only their totals are put in one row order.
-    """
-    # One row per part of the sort, at most spark.sql.shuffle.partitions of them.
-    totals = parts.groupBy("_part").agg(F.sum("_n").alias("_total"))
-    earlier_parts = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    bases = totals.select("_part", F.sum("_total").over(earlier_parts).alias("_base"))
-
-    by_key = Window.partitionBy("_part").orderBy(*keys)
-    earlier_keys = by_key.rowsBetween(Window.unboundedPreceding, -1)
-    start = F.coalesce("_base", F.lit(0)) + F.coalesce(F.sum("_n").over(earlier_keys), F.lit(0))
-    return (
-        parts.join(F.broadcast(bases), "_part")
-        .withColumn("_start", start)
-        .drop("_part", "_base", "_n")
-    )
-
-
 def _join_start(
     rows: DataFrame, counts: DataFrame, keys: Sequence[str], broadcast_rows: int = 0
 ) -> DataFrame:
-    """Give each row the ``_start`` of its bucket; ``counts`` has one row per bucket.
+    """Give each row the ``_start`` of its bucket: the sum of ``_n`` over smaller keys.
 
-    The counts are sorted once and written with the number of the sorted part, so
-    that every later read agrees. Up to ``broadcast_rows`` of them are broadcast.
+    ``counts`` has one row per bucket. It is sorted once and written with the number
+    of the sorted part, so that every later read agrees; then the parts are summed side
+    by side. Up to ``broadcast_rows`` of its rows are broadcast.
     """
     parts = written(
         counts.orderBy(*keys).withColumn("_part", F.spark_partition_id()), "bucket-counts"
     )
+    # One row per part of the sort, at most spark.sql.shuffle.partitions of them.
+    any_null = reduce(or_, [F.col(key).isNull() for key in keys])
+    totals = parts.groupBy("_part").agg(F.sum("_n"), F.count(F.lit(1)), F.max(any_null)).collect()
+    numbers, sizes, buckets, nulls = zip(*sorted(totals), strict=True) if totals else [()] * 4
+    bases = rows.sparkSession.createDataFrame(
+        pa.table(
+            {
+                "_part": pa.array(numbers, pa.int32()),
+                "_base": pa.array([0, *accumulate(sizes)][: len(sizes)], pa.int64()),
+            }
+        )
+    )
+
+    by_key = Window.partitionBy("_part").orderBy(*keys)
+    earlier = F.sum("_n").over(by_key.rowsBetween(Window.unboundedPreceding, -1))
     inner = {key: f"_at{i}" for i, key in enumerate(keys)}
-    starts = _running_start(parts, keys).withColumnsRenamed(inner)
-    if broadcast_rows and parts.count() <= broadcast_rows:
+    starts = (
+        parts.join(F.broadcast(bases), "_part")
+        .withColumn("_start", F.col("_base") + F.coalesce(earlier, F.lit(0)))
+        .drop("_part", "_base", "_n")
+        .withColumnsRenamed(inner)
+    )
+    if sum(buckets) <= broadcast_rows:
         starts = F.broadcast(starts)
 
     # A null-safe join does not keep the partitioning of the rows, so it is used only
     # when there is a null to be matched.
-    null_safe = not parts.filter(reduce(or_, [F.col(key).isNull() for key in keys])).isEmpty()
     same = [
-        F.col(key).eqNullSafe(F.col(at)) if null_safe else F.col(key) == F.col(at)
+        F.col(key).eqNullSafe(F.col(at)) if any(nulls) else F.col(key) == F.col(at)
         for key, at in inner.items()
     ]
     return rows.join(starts, reduce(and_, same)).drop(*inner.values())
