@@ -1,5 +1,6 @@
 """Sessions and asking: run a caller's responder over a table of questions."""
 
+import warnings
 from collections.abc import Callable, Iterator
 from concurrent.futures import ThreadPoolExecutor
 from datetime import UTC, datetime
@@ -82,6 +83,8 @@ def ask(
         raise ValueError("ask needs a session_id column or open_session")
     if open_session is not None and "session_id" not in df.columns:
         df = df.withColumn("session_id", F.lit(None).cast("string"))
+    if df.sparkSession.conf.get("spark.speculation", "false") == "true":
+        warnings.warn("spark.speculation is on: some questions may be asked twice", stacklevel=2)
     kept = [name for name in df.columns if name not in OUTCOME.names]
     schema = T.StructType([*[df.schema[name] for name in kept], *OUTCOME.fields])
     one = partial(_ask_one, responder=responder, open_session=open_session)

@@ -19,23 +19,35 @@ def _lent_turns(turns: DataFrame, bits: int) -> DataFrame | None:
     """The first turn of each later block, moved to the block before it.
 
     None if no conversation has a second block, which row-group statistics tell
-    without a read. Otherwise the keys of first turns, one per block, are put in order
-    per conversation, and their rows are picked from a second scan.
+    without a read. Otherwise the keys of first turns, one per block, are written and put
+    in order, and their rows are picked from a second scan.
     """
     later = turns.filter(F.col("turn") >= 1 << bits)
     if later.isEmpty():
         return None
-    before = F.lag("block", 1, 0).over(Window.partitionBy("conv_id").orderBy("block"))
     firsts = written(
         later.groupBy(*BLOCK)
         .agg(F.min("turn").alias("turn"))
-        .select("conv_id", "turn", before.alias("_to")),
+        .withColumn("_span", long_bucket(F.col("block"), bits)),
         "first-turns",
     )
+    # The block before is looked up in a span of 2**bits blocks, and across spans by
+    # their last blocks, so turn numbers far apart do not lead to one large window.
+    by_span = Window.partitionBy("conv_id").orderBy("_span")
+    in_span = Window.partitionBy("conv_id", "_span").orderBy("block")
+    ends = (
+        firsts.groupBy("conv_id", "_span")
+        .agg(F.max("block").alias("_end"))
+        .select("conv_id", "_span", F.lag("_end", 1, 0).over(by_span).alias("_before"))
+    )
+    before = F.coalesce(F.lag("block").over(in_span), F.col("_before"))
+    targets = firsts.join(ends, ["conv_id", "_span"]).select(
+        "conv_id", "turn", before.alias("_to")
+    )
     if firsts.count() <= MAX_BROADCAST_FIRSTS:
-        firsts = F.broadcast(firsts)
+        targets = F.broadcast(targets)
     return (
-        later.join(firsts, ["conv_id", "turn"])
+        later.join(targets, ["conv_id", "turn"])
         .withColumn("block", F.col("_to"))
         .withColumn("_lent", F.lit(True))
         .drop("_to")
