@@ -15,6 +15,7 @@ from qarun.operators import (
     with_row_index,
     with_session,
 )
+from qarun.scratch import scratch
 from qarun.sources import intact, read_log, read_questions, resolve_question, write_log
 
 
@@ -37,10 +38,14 @@ def run(
     parallelism: int | None = None,
     concurrency: int = 1,
 ) -> DataFrame:
-    """Ask every question of the files once, write the log, and return it as read back."""
-    questions = prepare(spark, path, run_id, normalize)
-    asked = ask(questions, responder, open_session, parallelism, concurrency)
-    write_log(to_record(asked), log_path)
+    """Ask every question of the files once, write the log, and return it as read back.
+
+    The log grows as tasks end, so `streaming.progress` can watch it.
+    """
+    with scratch(spark):
+        questions = prepare(spark, path, run_id, normalize)
+        asked = ask(questions, responder, open_session, parallelism, concurrency)
+        write_log(to_record(asked), log_path, by_task=True)
     return intact(read_log(spark, log_path))
 
 

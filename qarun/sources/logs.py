@@ -20,14 +20,19 @@ LOG_OPTIONS = {
 }
 
 
-def write_log(records: DataFrame, path: str, mode: str = "errorifexists") -> None:
+def write_log(
+    records: DataFrame, path: str, mode: str = "errorifexists", by_task: bool = False
+) -> None:
     """Write one JSON object per line, null fields included.
 
-    ``path`` becomes a directory with one part file per task.
+    ``path`` becomes a directory with one part file per task. The files appear when the
+    job ends or, with ``by_task``, each when its task ends; then a run can be watched,
+    and what it has written stays if it fails.
     """
-    records.write.mode(mode).options(
-        ignoreNullFields=False, timestampFormat=TIMESTAMP_FORMAT, timeZone="UTC"
-    ).json(path)
+    options = {"ignoreNullFields": False, "timestampFormat": TIMESTAMP_FORMAT, "timeZone": "UTC"}
+    if by_task:
+        options["mapreduce.fileoutputcommitter.algorithm.version"] = 2
+    records.write.mode(mode).options(**options).json(path)
 
 
 def read_log(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:

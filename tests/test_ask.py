@@ -4,6 +4,8 @@ import datetime
 import json
 import pathlib
 import threading
+import time
+from concurrent.futures import ThreadPoolExecutor
 
 import pytest
 from pyspark.sql import functions as F
@@ -11,6 +13,8 @@ from pyspark.sql import functions as F
 from qarun.operators import ask, shared_sessions, summary, with_row_index, with_session
 from qarun.plans import prepare, review, run
 from qarun.schema import ASK, START_SESSION
+from qarun.scratch import shared_dir
+from qarun.streaming import progress
 
 THREE = ["What is the capital of France?", "How do I reset my password?"]
 THREE += ["What are your business hours?"]
@@ -140,3 +144,49 @@ def test_index_then_ask_spreads_a_small_table(spark):
     asked = ask(numbered, answer, parallelism=8)
     per_task = asked.groupBy(F.spark_partition_id()).count().collect()
     assert len(per_task) == 8 and max(r["count"] for r in per_task) < 100
+
+
+def test_a_run_leaves_nothing_in_the_shared_folder(spark, tmp_path):
+    (tmp_path / "q.csv").write_text("q\na\nb\n")
+    before = set(pathlib.Path(shared_dir(spark).removeprefix("file:")).glob("qarun-*"))
+    log = run(spark, str(tmp_path / "q.csv"), str(tmp_path / "log"), answer, "r")
+    assert log.count() == 2
+    assert set(pathlib.Path(shared_dir(spark).removeprefix("file:")).glob("qarun-*")) == before
+
+
+def test_a_run_can_be_watched(spark, tmp_path):
+    """Ten tasks, one of which waits: the others' records are in the log before it ends."""
+    (tmp_path / "q.csv").write_text("q\nwait\n" + "".join(f"q{i}\n" for i in range(60)))
+    go, log_path = tmp_path / "go", tmp_path / "log"
+
+    def slow(session_id, question):
+        until = time.monotonic() + 90
+        while question == "wait" and not go.exists() and time.monotonic() < until:
+            time.sleep(0.05)
+        return question
+
+    with ThreadPoolExecutor(1) as pool:
+        done = pool.submit(
+            run, spark, str(tmp_path / "q.csv"), str(log_path), slow, "r", parallelism=10
+        )
+        while not done.done() and len(list(log_path.glob("part-*"))) < 9:
+            time.sleep(0.05)
+        try:
+            name = "watched_run"
+            stream = (
+                progress(spark, str(log_path))
+                .writeStream.outputMode("complete")
+                .format("memory")
+                .queryName(name)
+                .option("checkpointLocation", str(tmp_path / "checkpoint"))
+                .trigger(availableNow=True)
+                .start()
+            )
+            stream.awaitTermination()
+            watched = spark.table(name).collect()
+            assert not done.done()
+        finally:
+            go.touch()
+        assert done.result().count() == 61
+    [row] = watched
+    assert (row.status, row.phase) == ("ok", "ask") and 40 <= row.n < 61
