@@ -43,9 +43,10 @@ def read_log(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
 
 def intact(log: DataFrame) -> DataFrame:
     """The whole records of a log, without the ``_corrupt`` column."""
-    # Naming a second column keeps Spark from refusing a scan of `_corrupt` alone.
-    whole = F.col(CORRUPT).isNull() & F.col("row_index").isNotNull()
-    return log.filter(whole).drop(CORRUPT)
+    # A line such as `{}` says nothing. Naming other columns also keeps Spark from
+    # refusing a scan of `_corrupt` alone, as in a plain count.
+    says_something = F.coalesce(F.col("row_index").cast("string"), "status", "phase").isNotNull()
+    return log.filter(F.col(CORRUPT).isNull() & says_something).drop(CORRUPT)
 
 
 def with_run(log: DataFrame) -> DataFrame:

@@ -112,3 +112,10 @@ def test_many_logs_and_their_runs(spark, tmp_path):
     runs = sorted(r.run.rsplit("/", 1)[1] for r in with_run(log).collect())
     assert runs == ["monday", "tuesday"]
     assert sorted(r.n for r in with_run(log).groupBy("run").agg(F.count("*").alias("n")).collect()) == [1, 1]
+
+
+def test_a_record_without_index_is_kept_and_an_empty_object_is_not(spark, tmp_path):
+    (tmp_path / "log.jsonl").write_text('{"status":"error","phase":"ask"}\n{}\n\n' + LINE + "\n")
+    whole = intact(read_log(spark, str(tmp_path / "log.jsonl")))
+    assert whole.count() == 2
+    assert sorted(r.status for r in whole.collect()) == ["error", "ok"]

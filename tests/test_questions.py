@@ -1,5 +1,8 @@
 """CSV scan and question column, on small files."""
 
+import csv
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -181,3 +184,18 @@ def test_shuffled_rows_are_not_numbered_by_file(spark, tmp_path):
 def test_spreadsheets_are_refused(spark):
     with pytest.raises(ValueError, match="save the sheet as CSV"):
         read_questions(spark, "questions.xlsx")
+
+
+@pytest.mark.parametrize("spanning", [False, True])
+def test_random_values_come_back(spark, tmp_path, spanning):
+    rng = random.Random(11)
+    letters = ["a", "b ", ",", '"', '""', " ", "é", ";", "\t"] + ["\n", "\r\n"] * spanning
+    expected = []
+    for name in ("a.csv", "b.csv"):
+        values = ["x" + "".join(rng.choices(letters, k=rng.randrange(12))) for _ in range(400)]
+        with open(tmp_path / name, "w", newline="", encoding="utf-8") as out:
+            csv.writer(out, lineterminator="\n").writerows([["n", "q"], *enumerate(values)])
+        expected += values
+    assert has_spanning_rows(spark, str(tmp_path)) == spanning
+    rows = with_row_index(questions(spark, str(tmp_path))).collect()
+    assert sorted((r.row_index, r.question) for r in rows) == list(enumerate(expected))
