@@ -2,7 +2,7 @@
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from qarun.schema import NO_QUESTION_COLUMN, QUESTION_COLUMNS
@@ -12,15 +12,38 @@ class QuestionColumnError(ValueError):
     """No column, or no single column, holds the questions."""
 
 
-def has_spanning_rows(spark: SparkSession, path: str | Sequence[str]) -> bool:
-    """Whether a quoted value runs over a line end in any of the files.
+def line_options(spark: SparkSession, paths: Sequence[str]) -> dict:
+    """Options by which the files can be read right, and in splits where possible.
 
-    A row that does so leaves a quote open on its first line, so that line has
-    an odd number of quotes. The check splits large files and stops at the first hit.
+    A row that runs over a line end leaves a quote open, so its first line has an odd
+    number of quotes. Without such lines files are split at every line end. Files
+    with rows that end in CR LF, as spreadsheets save them, may still be split there,
+    if values hold only other line ends. All other files are read whole; if rows end
+    in CR LF and values hold both CR LF and LF, Spark then makes every CR LF an LF.
+
+    The checks are scans of plain lines that stop at the first line against them.
     """
-    lines = spark.read.text(path)
+
+    def none(condition: Column, **options: str) -> bool:
+        return spark.read.options(**options).text(paths).filter(condition).isEmpty()
+
     quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
-    return not lines.filter(quotes % 2 == 1).isEmpty()
+    # Spark skips lines of white space alone when it splits a file. They are rows.
+    unfit = (quotes % 2 == 1) | F.col("value").rlike(r"^[\x00-\x20]+$")
+    if none(unfit):
+        return {"multiLine": False}
+
+    lines = spark.read.options(lineSep="\n").text(paths)
+    crlf = lines.filter(F.endswith("value", F.lit("\r"))).select("_metadata.file_path").distinct()
+    if crlf.count() < len(lines.inputFiles()):
+        return {"multiLine": True}
+    bare = F.regexp_replace("value", r'"[^"]*+"', "").rlike(r"[\r\n]")
+    if none(unfit | bare, lineSep="\r\n"):
+        return {"multiLine": False, "lineSep": "\r\n"}
+    if none(F.contains("value", F.lit("\n")), lineSep="\r\n"):
+        # Told the line end, Spark leaves it as it is inside values.
+        return {"multiLine": True, "lineSep": "\r\n"}
+    return {"multiLine": True}
 
 
 def read_questions(
@@ -28,17 +51,16 @@ def read_questions(
 ) -> DataFrame:
     """Read a CSV file, a directory or a list of them; every column is a string.
 
-    Values may hold line ends, but Spark can then no longer split a file. With
-    ``multi_line=None`` the files are checked first and split when no value needs
-    it; True or False saves the check. All files must have the same header.
+    With ``multi_line=None`` the files are checked first, see ``line_options``. True
+    reads each file whole, in one task; False splits files at every line end, which
+    is wrong if a value holds one. All files must have the same header.
     """
     paths = [path] if isinstance(path, str) else list(path)
     if any(p.lower().endswith(".xlsx") for p in paths):
         raise ValueError("spreadsheets cannot be read; save the sheet as CSV")
-    if multi_line is None:
-        multi_line = has_spanning_rows(spark, paths)
+    lines = line_options(spark, paths) if multi_line is None else {"multiLine": multi_line}
     return spark.read.options(
-        header=True, quote='"', escape='"', enforceSchema=False, multiLine=multi_line
+        header=True, quote='"', escape='"', enforceSchema=False, **lines
     ).csv(paths)
 
 

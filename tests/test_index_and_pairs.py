@@ -78,7 +78,8 @@ def test_a_system_turn_is_not_a_question_and_not_an_answer(spark):
 
 def test_turn_numbers_far_apart(spark):
     rng = random.Random(3)
-    rows = [(7, t, rng.choice(["user", "assistant"]), f"{t}") for t in rng.sample(range(10**12), 3000)]
+    roles = ["user", "assistant"]
+    rows = [(7, t, rng.choice(roles), f"{t}") for t in rng.sample(range(10**12), 3000)]
     got = recorded_results(spark.createDataFrame(rows, SCHEMA), 4).select(
         "row_index", "conv_id", "turn", "status", "question", "response"
     )
@@ -93,7 +94,8 @@ def test_columns_of_pairs(spark):
 @pytest.mark.parametrize("parallelism", ["1", "3", "16"])
 def test_index_by_long_keys(spark, parallelism):
     rng = random.Random(4)
-    keys = {(rng.choice([None, "a", "b", "b", "b"]), rng.randrange(-(2**62), 2**62)) for _ in range(800)}
+    sources = [None, "a", "b", "b", "b"]
+    keys = {(rng.choice(sources), rng.randrange(-(2**62), 2**62)) for _ in range(800)}
     keys |= {("b", i) for i in range(500)} | {(None, None), ("a", None)}
     df = spark.createDataFrame([(*k, "x") for k in keys], "source string, id long, text string")
     spark.conf.set("spark.sql.shuffle.partitions", parallelism)
@@ -111,7 +113,7 @@ def test_index_by_text_and_by_time(spark):
     words = [f"w{i:03}" for i in range(300)]
     random.Random(1).shuffle(words)
     df = spark.createDataFrame([(w,) for w in words], "word string")
-    timed = df.withColumn("at", F.expr("timestamp'2024-01-01' + make_interval(0,0,0,0,0,int(substr(word, 2)))"))
+    timed = df.withColumn("at", F.timestamp_seconds(F.expr("int(substr(word, 2))")))
     for order in (["word"], ["at"]):
         got = with_row_index(timed, order).orderBy("row_index").collect()
         assert [(r.row_index, r.word) for r in got] == list(enumerate(sorted(words)))

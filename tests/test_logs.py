@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from qarun.operators import errors, summary, to_record
-from qarun.schema import RECORD_FIELDS
+from qarun.schema import RECORD_FIELDS, RECORD_SCHEMA
 from qarun.sources import intact, read_log, with_run, write_log
 
 LINE = (
@@ -29,7 +29,11 @@ def record(spark):
     return spark.createDataFrame(
         [(0, "2025-01-23 10:30:45.987", "ok", "ask", "What is the capital of France?")],
         "row_index int, ts string, status string, phase string, question string",
-    ).select("*", F.lit("The capital of France is Paris.").alias("response"), F.lit("s").alias("session_id"))
+    ).select(
+        "*",
+        F.lit("The capital of France is Paris.").alias("response"),
+        F.lit("s").alias("session_id"),
+    )
 
 
 def test_record_has_six_fields_and_whole_seconds(spark):
@@ -74,8 +78,7 @@ def test_round_trip(spark, tmp_path):
             [("a", "b"), (None, None), ("new\nline", 'quo"te'), ("  sp ", ""), ("ünï ", " ")]
         )
     ]
-    names = "ts timestamp, row_index long, status string, phase string, question string, response string"
-    df = to_record(spark.createDataFrame(rows, names))
+    df = to_record(spark.createDataFrame(rows, RECORD_SCHEMA))
     path = str(tmp_path / "log")
     write_log(df.repartition(3), path)
     assert len(list(pathlib.Path(path).glob("part-*"))) > 1
@@ -111,7 +114,7 @@ def test_many_logs_and_their_runs(spark, tmp_path):
     log = read_log(spark, [str(tmp_path / "monday"), str(tmp_path / "tuesday")])
     runs = sorted(r.run.rsplit("/", 1)[1] for r in with_run(log).collect())
     assert runs == ["monday", "tuesday"]
-    assert sorted(r.n for r in with_run(log).groupBy("run").agg(F.count("*").alias("n")).collect()) == [1, 1]
+    assert [r["count"] for r in with_run(log).groupBy("run").count().collect()] == [1, 1]
 
 
 def test_a_record_without_index_is_kept_and_an_empty_object_is_not(spark, tmp_path):

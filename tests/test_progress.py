@@ -67,7 +67,8 @@ def test_same_as_the_batch_report(spark, tmp_path):
     for i in range(5):
         status = "error" if i % 2 else "ok"
         path = put(tmp_path, f"{i}.jsonl", *[line(10 * i + k, k, status) for k in range(7)])
-    streamed, stream = Run(tmp_path, progress(spark, path, max_files_per_trigger=2), "complete").look()
+    counts = progress(spark, path, max_files_per_trigger=2)
+    streamed, stream = Run(tmp_path, counts, "complete").look()
     batch = summary(intact(read_log(spark, path)))
     assert streamed == sorted(tuple(r) for r in batch.collect())
     assert len([p for p in stream.recentProgress if p["numInputRows"]]) == 3

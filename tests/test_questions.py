@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from qarun.operators import with_row_index
 from qarun.sources import QuestionColumnError, read_questions, resolve_question
-from qarun.sources.questions import has_spanning_rows
+from qarun.sources.questions import line_options
 
 THREE = ["What is the capital of France?", "How do I reset my password?"]
 THREE += ["What are your business hours?"]
@@ -80,13 +80,13 @@ def test_values_stay_as_they_are(spark, tmp_path):
     values = ["two\nlines", "a, b", 'say "hi"', "  spaced  ", "crlf\r\nkept", "\ttab"]
     quoted = ['"' + v.replace('"', '""') + '"' for v in values]
     path = put(tmp_path, "\n".join(["q", *quoted]) + "\n")
-    assert has_spanning_rows(spark, path)
+    assert line_options(spark, [path]) == {"multiLine": True}
     assert texts(questions(spark, path)) == values
 
 
 def test_split_only_when_no_value_spans_lines(spark, tmp_path):
     flat = put(tmp_path, 'q,n\n"a ""quoted"" word, and more",1\nplain,2\n"",3\n')
-    assert not has_spanning_rows(spark, flat)
+    assert line_options(spark, [flat]) == {"multiLine": False}
     assert texts(questions(spark, flat)) == ['a "quoted" word, and more', "plain", None]
 
 
@@ -186,16 +186,58 @@ def test_spreadsheets_are_refused(spark):
         read_questions(spark, "questions.xlsx")
 
 
-@pytest.mark.parametrize("spanning", [False, True])
-def test_random_values_come_back(spark, tmp_path, spanning):
+SPLIT, WHOLE = {"multiLine": False}, {"multiLine": True}
+SPLIT_CRLF, WHOLE_CRLF = SPLIT | {"lineSep": "\r\n"}, WHOLE | {"lineSep": "\r\n"}
+
+
+@pytest.mark.parametrize(
+    ("end", "inside", "options"),
+    [
+        ("\n", [], SPLIT),
+        ("\r\n", [], SPLIT),
+        ("\n", ["\n"], WHOLE),
+        ("\n", ["\n", "\r\n", "\r"], WHOLE),
+        ("\r\n", ["\n"], SPLIT_CRLF),
+        ("\r\n", ["\n", "\r-"], SPLIT_CRLF),
+        ("\r\n", ["\r\n"], WHOLE_CRLF),
+    ],
+)
+def test_random_values_come_back(spark, tmp_path, end, inside, options):
     rng = random.Random(11)
-    letters = ["a", "b ", ",", '"', '""', " ", "é", ";", "\t"] + ["\n", "\r\n"] * spanning
+    letters = ["a", "b ", ",", '"', '""', " ", "é", ";", "\t", *inside]
     expected = []
     for name in ("a.csv", "b.csv"):
         values = ["x" + "".join(rng.choices(letters, k=rng.randrange(12))) for _ in range(400)]
         with open(tmp_path / name, "w", newline="", encoding="utf-8") as out:
-            csv.writer(out, lineterminator="\n").writerows([["n", "q"], *enumerate(values)])
+            csv.writer(out, lineterminator=end).writerows([["n", "q"], *enumerate(values)])
         expected += values
-    assert has_spanning_rows(spark, str(tmp_path)) == spanning
-    rows = with_row_index(questions(spark, str(tmp_path))).collect()
+    assert line_options(spark, [str(tmp_path)]) == options
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "2000")
+    spark.conf.set("spark.sql.files.openCostInBytes", "1")
+    try:
+        scan = questions(spark, str(tmp_path))
+        assert (scan.rdd.getNumPartitions() > 2) != options["multiLine"]
+        rows = with_row_index(scan).collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
     assert sorted((r.row_index, r.question) for r in rows) == list(enumerate(expected))
+
+
+def test_lines_of_white_space_are_rows(spark, tmp_path):
+    path = put(tmp_path, 'q\na\n  \n"  "\n\t\n\nb\n')
+    assert texts(questions(spark, path)) == ["a", "  ", "  ", "\t", "b"]
+    assert with_row_index(questions(spark, path)).count() == 5
+
+
+def test_line_ends_may_differ_between_files(spark, tmp_path):
+    put(tmp_path, 'q\r\n"a\nb"\r\nc\r\n', "a.csv")
+    put(tmp_path, 'q\n"d\ne"\nf\n', "b.csv")
+    df = with_row_index(questions(spark, str(tmp_path))).orderBy("row_index")
+    assert texts(df) == ["a\nb", "c", "d\ne", "f"]
+
+
+def test_last_line_without_an_end(spark, tmp_path):
+    path = put(tmp_path, 'id,q\r\n1,"two\nlines"\r\n\r\n2,end', encoding="utf-8-sig")
+    assert line_options(spark, [path]) == SPLIT_CRLF
+    assert texts(questions(spark, path)) == ["two\nlines", "end"]

@@ -57,7 +57,8 @@ def test_same_gaps_as_a_walk(spark, monkeypatch, slots_per_block, threshold):
 
 def test_stuck_run(spark):
     rows = [("r", i, START + datetime.timedelta(minutes=m)) for i, m in enumerate((0, 1, 30))]
-    [row] = gaps(spark.createDataFrame(rows, SCHEMA), "run", datetime.timedelta(minutes=10)).collect()
+    df = spark.createDataFrame(rows, SCHEMA)
+    [row] = gaps(df, "run", datetime.timedelta(minutes=10)).collect()
     assert (row.row_index, row.gap_micros) == (2, 29 * 60 * 10**6)
 
 
