@@ -108,15 +108,15 @@ def _by_file(df: DataFrame) -> DataFrame:
 
 def with_row_index(
     df: DataFrame,
-    order: Sequence[str] | None = None,
+    order: str | Sequence[str] | None = None,
     bucket: Sequence[str] | None = None,
     bits: int = ORDER_BUCKET_BITS,
 ) -> DataFrame:
     """Add ``row_index``, the zero-based position of each row.
 
     Without ``order``, ``df`` must come straight from a file scan: rows are numbered by
-    file path, then by place in the file. With ``order``, a list of columns that together
-    identify a row, they are numbered in its ascending order, nulls first.
+    file path, then by place in the file. With ``order``, columns that together identify
+    a row, they are numbered in its ascending order, nulls first.
 
     ``bucket`` may name columns that group neighbouring rows and sort like ``order``;
     a frame already partitioned by them is not shuffled again. By default all order
@@ -128,6 +128,7 @@ def with_row_index(
     """
     if order is None:
         return _by_file(df)
+    order = [order] if isinstance(order, str) else list(order)
     if bucket is not None:
         return _by_key(df, order, bucket)
     *head, last = order

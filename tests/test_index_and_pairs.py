@@ -114,7 +114,7 @@ def test_index_by_text_and_by_time(spark):
     random.Random(1).shuffle(words)
     df = spark.createDataFrame([(w,) for w in words], "word string")
     timed = df.withColumn("at", F.timestamp_seconds(F.expr("int(substr(word, 2))")))
-    for order in (["word"], ["at"]):
+    for order in ("word", ["at"]):
         got = with_row_index(timed, order).orderBy("row_index").collect()
         assert [(r.row_index, r.word) for r in got] == list(enumerate(sorted(words)))
 
