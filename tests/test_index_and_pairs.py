@@ -6,7 +6,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from qarun.operators import pair_turns, pairs, with_row_index
+from qarun.operators import index, pair_turns, pairs, with_row_index
 from qarun.plans import recorded_results
 
 SCHEMA = "conv_id long, turn long, role string, text string"
@@ -109,6 +109,42 @@ def test_index_by_long_keys(spark, parallelism):
     ]
 
 
+@pytest.mark.parametrize("with_null", [False, True])
+@pytest.mark.parametrize("threshold", ["-1", "10m"])
+def test_counts_in_many_sorted_parts(spark, monkeypatch, with_null, threshold):
+    seen = []
+
+    def kept(df, name):
+        seen.append(written(df, name))
+        return seen[-1]
+
+    written = index.written
+    monkeypatch.setattr(index, "written", kept)
+    settings = {
+        "spark.sql.adaptive.coalescePartitions.enabled": "false",
+        "spark.sql.shuffle.partitions": "13",
+        "spark.sql.autoBroadcastJoinThreshold": threshold,
+    }
+    own = F.concat(F.lit("s"), "id")
+    df = spark.range(20_000).select(
+        F.when(F.col("id") % 3 > 0, F.lit("hot")).otherwise(own).alias("source"),
+        (F.col("id") * 7919 % 20_011).alias("id"),
+    )
+    if with_null:
+        df = df.withColumn("source", F.nullif("source", F.lit("hot")))
+    before = {key: spark.conf.get(key) for key in settings}
+    for key, value in settings.items():
+        spark.conf.set(key, value)
+    try:
+        got = with_row_index(df, ["source", "id"], bits=5).collect()
+        assert seen[0].select("_part").distinct().count() == 13
+    finally:
+        for key, value in before.items():
+            spark.conf.set(key, value)
+    rows = sorted(got, key=lambda r: (first_nulls(r.source), r.id))
+    assert [r.row_index for r in rows] == list(range(20_000))
+
+
 def test_index_by_text_and_by_time(spark):
     words = [f"w{i:03}" for i in range(300)]
     random.Random(1).shuffle(words)
