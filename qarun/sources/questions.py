@@ -12,14 +12,19 @@ class QuestionColumnError(ValueError):
     """No column, or no single column, holds the questions."""
 
 
+# One whole CSV row and nothing else. No part gives back what it took, so a check takes
+# one pass over a line and no stack, however long the line is.
+_FIELD = r'(?:(?:"[^"]*+")++|[^",\r\n]*+)'
+WHOLE_ROW = rf"^{_FIELD}(?:,{_FIELD})*+\z"
+
+
 def line_options(spark: SparkSession, paths: Sequence[str]) -> dict:
     """Options by which the files can be read right, and in splits where possible.
 
-    A row that runs over a line end leaves a quote open, so its first line has an odd
-    number of quotes. Without such lines files are split at every line end. Files
-    with rows that end in CR LF, as spreadsheets save them, may still be split there,
-    if values hold only other line ends. All other files are read whole; if rows end
-    in CR LF and values hold both CR LF and LF, Spark then makes every CR LF an LF.
+    If each line is a whole row, files are split at every line end. Files with rows
+    that end in CR LF, as spreadsheets save them, may still be split there, if values
+    hold only other line ends. All other files are read whole; if rows end in CR LF
+    and values hold both CR LF and LF, Spark then makes every CR LF an LF.
 
     The checks are scans of plain lines that stop at the first line against them.
     """
@@ -27,9 +32,8 @@ def line_options(spark: SparkSession, paths: Sequence[str]) -> dict:
     def none(condition: Column, **options: str) -> bool:
         return spark.read.options(**options).text(paths).filter(condition).isEmpty()
 
-    quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
     # Spark skips lines of white space alone when it splits a file. They are rows.
-    unfit = (quotes % 2 == 1) | F.col("value").rlike(r"^[\x00-\x20]+$")
+    unfit = ~F.col("value").rlike(WHOLE_ROW) | F.col("value").rlike(r"^[\x00-\x20]+\z")
     if none(unfit):
         return {"multiLine": False}
 
@@ -37,8 +41,7 @@ def line_options(spark: SparkSession, paths: Sequence[str]) -> dict:
     crlf = lines.filter(F.endswith("value", F.lit("\r"))).select("_metadata.file_path").distinct()
     if crlf.count() < len(lines.inputFiles()):
         return {"multiLine": True}
-    bare = F.regexp_replace("value", r'"[^"]*+"', "").rlike(r"[\r\n]")
-    if none(unfit | bare, lineSep="\r\n"):
+    if none(unfit, lineSep="\r\n"):
         return {"multiLine": False, "lineSep": "\r\n"}
     if none(F.contains("value", F.lit("\n")), lineSep="\r\n"):
         # Told the line end, Spark leaves it as it is inside values.

@@ -241,3 +241,26 @@ def test_last_line_without_an_end(spark, tmp_path):
     path = put(tmp_path, 'id,q\r\n1,"two\nlines"\r\n\r\n2,end', encoding="utf-8-sig")
     assert line_options(spark, [path]) == SPLIT_CRLF
     assert texts(questions(spark, path)) == ["two\nlines", "end"]
+
+
+@pytest.mark.parametrize(
+    "text",
+    [
+        'q,n\n5" disk,1\n6" disk,2\n',
+        'q,n\n5","open\nclose",5"\nplain,1\n',
+        'q,n\n "a\nb",1\n',
+        'q,n\n"a"b,1\n"c" ,2\n',
+        'q,n\n"""a""",1\n"","""\n"""\n',
+    ],
+)
+def test_odd_quoting_is_read_like_a_whole_file(spark, tmp_path, text):
+    path = put(tmp_path, text)
+    whole = read_questions(spark, path, multi_line=True).collect()
+    assert line_options(spark, [path]) == WHOLE
+    assert read_questions(spark, path).collect() == whole
+
+
+def test_a_very_long_line(spark, tmp_path):
+    value = 'word, "" ' * 300_000
+    path = put(tmp_path, f'q,n\n"{value}",1\n' + "x," * 200_000 + "\n")
+    assert line_options(spark, [path]) == SPLIT
