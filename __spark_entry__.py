@@ -30,6 +30,15 @@ from qarun.sources import intact, read_log, read_questions, resolve_question, wr
 from qarun.streaming import progress as log_progress_stream
 from qarun.streaming import progress_counts
 
+try:  # a package of its own, which may be left out
+    from corpus_pipeline import ORACLE_SQL as PIPELINE_SQL
+    from corpus_pipeline import run as pipeline
+    from qarun.llm import queries as llm
+except ModuleNotFoundError as missing:
+    if missing.name not in ("corpus_pipeline", "qarun.llm"):
+        raise
+    llm = None
+
 SMOKE_DIR = "/root/testdata/sf0.001"
 
 # The conversations carry no time of asking; a log made of them has this one.
@@ -192,7 +201,9 @@ def entry(spark: SparkSession) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    more = {} if llm is None else {**llm.queries(), "pipeline": pipeline}
     return {
+        **more,
         "recorded_results": recorded_results,
         "error_records": error_records,
         "empty_responses": empty_records,
@@ -235,7 +246,11 @@ FROM ({RECORDED_SQL})
 
 def oracle_sql() -> dict[str, str]:
     counts = f"SELECT status, phase, count(*) AS n FROM ({RECORDED_SQL}) GROUP BY status, phase"
+    more = {} if llm is None else llm.oracle_sql()
+    if llm is not None and PIPELINE_SQL is not None:
+        more["pipeline"] = PIPELINE_SQL
     return {
+        **more,
         "recorded_results": RECORDED_SQL,
         "error_records": f"SELECT * FROM ({RECORDED_SQL}) WHERE status IS DISTINCT FROM 'ok'",
         "empty_responses": f"""
