@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from qarun.llm.common import table
 from qarun.llm.exact_dedup import exact_duplicates
 from qarun.llm.line_dedup import dedup_lines
+from qarun.llm.near_dedup import near_duplicates
 from qarun.llm.shards import shard_by_bytes
 from qarun.llm.url_rules import WORDS, judge_urls
 
@@ -26,6 +27,10 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"), words=3, threshold=0.85)
+
+
 def op10_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_by_bytes(table(spark, sf_dir, "documents")).select(
         "doc_id",
@@ -43,6 +48,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_url_rules": op4_url_rules,
         "op5_line_dedup": op5_line_dedup,
         "op6_exact_dedup": op6_exact_dedup,
+        "op9_near_dedup": op9_near_dedup,
         "op10_shards": op10_shards,
     }
 
