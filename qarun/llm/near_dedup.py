@@ -2,6 +2,7 @@
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -19,8 +20,10 @@ HALF = 2
 MISS = 1e-4
 # Ids that are broadcast at most (some 50 MB); beyond it they are joined by key.
 MAX_BROADCAST_IDS = 500_000
-# Members up to which a bucket is worked off center by center without finer keys.
-SMALL_BUCKET = 16
+# Members up to which all of a bucket's pairs are looked at.
+SMALL_BUCKET = 8
+# Documents on either side of a block of a large family.
+BLOCK = 512
 
 
 def halves_for(threshold: float) -> int:
@@ -63,6 +66,28 @@ def _sets(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBa
         )
 
 
+def _linked(block: pa.Table, percent: int) -> pa.Table:
+    """Similar pairs of a query and a target with different labels, one per query and label."""
+    is_query = block.column("query").to_numpy(zero_copy_only=False)
+    reps, labels = block.column("rep").combine_chunks(), block.column("label").to_pylist()
+    sets = block.column("shingles").combine_chunks()
+    sizes = np.diff(sets.offsets.to_numpy())
+    targets = np.flatnonzero(~is_query & (sizes > 0))
+    pairs = []
+    if len(targets):
+        flat = np.concatenate([sets[int(i)].values.to_numpy().view(np.uint64) for i in targets])
+        starts = np.r_[0, np.cumsum(sizes[targets])[:-1]]
+        for i in np.flatnonzero(is_query):
+            own = sets[int(i)].values.to_numpy().view(np.uint64)
+            at = np.minimum(np.searchsorted(own, flat), len(own) - 1)
+            shared = np.add.reduceat((own[at] == flat).astype(np.int64), starts)
+            union = sizes[i] + sizes[targets] - shared
+            reached = {labels[t]: t for t in targets[100 * shared >= percent * union]}
+            pairs += [(i, t) for label, t in reached.items() if label != labels[i]]
+    a, b = zip(*pairs, strict=True) if pairs else ((), ())
+    return pa.table({"a": reps.take(pa.array(a, pa.int64())), "b": reps.take(pa.array(b, pa.int64()))})
+
+
 def _named(schema: T.StructType, *more: str) -> T.StructType:
     """The type of ``doc_id`` from ``schema`` and further columns."""
     return T.StructType([schema["doc_id"], *T.StructType.fromDDL(", ".join(more)).fields])
@@ -87,24 +112,14 @@ class _Search:
         self.least_agreeing = math.floor(n * threshold - 6 * spread)
         self.sets: DataFrame | None = None
 
-    def confirmed(self, pairs: DataFrame) -> DataFrame | None:
-        """The pairs ``a, b`` whose whole sets are similar enough; None if none is likely."""
-        side = self.classes.select("rep", "minima")
-        agreeing = F.size(F.filter(F.zip_with("m1", "m2", lambda x, y: x == y), lambda same: same))
-        likely = self.kept.keep(
-            pairs.join(side.toDF("a", "m1"), "a")
-            .join(side.toDF("b", "m2"), "b")
-            .filter(agreeing >= self.least_agreeing)
-            .select("a", "b")
-            .distinct(),
-            "likely-pairs",
-        )
-        ids = likely.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    def fetch(self, ids: DataFrame) -> DataFrame:
+        """Shingle sets of at least the documents ``doc_id``, each set made once."""
+        ids = ids.distinct()
         if self.sets is not None:
             ids = ids.join(self.sets.select("doc_id"), "doc_id", "left_anti")
         ids = self.kept.keep(ids, "ids")
         n = ids.count()
-        if n:
+        if n or self.sets is None:
             wanted = F.broadcast(ids) if n <= MAX_BROADCAST_IDS else ids
             fresh = self.kept.keep(
                 self.texts.join(wanted, "doc_id", "left_semi").mapInArrow(
@@ -114,8 +129,21 @@ class _Search:
                 "shingle-sets",
             )
             self.sets = fresh if self.sets is None else self.sets.unionByName(fresh)
-        if likely.isEmpty():
-            return None
+        return self.sets
+
+    def confirmed(self, pairs: DataFrame) -> DataFrame:
+        """The pairs ``a, b`` whose whole sets are similar enough."""
+        side = self.classes.select("rep", "minima")
+        agreeing = F.size(F.filter(F.zip_with("m1", "m2", lambda x, y: x == y), lambda same: same))
+        likely = self.kept.keep(
+            pairs.join(side.toDF("a", "m1"), "a")
+            .join(side.toDF("b", "m2"), "b")
+            .filter(agreeing >= self.least_agreeing)
+            .select("a", "b")
+            .distinct(),
+            "likely-pairs",
+        )
+        self.fetch(likely.select(F.explode(F.array("a", "b")).alias("doc_id")))
         shared = F.size(F.array_intersect("s1", "s2"))
         union = F.size("s1") + F.size("s2") - shared
         return self.kept.keep(
@@ -126,6 +154,46 @@ class _Search:
             "similar-pairs",
         )
 
+    def within(self, families: DataFrame) -> DataFrame:
+        """Links of the rows marked ``query`` to rows of their ``family`` with another label.
+
+        Both sides are cut into blocks of some ``BLOCK`` rows; a task holds one of each.
+        """
+        sizes = families.groupBy("family").agg(
+            F.ceil(F.count_if("query") / BLOCK).cast("int").alias("rows"),
+            F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("columns"),
+        )
+        sets = self.fetch(families.select(F.col("rep").alias("doc_id")))
+        placed = (
+            families.join(sizes.filter("rows > 0"), "family")
+            .join(sets.withColumnRenamed("doc_id", "rep"), "rep")
+            .withColumn("spread", F.xxhash64("rep"))
+        )
+        own = {"row": F.pmod("spread", "rows"), "column": F.pmod("spread", "columns")}
+        side = ["family", "row", "column", "rep", "label", "query", "shingles"]
+        queries = (
+            placed.filter("query")
+            .withColumn("row", own["row"].cast("int"))
+            .withColumn("column", F.explode(F.sequence(F.lit(0), F.col("columns") - 1)))
+        )
+        targets = (
+            placed.withColumn("column", own["column"].cast("int"))
+            .withColumn("row", F.explode(F.sequence(F.lit(0), F.col("rows") - 1)))
+            .withColumn("query", F.lit(False))
+        )
+        percent, kind = self.percent, self.texts.schema["doc_id"].dataType
+        return self.kept.keep(
+            queries.select(*side)
+            .unionByName(targets.select(*side))
+            .groupBy("family", "row", "column")
+            .applyInArrow(
+                lambda block: _linked(block, percent),
+                T.StructType([T.StructField("a", kind), T.StructField("b", kind)]),
+            )
+            .distinct(),
+            "similar-pairs",
+        )
+
 
 def near_duplicates(
     docs: DataFrame,
@@ -147,15 +215,19 @@ def near_duplicates(
 
     Documents with the same set form a class, and only classes are searched. The key of a
     table is a pair of half keys, one from each of two collections, so m halves on each side
-    give m * m tables from the minima of 2 * m halves. A bucket is never paired off in full:
-    its members meet a few centers, the centers leave it, and this goes on while it holds
-    members of different components. Large mixed buckets get finer keys from a third
-    collection. A link is confirmed on the whole sets, after a look at the minima.
+    give m * m tables from the minima of 2 * m halves. A link is confirmed on the whole sets,
+    after a look at the minima.
+
+    First the members of a bucket meet its center, the one that shares the most buckets.
+    Buckets whose members are then in one component are done. Of the others, small ones
+    look at all their pairs of different components. Large ones with the same center form a
+    family, in which only the documents that are not yet linked with the center are compared
+    with the rest, block by block; a block gives its links, never its pairs.
     """
     kept = Kept(docs.sparkSession)
     texts = docs.select(F.col(id).alias("doc_id"), F.col(text).alias("text"))
     m = halves_for(threshold)
-    n = 3 * m * HALF
+    n = 2 * m * HALF
     rows = kept.keep(
         texts.mapInArrow(
             lambda batches: _signed(batches, words, n),
@@ -202,69 +274,47 @@ def near_duplicates(
     # What many others look like, such as the original of many edited copies, shares the
     # largest buckets and is the best center.
     weight = entries.groupBy("rep").agg(F.sum("n").alias("weight"))
-    members = kept.keep(entries.join(weight, "rep").select("key", "rep", "weight"), "members")
-    kept.drop([entries])
-
+    heaviest = F.max(F.struct("weight", F.xxhash64("rep").alias("h"), "rep")).getField("rep")
+    members = entries.select("key", "rep").join(weight, "rep")
+    met = kept.keep(
+        members.join(members.groupBy("key").agg(heaviest.alias("center")), "key")
+        .filter(F.col("rep") != F.col("center"))
+        .select("key", "rep", "center"),
+        "met-centers",
+    )
     search = _Search(texts, classes, words, threshold, n, kept)
-    labels = None
-    turn = 0
-    while not members.isEmpty():
-        # Best by weight, and one by chance.
-        heavy = F.max(F.struct("weight", F.xxhash64("rep").alias("h"), "rep"))
-        chance = F.max(F.struct(F.xxhash64("rep", F.lit(turn)).alias("h"), "rep"))
-        centers = members.groupBy("key").agg(
-            heavy.getField("rep").alias("c1"), chance.getField("rep").alias("c2")
-        )
-        met = kept.keep(members.join(centers, "key"), "met")
-        pairs = met.select("*", F.explode(F.array_distinct(F.array("c1", "c2"))).alias("c")).filter(
-            F.col("rep") != F.col("c")
-        )
-        if labels is not None:
-            other = labels.select(F.col("node").alias("c"), F.col("component").alias("of_c"))
-            pairs = pairs.join(other, "c", "left").filter(
-                F.col("label") != F.coalesce("of_c", F.col("c"))
-            )
-        pairs = pairs.select(F.least("rep", "c").alias("a"), F.greatest("rep", "c").alias("b")).distinct()
-        found = search.confirmed(pairs)
-        if found is not None:
-            edges.append(found)
-        if found is not None or labels is None:
-            linked = edges[0]
-            for more in edges[1:]:
-                linked = linked.unionByName(more)
-            labels = components(linked, kept)
-
-        # Centers have met all others of their bucket and leave it. What is left matters as
-        # long as it belongs to different components.
-        left = (
-            met.filter((F.col("rep") != F.col("c1")) & (F.col("rep") != F.col("c2")))
-            .select("key", "rep", "weight")
-            .join(labels.toDF("rep", "of_rep"), "rep", "left")
-            .withColumn("label", F.coalesce("of_rep", F.col("rep")))
-            .drop("of_rep")
-        )
-        mixed_buckets = (
-            left.groupBy("key")
-            .agg(F.count(F.lit(1)).alias("n"), F.min("label").alias("l1"), F.max("label").alias("l2"))
-            .filter(F.col("l1") != F.col("l2"))
-            .select("key", "n")
-        )
-        left = left.join(mixed_buckets, "key")
-        finer = F.array(
-            *[F.xxhash64("key", F.lit(turn), F.lit(i), *half(2 * m + i)) for i in range(m)]
-        )
-        small = left.filter(F.col("n") <= SMALL_BUCKET).select("key", "rep", "weight", "label")
-        large = left.filter(F.col("n") > SMALL_BUCKET)
-        if turn % 2 == 0:
-            third = classes.select("rep", "minima")
-            large = large.join(third, "rep").withColumn("key", F.explode(finer))
-        earlier = [members, met]
-        members = kept.keep(small.unionByName(large.select(*small.columns)), "members")
-        kept.drop(earlier)
-        turn += 1
-
-    if labels is None:
-        labels = components(edges[0], kept)
+    pair = [F.least("rep", "center").alias("a"), F.greatest("rep", "center").alias("b")]
+    edges.append(search.confirmed(met.select(*pair).distinct()))
+    labels = components(edges[0].unionByName(edges[1]), kept)
+
+    # A bucket whose other members are in one component has no more to tell.
+    left = met.join(labels.toDF("rep", "of_rep"), "rep", "left").select(
+        "key", "rep", "center", F.coalesce("of_rep", F.col("rep")).alias("label")
+    )
+    mixed_buckets = (
+        left.groupBy("key")
+        .agg(F.count(F.lit(1)).alias("n"), F.min("label").alias("l1"), F.max("label").alias("l2"))
+        .filter(F.col("l1") != F.col("l2"))
+        .select("key", "n")
+    )
+    left = kept.keep(left.join(mixed_buckets, "key"), "mixed-buckets")
+    small = left.filter(F.col("n") <= SMALL_BUCKET)
+    other = small.select("key", F.col("rep").alias("b"), F.col("label").alias("of_b"))
+    pairs = small.join(other, "key").filter(
+        (F.col("rep") < F.col("b")) & (F.col("label") != F.col("of_b"))
+    )
+    edges.append(search.confirmed(pairs.select(F.col("rep").alias("a"), "b").distinct()))
+
+    # Large buckets with the same center hold much the same documents: they are one family.
+    families = (
+        left.filter(F.col("n") > SMALL_BUCKET)
+        .select(F.col("center").alias("family"), "rep", "label")
+        .distinct()
+        .join(labels.toDF("family", "of_family"), "family", "left")
+        .withColumn("query", F.col("label") != F.coalesce("of_family", F.col("family")))
+    )
+    edges.append(search.within(kept.keep(families, "families")))
+    labels = components(reduce(DataFrame.unionByName, edges), kept)
     component = (
         membership.join(labels, F.col("rep") == F.col("node"), "left")
         .groupBy("doc_id")

@@ -61,8 +61,8 @@ def shingle_set(text: str | None, words: int) -> np.ndarray:
     if not len(hashes):
         return hashes
     width = min(words, len(hashes))
-    factors = _random(words + 1, 2)
-    total = np.full(len(hashes) - width + 1, factors[words] * np.uint64(width), np.uint64)
+    factors = _random(2 * words + 1, 2)
+    total = np.full(len(hashes) - width + 1, factors[words + width], np.uint64)
     for i in range(width):
         total += hashes[i : len(hashes) - width + 1 + i] * factors[i]
     return np.unique(mixed(total))
