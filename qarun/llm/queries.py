@@ -2,16 +2,24 @@
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+import public_tokenizers
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from qarun.llm.bpe import digests, encode, read_vocabulary
 from qarun.llm.common import table
 from qarun.llm.exact_dedup import exact_duplicates
 from qarun.llm.line_dedup import dedup_lines
 from qarun.llm.near_dedup import near_duplicates
 from qarun.llm.shards import shard_by_bytes
+from qarun.llm.toxicity import Model
+from qarun.llm.toxicity import fit as fit_toxicity
+from qarun.llm.toxicity import toxicity
 from qarun.llm.url_rules import WORDS, judge_urls
 
+# A score of at least this much predicts the label 1.
+DECISION = 0.3
+
 
 def op4_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(table(spark, sf_dir, "pages"))
@@ -27,6 +35,30 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    content = read_vocabulary(public_tokenizers.path("word_bpe_49k.json"))
+    return digests(encode(table(spark, sf_dir, "documents"), content))
+
+
+def _held_out(folds: int, fold: int) -> Column:
+    number = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
+    return number % folds == fold
+
+
+def toxicity_model(spark: SparkSession, sf_dir: str) -> Model:
+    labels = table(spark, sf_dir, "labels").filter(~_held_out(4, 2))
+    return fit_toxicity(table(spark, sf_dir, "documents"), labels)
+
+
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = toxicity_model(spark, sf_dir)
+    return (
+        table(spark, sf_dir, "documents")
+        .select("doc_id", _held_out(4, 2).alias("held_out"), toxicity(model).alias("score"))
+        .withColumn("predicted", (F.col("score") >= DECISION).cast("int"))
+    )
+
+
 def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), words=3, threshold=0.85)
 
@@ -48,6 +80,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_url_rules": op4_url_rules,
         "op5_line_dedup": op5_line_dedup,
         "op6_exact_dedup": op6_exact_dedup,
+        "op7_bpe": op7_bpe,
+        "op8_toxicity": op8_toxicity,
         "op9_near_dedup": op9_near_dedup,
         "op10_shards": op10_shards,
     }
