@@ -60,3 +60,9 @@ class Kept:
             if path is not None:
                 where = self.spark._jvm.org.apache.hadoop.fs.Path(path)
                 where.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def lent(df: DataFrame, most: int = 500_000) -> DataFrame:
+    """``df`` written and counted; broadcast up to ``most`` (narrow) rows, beyond it joined by key."""
+    back = Kept(df.sparkSession).keep(df, "lent")
+    return F.broadcast(back) if back.count() <= most else back

@@ -7,7 +7,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from qarun.llm.bpe import digests, encode, read_vocabulary
-from qarun.llm.common import table
+from qarun.llm.common import as_text, table
+from qarun.llm.decontaminate import contaminated
 from qarun.llm.exact_dedup import exact_duplicates
 from qarun.llm.line_dedup import dedup_lines
 from qarun.llm.near_dedup import near_duplicates
@@ -21,6 +22,21 @@ from qarun.llm.url_rules import WORDS, judge_urls
 DECISION = 0.3
 
 
+def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = contaminated(docs, table(spark, sf_dir, "benchmark"))
+    rows = docs.select("doc_id", F.xxhash64(as_text("text")).alias("text_hash"))
+    own = found.select(
+        F.col("doc_id").alias("of_id"), F.col("text_hash").alias("of_hash"), "item_ids"
+    )
+    same = F.col("doc_id").eqNullSafe(F.col("of_id")) & (F.col("text_hash") == F.col("of_hash"))
+    return rows.join(own, same, "left").select(
+        "doc_id",
+        F.col("item_ids").isNotNull().alias("contaminated"),
+        F.coalesce("item_ids", F.array().cast("array<bigint>")).alias("item_ids"),
+    )
+
+
 def op4_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(table(spark, sf_dir, "pages"))
 
@@ -77,6 +93,7 @@ def op10_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op3_decontaminate": op3_decontaminate,
         "op4_url_rules": op4_url_rules,
         "op5_line_dedup": op5_line_dedup,
         "op6_exact_dedup": op6_exact_dedup,
