@@ -12,6 +12,7 @@ from qarun.llm.decontaminate import contaminated
 from qarun.llm.exact_dedup import exact_duplicates
 from qarun.llm.line_dedup import dedup_lines
 from qarun.llm.near_dedup import near_duplicates
+from qarun.llm.quality import score_quality
 from qarun.llm.shards import shard_by_bytes
 from qarun.llm.toxicity import Model
 from qarun.llm.toxicity import fit as fit_toxicity
@@ -22,6 +23,22 @@ from qarun.llm.url_rules import WORDS, judge_urls
 DECISION = 0.3
 
 
+def _held_out(folds: int, fold: int) -> Column:
+    number = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
+    return number % folds == fold
+
+
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = table(spark, sf_dir, "labels").filter(~_held_out(5, 0))
+    scored = score_quality(table(spark, sf_dir, "documents"), labels)
+    return scored.select(
+        "doc_id",
+        _held_out(5, 0).alias("held_out"),
+        "score",
+        (F.col("score") >= DECISION).cast("int").alias("predicted"),
+    )
+
+
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     found = contaminated(docs, table(spark, sf_dir, "benchmark"))
@@ -56,11 +73,6 @@ def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(encode(table(spark, sf_dir, "documents"), content))
 
 
-def _held_out(folds: int, fold: int) -> Column:
-    number = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
-    return number % folds == fold
-
-
 def toxicity_model(spark: SparkSession, sf_dir: str) -> Model:
     labels = table(spark, sf_dir, "labels").filter(~_held_out(4, 2))
     return fit_toxicity(table(spark, sf_dir, "documents"), labels)
@@ -93,6 +105,7 @@ def op10_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_quality": op1_quality,
         "op3_decontaminate": op3_decontaminate,
         "op4_url_rules": op4_url_rules,
         "op5_line_dedup": op5_line_dedup,
