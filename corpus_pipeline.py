@@ -2,17 +2,29 @@
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from qarun.llm.common import Kept
+from qarun.llm.bpe import digests, encode, read_vocabulary
+from qarun.llm.common import Kept, lent, table
+from qarun.llm.decontaminate import contaminated, without_contaminated
 from qarun.llm.line_dedup import dedup_lines
+from qarun.llm.near_dedup import near_duplicates
+from qarun.llm.queries import DECISION, toxicity_model
+from qarun.llm.toxicity import toxicity
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
-def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Common lines stay in one document; ``n_chars`` follows the text."""
+def non_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents below the decision score stay."""
+    model = toxicity_model(spark, sf_dir)
+    return docs.filter(toxicity(model) < DECISION)
+
+
+def distinct_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Common lines stay in one document; ``n_chars`` follows the text, no document goes."""
     return (
         dedup_lines(docs)
         .withColumn("n_chars", F.char_length("text").cast("bigint"))
@@ -20,11 +32,32 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     )
 
 
+def distinct_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies stays: the one with the smallest id."""
+    copies = near_duplicates(docs).filter(~F.col("kept")).select("doc_id").distinct()
+    return docs.join(lent(copies), "doc_id", "left_anti").select(*docs.columns)
+
+
+def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no benchmark passage stay."""
+    return without_contaminated(docs, contaminated(docs, table(spark, sf_dir, "benchmark")))
+
+
+def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document that is left as token ids, with digests of ids and decoded text."""
+    content = read_vocabulary(public_tokenizers.path("word_bpe_49k.json"))
+    return digests(encode(docs, content))
+
+
 STAGES: list[tuple[str, Stage]] = [
-    ("line dedup", lines),
+    ("toxicity", non_toxic),
+    ("line dedup", distinct_lines),
+    ("near-dedup", distinct_documents),
+    ("decontamination", decontaminated),
+    ("BPE", token_ids),
 ]
 
-# Trained models and sketches are no SQL; tests hold the stages against brute force.
+# Trained models and sketches are no SQL; the tests hold the stages against brute force.
 ORACLE_SQL = None
 
 

@@ -10,6 +10,7 @@ from qarun.llm.bpe import digests, encode, read_vocabulary
 from qarun.llm.common import as_text, table
 from qarun.llm.decontaminate import contaminated
 from qarun.llm.exact_dedup import exact_duplicates
+from qarun.llm.html_text import extract_pages
 from qarun.llm.line_dedup import dedup_lines
 from qarun.llm.near_dedup import near_duplicates
 from qarun.llm.quality import score_quality
@@ -39,6 +40,11 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = extract_pages(table(spark, sf_dir, "pages"))
+    return found.withColumn("n_chars", F.char_length("text").cast("bigint"))
+
+
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     found = contaminated(docs, table(spark, sf_dir, "benchmark"))
@@ -106,6 +112,7 @@ def op10_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality": op1_quality,
+        "op2_html_text": op2_html_text,
         "op3_decontaminate": op3_decontaminate,
         "op4_url_rules": op4_url_rules,
         "op5_line_dedup": op5_line_dedup,
