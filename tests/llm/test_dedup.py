@@ -1,0 +1,178 @@
+"""Line, exact and near dedup against brute force."""
+
+import random
+from collections import defaultdict
+
+import pytest
+
+from qarun.llm import near_dedup
+from qarun.llm.exact_dedup import exact_duplicates, repeated_fingerprints
+from qarun.llm.line_dedup import dedup_lines
+from qarun.llm.near_dedup import near_duplicates
+from qarun.llm.shingles import shingle_set, word_hashes
+from tests.llm.helpers import docs, sha
+
+SPACES = " \t\n\x0b\x0c\r"
+LOWER = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
+
+
+def lines_by_hand(rows, min_docs=3, min_chars=20):
+    def key(line):
+        return line.strip(SPACES).translate(LOWER)
+
+    holders = defaultdict(set)
+    for i, text in rows:
+        for line in (text or "").split("\n"):
+            if i is not None and len(key(line)) >= min_chars:
+                holders[key(line)].add(i)
+    kept = []
+    for i, text in rows:
+        lines = (text or "").split("\n")
+        stay = [
+            x
+            for x in lines
+            if i is None or len(holders.get(key(x), ())) < min_docs or max(holders[key(x)]) == i
+        ]
+        kept.append((i, len(lines), len(lines) - len(stay), "\n".join(stay)))
+    return sorted(kept, key=repr)
+
+
+COMMON = "A line that Many documents hold"
+
+
+def test_lines(spark):
+    texts = [
+        f"{COMMON}\nown one",
+        f"own two\n  {COMMON.upper()}\t\nlast",
+        f"{COMMON}\n{COMMON}",
+        f"\n\n{COMMON}\n",
+        "short\nshort",
+        None,
+        "",
+        "ÀÉ is not lowered by anyone\nx",
+        "àé is not lowered by anyone\nx",
+        "àÉ is not lowered by anyone",
+        f"x\r\n{COMMON}",
+        "n\n" * 3000 + COMMON,
+        f"{COMMON}\nwithout id",
+        f"{COMMON}\nwithout id",
+        "twice the same id, line one\n" + COMMON,
+        "twice the same id, line one",
+        "twice the same id, line one",
+    ]
+    ids = [*range(12), None, None, 20, 20, 21]
+    got = dedup_lines(docs(spark, texts, ids))
+    assert got.columns == ["doc_id", "text", "row", "gone", "component_id", "n_lines", "n_dropped"]
+    found = sorted(((r.doc_id, r.n_lines, r.n_dropped, r.text) for r in got.collect()), key=repr)
+    assert found == lines_by_hand(list(zip(ids, texts, strict=True)))
+    assert {r.row for r in got.collect()} == {"r"}
+    assert dedup_lines(docs(spark, [])).count() == 0
+
+
+def test_exact(spark):
+    texts = ["a b", "ab", " a\tb\n", "A b", None, "", " \n", "x" * 100_000, "x " * 100_000, "á", "á", "a\xa0b"]
+    texts += ["same"] * 40 + ["no id", "no id"]
+    ids = [5, 3, 9, *range(10, 19), *range(100, 140), None, 7]
+    got = exact_duplicates(docs(spark, texts, ids)).collect()
+
+    groups = defaultdict(list)
+    for i, text in zip(ids, texts, strict=True):
+        bare = (text or "").translate({ord(c): None for c in SPACES})
+        groups[bare].append((-len(text or ""), i is None, i))
+    want = [
+        (i, min(g)[2], len(g), i == min(g)[2], sha(bare)) for bare, g in groups.items() for *_, i in g
+    ]
+    assert sorted(map(tuple, got), key=repr) == sorted(want, key=repr)
+    assert exact_duplicates(docs(spark, [])).count() == 0
+
+
+def test_exact_repeated_rows_are_one_document(spark):
+    got = exact_duplicates(docs(spark, ["a", "a", "a"], [4, 4, 5])).collect()
+    assert sorted((r.doc_id, r.keep_id, r.group_size, r.kept) for r in got) == [
+        (4, 4, 3, True),
+        (4, 4, 3, True),
+        (5, 4, 3, False),
+    ]
+
+
+@pytest.mark.parametrize("bits", [1, 12])
+def test_filters_merge_without_loss(spark, bits):
+    rng = random.Random(5)
+    values = [rng.randrange(-(2**63), 2**63) for _ in range(300)]
+    values += [v for v in values for _ in range(rng.randrange(3))] + [0] * 1000 + [-1, 2**63 - 1] * 2
+    df = spark.createDataFrame([(v,) for v in values], "f long").repartition(7)
+    want = {v: values.count(v) for v in set(values) if values.count(v) > 1}
+    assert {r.fingerprint: r.n for r in repeated_fingerprints(df, bits).collect()} == want
+
+
+def sets_of(texts, k):
+    sets = []
+    for text in texts:
+        w = (text or "").encode().lower().split()
+        sets.append({tuple(w[i : i + k]) for i in range(max(1, len(w) - k + 1))} if w else set())
+    return sets
+
+
+def near_by_hand(ids, texts, k, percent):
+    sets, parent = sets_of(texts, k), {i: i for i in ids}
+
+    def root(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for x, (i, a) in enumerate(zip(ids, sets, strict=True)):
+        for j, b in list(zip(ids, sets, strict=True))[:x]:
+            if a and b and 100 * len(a & b) >= percent * len(a | b):
+                r, s = root(i), root(j)
+                parent[max(r, s)] = min(r, s)
+    return sorted((i, len(s), root(i), root(i) == i) for i, s in zip(ids, sets, strict=True))
+
+
+def edited(rng, text, n):
+    w = text.split()
+    for _ in range(n):
+        w[rng.randrange(len(w))] = f"e{rng.randrange(10**6)}"
+    return " ".join(w)
+
+
+def family(seed, copies, length=120, edits=8):
+    rng = random.Random(seed)
+    base = " ".join(f"w{rng.randrange(300)}" for _ in range(length))
+    return [base, *(edited(rng, base, rng.randrange(edits)) for _ in range(copies))]
+
+
+@pytest.mark.parametrize(("k", "percent"), [(3, 85), (5, 80)])
+def test_near_against_all_pairs(spark, k, percent):
+    texts = family(1, 60) + family(2, 12) + family(3, 3) + family(4, 1, length=6)
+    texts += [None, "", " \n\t", "one", "One", "two words", "TWO  words", "É", "é"]
+    texts += ["z " * 30_000, "z " * 29_999, texts[0].upper(), texts[0]]
+    ids = list(range(len(texts)))
+    random.Random(9).shuffle(ids)
+    got = near_duplicates(docs(spark, texts, ids), k, percent / 100).collect()
+    assert sorted(map(tuple, got)) == near_by_hand(ids, texts, k, percent)
+
+
+def test_near_with_null_and_repeated_ids_and_no_rows(spark):
+    same, other = "a b c d e f g", "q r s t u v w"
+    got = near_duplicates(docs(spark, [same, same, other, other, same], [None, 3, 3, 2, None]))
+    assert sorted(map(tuple, got.collect()), key=repr) == sorted(
+        [(None, 3, None, True)] * 2 + [(3, 3, 2, False)] * 2 + [(2, 3, 2, True)], key=repr
+    )
+    assert near_duplicates(docs(spark, [])).count() == 0
+
+
+def test_a_large_family_is_cut_into_blocks(spark, monkeypatch):
+    monkeypatch.setattr(near_dedup, "BLOCK", 16)
+    texts = family(7, 150, length=90, edits=14)
+    ids = list(range(len(texts)))
+    got = near_duplicates(docs(spark, texts, ids), 3, 0.85).collect()
+    assert sorted(map(tuple, got)) == near_by_hand(ids, texts, 3, 85)
+
+
+def test_word_hashes_follow_the_words():
+    a, b = word_hashes("The cat\tSAT\x0bon"), word_hashes("xx yyy the  cat sat on".removeprefix("xx yyy "))
+    assert (a == b).all() and len(a) == 4 and len(set(a.tolist())) == 4
+    assert len(word_hashes(" \n")) == 0 and len(word_hashes("a\x1cb \xa0")) == 2
+    assert (shingle_set("a b", 5) == shingle_set("A  b", 5)).all()
+    assert (shingle_set("a b", 5) != shingle_set("b a", 5)).all()
