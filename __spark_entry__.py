@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import uuid
 from collections.abc import Callable
 from datetime import timedelta
@@ -24,9 +25,16 @@ from qarun.operators import (
     with_session,
 )
 from qarun.plans import recorded_results as recorded
-from qarun.plans import run
+from qarun.plans import prepare, run
 from qarun.scratch import new_path, written
-from qarun.sources import intact, read_log, read_questions, resolve_question, write_log
+from qarun.sources import (
+    intact,
+    read_log,
+    read_questions,
+    resolve_question,
+    with_run,
+    write_log,
+)
 from qarun.streaming import progress as log_progress_stream
 from qarun.streaming import progress_counts
 
@@ -97,8 +105,16 @@ def error_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return errors(recorded_results(spark, sf_dir))
 
 
+# Texts with nothing to see in them; the last three hold more than ASCII white space.
+BLANKS = ("", " \t", "\n", "\x0b\x0c", "\x85", "\u2028", " \xa0")
+
+
 def empty_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return empty_responses(recorded_results(spark, sf_dir))
+    """Answers of every third conversation are replaced by blank ones."""
+    blank = F.get(F.lit(list(BLANKS)), (F.col("conv_id") + F.col("turn")).cast("int") % len(BLANKS))
+    replaced = F.when(F.col("conv_id") % 3 == 0, blank).otherwise(F.col("response"))
+    results = recorded_results(spark, sf_dir)
+    return empty_responses(results.withColumn("response", replaced))
 
 
 def first_results(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -162,22 +178,99 @@ def log_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _answer(session_id: str, question: str) -> str:
-    if len(question) > 200:
-        raise ValueError("question too long")
-    return f"A: {question[:20]}"
+    """An answer that takes the whole question, and a failure by what it says."""
+    digest = hashlib.md5(question.encode()).hexdigest()
+    if digest[0] in "0123":
+        raise ValueError(f"refused {digest}")
+    return f"A: {digest}"
 
 
 def batch_ask(spark: SparkSession, sf_dir: str) -> DataFrame:
     questions = recorded_results(spark, sf_dir).select("row_index", "question")
     asked = written(ask(with_session(questions, RUN_ID), _answer), "asked")
-    return asked.select("row_index", "session_id", "status", "phase", "question", "response")
+    return asked.select("row_index", "session_id", "status", "phase", "question", "response", "error")
 
 
-def file_run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    questions, log = new_path(spark, "question-files"), new_path(spark, "log")
+def _no_session() -> str:
+    raise ConnectionError("no session today")
+
+
+def ask_with_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    questions = recorded_results(spark, sf_dir).select("row_index", "conv_id", "question")
+    closed = F.col("conv_id") % 3 == 0
+    without = ask(questions.filter(closed), _answer, _no_session)
+    opened = ask(questions.filter(~closed), _answer, lambda: "open")
+    return written(without.unionByName(opened), "asked").drop("ts")
+
+
+def _question_files(spark: SparkSession, sf_dir: str) -> str:
+    path = new_path(spark, "question-files")
     turns = _user_turns(spark, sf_dir).orderBy("conv_id", "turn")
-    _write_csv(turns.select(F.col("text").alias("question")), questions)
-    return run(spark, questions, log, _answer, RUN_ID).drop("ts")
+    _write_csv(turns.select(F.col("text").alias("question")), path)
+    return path
+
+
+def file_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files, log = _question_files(spark, sf_dir), new_path(spark, "log")
+    return run(spark, files, log, _answer, RUN_ID).drop("ts")
+
+
+def resumed_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A run of which half the log is there already."""
+    files, log = _question_files(spark, sf_dir), new_path(spark, "log")
+    first = ask(prepare(spark, files, RUN_ID), _answer).filter("row_index % 2 = 0")
+    write_log(to_record(first, error=True), log)
+    return run(spark, files, log, _answer, RUN_ID, resume=True).drop("ts")
+
+
+def foreign_log_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every turn as a line of a log that another program might have written."""
+    kind = F.col("turn") % 4
+    ts = (
+        F.when(kind == 0, "2025-01-23T10:30:45.123Z")
+        .when(kind == 1, "2025-01-23T11:30:45+01:00")
+        .when(kind == 2, "2025-01-23T05:00:45-0530")
+        .otherwise("later")
+    )
+    number = (F.col("conv_id") * 10_000 + F.col("turn")).cast("string")
+    line = F.to_json(
+        F.struct(
+            ts.alias("ts"),
+            number.alias("row_index"),
+            F.when(F.col("conv_id") % 5 != 0, "ok").alias("status"),
+            F.col("role").alias("phase"),
+            F.col("text").alias("question"),
+            F.lit("x").alias("unknown"),
+        )
+    )
+    path = new_path(spark, "foreign-log")
+    _conversations(spark, sf_dir).select(line).write.text(path)
+    return intact(read_log(spark, path)).withColumn("ts", _naive("ts"))
+
+
+def log_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stalls in the logs of several runs, told apart by their folders."""
+    events = _table(spark, sf_dir, "events").filter(F.col("ts").isNotNull())
+    logs = []
+    for run_number in range(4):
+        logs.append(f"{new_path(spark, 'log')}/run{run_number}")
+        own = events.filter(F.col("user_id") % 4 == run_number).select(
+            "ts",
+            F.col("event_id").alias("row_index"),
+            F.lit("ok").alias("status"),
+            F.lit("ask").alias("phase"),
+            F.col("event_type").alias("question"),
+            F.lit(None).cast("string").alias("response"),
+        )
+        write_log(to_record(own), logs[-1])
+    found = gaps(intact(with_run(read_log(spark, logs))), "run", timedelta(minutes=30))
+    return found.withColumns(
+        {
+            "run": F.regexp_extract("run", "[^/]+$", 0),
+            "prev_ts": _naive("prev_ts"),
+            "ts": _naive("ts"),
+        }
+    )
 
 
 def record_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -218,7 +311,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "log_round_trip": log_round_trip,
         "log_progress": log_progress,
         "batch_ask": batch_ask,
+        "ask_with_sessions": ask_with_sessions,
         "file_run": file_run,
+        "resumed_run": resumed_run,
+        "foreign_log_scan": foreign_log_scan,
+        "log_gaps": log_gaps,
         "record_gaps": record_gaps,
         "progress": progress,
     }
@@ -237,12 +334,16 @@ WHERE role = 'user'
 
 
 ASKED_SQL = f"""
-SELECT row_index, CASE WHEN length(question) > 200 THEN 'error' ELSE 'ok' END AS status,
+SELECT row_index, CASE WHEN refused THEN 'error' ELSE 'ok' END AS status,
        'ask' AS phase, question,
-       CASE WHEN length(question) <= 200 THEN 'A: ' || left(question, 20) END AS response
-FROM ({RECORDED_SQL})
+       CASE WHEN NOT refused THEN 'A: ' || digest END AS response,
+       CASE WHEN refused THEN 'ValueError: refused ' || digest END AS error
+FROM (SELECT *, md5(question) AS digest, left(md5(question), 1) < '4' AS refused
+      FROM ({RECORDED_SQL}))
 """
 
+BLANKS_SQL = "'', ' ' || chr(9), chr(10), chr(11) || chr(12), chr(133), chr(8232), ' ' || chr(160)"
+
 
 def oracle_sql() -> dict[str, str]:
     counts = f"SELECT status, phase, count(*) AS n FROM ({RECORDED_SQL}) GROUP BY status, phase"
@@ -254,8 +355,13 @@ def oracle_sql() -> dict[str, str]:
         "recorded_results": RECORDED_SQL,
         "error_records": f"SELECT * FROM ({RECORDED_SQL}) WHERE status IS DISTINCT FROM 'ok'",
         "empty_responses": f"""
-            SELECT * FROM ({RECORDED_SQL})
-            WHERE response IS NULL OR regexp_matches(response, '^\\s*$')""",
+            SELECT * FROM (
+                SELECT * REPLACE (CASE WHEN conv_id % 3 = 0
+                                  THEN [{BLANKS_SQL}][(conv_id + turn) % {len(BLANKS)} + 1]
+                                  ELSE response END AS response)
+                FROM ({RECORDED_SQL}))
+            WHERE response IS NULL
+               OR trim(response, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) = ''""",
         "unanswered_questions": """
             SELECT conv_id, turn, text AS question FROM conversations q
             WHERE role = 'user' AND NOT EXISTS (
@@ -290,7 +396,34 @@ def oracle_sql() -> dict[str, str]:
         "log_progress": counts,
         "batch_ask": f"""
             SELECT row_index, '{RUN_ID}-' || row_index AS session_id,
-                   status, phase, question, response FROM ({ASKED_SQL})""",
+                   status, phase, question, response, error FROM ({ASKED_SQL})""",
+        "ask_with_sessions": f"""
+            SELECT row_index, conv_id, question,
+                   CASE WHEN NOT closed THEN 'open' END AS session_id,
+                   CASE WHEN closed THEN 'error' ELSE status END AS status,
+                   CASE WHEN closed THEN 'start_session' ELSE phase END AS phase,
+                   CASE WHEN NOT closed THEN response END AS response,
+                   CASE WHEN closed THEN 'ConnectionError: no session today' ELSE error END AS error
+            FROM (SELECT a.*, r.conv_id, r.conv_id % 3 = 0 AS closed
+                  FROM ({ASKED_SQL}) a JOIN ({RECORDED_SQL}) r USING (row_index))""",
+        "resumed_run": ASKED_SQL,
+        "foreign_log_scan": """
+            SELECT CASE turn % 4 WHEN 0 THEN TIMESTAMP '2025-01-23 10:30:45.123'
+                                 WHEN 3 THEN NULL ELSE TIMESTAMP '2025-01-23 10:30:45' END AS ts,
+                   conv_id * 10000 + turn AS row_index,
+                   CASE WHEN conv_id % 5 <> 0 THEN 'ok' END AS status, role AS phase,
+                   text AS question, CAST(NULL AS VARCHAR) AS response
+            FROM conversations""",
+        "log_gaps": """
+            SELECT run, row_index, prev_ts, ts,
+                   date_diff('microsecond', prev_ts, ts) AS gap_micros
+            FROM (SELECT 'run' || (user_id % 4) AS run, event_id AS row_index,
+                         date_trunc('second', ts) AS ts,
+                         lag(date_trunc('second', ts)) OVER (
+                             PARTITION BY user_id % 4
+                             ORDER BY date_trunc('second', ts), event_id) AS prev_ts
+                  FROM events WHERE ts IS NOT NULL)
+            WHERE date_diff('microsecond', prev_ts, ts) > 1800000000""",
         "file_run": ASKED_SQL,
         "record_gaps": """
             SELECT user_id, event_id, prev_ts, ts,

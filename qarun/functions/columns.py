@@ -5,8 +5,7 @@ from pyspark.sql import functions as F
 
 from qarun.schema import OK
 
-# 2**12 = 4,096 values share a bucket: a window over one bucket stays in memory,
-# and a table of buckets is thousands of times smaller than the rows it counts.
+# 2**12 = 4,096 values share a bucket, so a window over one bucket stays in memory.
 ORDER_BUCKET_BITS = 12
 
 
@@ -16,8 +15,8 @@ def is_ok(status: Column) -> Column:
 
 
 def is_blank(text: Column) -> Column:
-    """Null, empty or only ASCII white space."""
-    return text.isNull() | text.rlike(r"^\s*$")
+    """Null, empty or only ASCII white space (space, tab, line ends, form feed, vertical tab)."""
+    return text.isNull() | text.rlike(r"^[ \t\n\x0B\f\r]*\z")
 
 
 def long_bucket(number: Column, bits: int = ORDER_BUCKET_BITS) -> Column:

@@ -7,7 +7,7 @@ from datetime import UTC, datetime
 from functools import partial
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -20,6 +20,7 @@ OUTCOME = T.StructType(
         T.StructField("status", T.StringType()),
         T.StructField("phase", T.StringType()),
         T.StructField("response", T.StringType()),
+        T.StructField("error", T.StringType()),
     ]
 )
 OUTCOME_ARROW = pa.schema(
@@ -29,9 +30,13 @@ OUTCOME_ARROW = pa.schema(
         ("status", pa.string()),
         ("phase", pa.string()),
         ("response", pa.string()),
+        ("error", pa.string()),
     ]
 )
 
+# Rows that are answered before they go on: few enough to see a log grow.
+CHUNK = 200
+
 
 def with_session(df: DataFrame, run_id: str) -> DataFrame:
     """Add ``session_id``: one key per row, the same each time the plan runs."""
@@ -45,18 +50,28 @@ def _ask_one(
     open_session: Callable[[], str] | None,
 ) -> tuple:
     """The values of OUTCOME for one question."""
-    phase, status, response = START_SESSION, ERROR, None
+    phase, status, response, error = START_SESSION, ERROR, None, None
     try:
         if open_session is not None:
             session_id = None
-            session_id = str(open_session())
+            opened = open_session()
+            if opened is None or str(opened) == "":
+                raise ValueError("open_session gave no session key")
+            session_id = str(opened)
         phase = ASK
         answer = responder(session_id, question)
         response = None if answer is None else str(answer)
         status = OK
-    except Exception:  # a bad row becomes an error record
-        pass
-    return session_id, datetime.now(UTC), status, phase, response
+    except Exception as failure:  # a bad row becomes an error record
+        error = f"{type(failure).__name__}: {failure}"
+    return session_id, datetime.now(UTC), status, phase, response, error
+
+
+def _free(name: str, taken: set[str]) -> str:
+    """``name`` with as many underscores behind it as it takes to be new."""
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
 def ask(
@@ -66,11 +81,15 @@ def ask(
     parallelism: int | None = None,
     concurrency: int = 1,
 ) -> DataFrame:
-    """Add ``session_id, ts, status, phase, response`` to a table with ``question``.
+    """Add ``session_id, ts, status, phase, response, error`` to a table with ``question``.
 
     ``responder(session_id, question)`` is called once per row on the executors; when
     ``open_session`` is given it is called first and its key replaces ``session_id``.
-    A row whose call raises becomes an ``error`` record and does not stop the job.
+    A row whose call raises, or whose session has no key, becomes an ``error`` record with the
+    exception's type and whole message, and does not stop the job.
+
+    Other columns stay. One with the name of an added column, in any letter case, gets an
+    underscore behind its name.
 
     ``parallelism`` is the number of tasks (default: the cores of the cluster) and
     ``concurrency`` the number of calls a task has under way at a time; more than one
@@ -85,26 +104,40 @@ def ask(
         df = df.withColumn("session_id", F.lit(None).cast("string"))
     if df.sparkSession.conf.get("spark.speculation", "false") == "true":
         warnings.warn("spark.speculation is on: some questions may be asked twice", stacklevel=2)
-    kept = [name for name in df.columns if name not in OUTCOME.names]
-    schema = T.StructType([*[df.schema[name] for name in kept], *OUTCOME.fields])
+    own = [name for name in df.columns if name != "session_id"]
+    added = {name.lower() for name in OUTCOME.names}
+    others = {name.lower() for name in own} - added
+    renamed = {}
+    for name in own:
+        renamed[name] = _free(name, added | others) if name.lower() in added else name
+        others.add(renamed[name].lower())
+
+    def quoted(name: str) -> Column:
+        return F.col("`" + name.replace("`", "``") + "`")
+
+    # By place, as a header like `S.No.` is no name that Spark can look up.
+    places = [f"c{i}" for i in range(len(own))]
+    columns = [quoted(name).alias(place) for name, place in zip(own, places, strict=True)]
+    rows = df.select("session_id", *columns)
+    schema = T.StructType([*rows.schema.fields[1:], *OUTCOME.fields])
+    at = own.index("question") + 1
     one = partial(_ask_one, responder=responder, open_session=open_session)
 
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         with ThreadPoolExecutor(concurrency) as pool:
             each = map if concurrency == 1 else pool.map
             for batch in batches:
-                sessions = batch.column("session_id").to_pylist()
-                questions = batch.column("question").to_pylist()
-                outcomes = list(each(one, sessions, questions))
-                added = [
-                    pa.array([outcome[i] for outcome in outcomes], field.type)
-                    for i, field in enumerate(OUTCOME_ARROW)
-                ]
-                names = [*kept, *OUTCOME_ARROW.names]
-                columns = [batch.column(name) for name in kept] + added
-                yield pa.RecordBatch.from_arrays(columns, names=names)
+                for start in range(0, batch.num_rows, CHUNK):
+                    part = batch.slice(start, CHUNK)
+                    outcomes = list(each(one, part.column(0).to_pylist(), part.column(at).to_pylist()))
+                    new = [
+                        pa.array([outcome[i] for outcome in outcomes], field.type)
+                        for i, field in enumerate(OUTCOME_ARROW)
+                    ]
+                    yield pa.RecordBatch.from_arrays([*part.columns[1:], *new], names=schema.names)
 
     # By row_index the spread is even and the same each time a task is run again.
     tasks = parallelism or df.sparkSession.sparkContext.defaultParallelism
-    keys = ["row_index"] if "row_index" in df.columns else []
-    return df.select(*kept, "session_id").repartition(tasks, *keys).mapInArrow(answer, schema)
+    keys = [places[own.index("row_index")]] if "row_index" in own else []
+    answered = rows.repartition(tasks, *keys).mapInArrow(answer, schema)
+    return answered.toDF(*[renamed[name] for name in own], *OUTCOME.names)

@@ -19,48 +19,47 @@ from pyspark.sql.window import Window
 from qarun.functions import ORDER_BUCKET_BITS, long_bucket
 from qarun.scratch import written
 
-# A block of a file is about 128 MB of input, so this many blocks stand for about
-# 25 TB; their starts take some 50 MB in each executor. Beyond it Spark joins by key.
-MAX_BROADCAST_BLOCKS = 200_000
 
+def _mark(df: DataFrame) -> str:
+    """A start for names of helper columns that no column of ``df`` has."""
+    mark = "_"
+    while any(name.lower().startswith(mark) for name in df.columns):
+        mark += "_"
+    return mark
 
-def _join_start(
-    rows: DataFrame, counts: DataFrame, keys: Sequence[str], broadcast_rows: int = 0
-) -> DataFrame:
-    """Give each row the ``_start`` of its bucket: the sum of ``_n`` over smaller keys.
+
+def _join_start(rows: DataFrame, counts: DataFrame, keys: Sequence[str], mark: str) -> DataFrame:
+    """Give each row the ``start`` of its bucket: the sum of ``n`` over smaller keys.
 
     ``counts`` has one row per bucket. It is sorted once and written with the number
     of the sorted part, so that every later read agrees; then the parts are summed side
-    by side. Up to ``broadcast_rows`` of its rows are broadcast.
+    by side. Names of helper columns begin with ``mark``.
     """
     parts = written(
-        counts.orderBy(*keys).withColumn("_part", F.spark_partition_id()), "bucket-counts"
+        counts.orderBy(*keys).withColumn(f"{mark}part", F.spark_partition_id()), "bucket-counts"
     )
     # One row per part of the sort, at most spark.sql.shuffle.partitions of them.
     any_null = reduce(or_, [F.col(key).isNull() for key in keys])
-    totals = parts.groupBy("_part").agg(F.sum("_n"), F.count(F.lit(1)), F.max(any_null)).collect()
-    numbers, sizes, buckets, nulls = zip(*sorted(totals), strict=True) if totals else [()] * 4
+    totals = parts.groupBy(f"{mark}part").agg(F.sum(f"{mark}n"), F.max(any_null)).collect()
+    numbers, sizes, nulls = zip(*sorted(totals), strict=True) if totals else [()] * 3
     bases = rows.sparkSession.createDataFrame(
         pa.table(
             {
-                "_part": pa.array(numbers, pa.int32()),
-                "_base": pa.array([0, *accumulate(sizes)][: len(sizes)], pa.int64()),
+                f"{mark}part": pa.array(numbers, pa.int32()),
+                f"{mark}base": pa.array([0, *accumulate(sizes)][: len(sizes)], pa.int64()),
             }
         )
     )
 
-    by_key = Window.partitionBy("_part").orderBy(*keys)
-    earlier = F.sum("_n").over(by_key.rowsBetween(Window.unboundedPreceding, -1))
-    inner = {key: f"_at{i}" for i, key in enumerate(keys)}
+    by_key = Window.partitionBy(f"{mark}part").orderBy(*keys)
+    earlier = F.sum(f"{mark}n").over(by_key.rowsBetween(Window.unboundedPreceding, -1))
+    inner = {key: f"{mark}at{i}" for i, key in enumerate(keys)}
     starts = (
-        parts.join(F.broadcast(bases), "_part")
-        .withColumn("_start", F.col("_base") + F.coalesce(earlier, F.lit(0)))
-        .drop("_part", "_base", "_n")
+        parts.join(F.broadcast(bases), f"{mark}part")
+        .withColumn(f"{mark}start", F.col(f"{mark}base") + F.coalesce(earlier, F.lit(0)))
+        .drop(f"{mark}part", f"{mark}base", f"{mark}n")
         .withColumnsRenamed(inner)
     )
-    if sum(buckets) <= broadcast_rows:
-        starts = F.broadcast(starts)
-
     # A null-safe join does not keep the partitioning of the rows, so it is used only
     # when there is a null to be matched.
     same = [
@@ -70,39 +69,40 @@ def _join_start(
     return rows.join(starts, reduce(and_, same)).drop(*inner.values())
 
 
-def _by_key(df: DataFrame, order: Sequence[str], bucket: Sequence[str]) -> DataFrame:
-    counts = df.groupBy(*bucket).agg(F.count(F.lit(1)).alias("_n"))
+def _by_key(df: DataFrame, order: Sequence[str], bucket: Sequence[str], mark: str) -> DataFrame:
+    counts = df.groupBy(*bucket).agg(F.count(F.lit(1)).alias(f"{mark}n"))
     inside = [name for name in order if name not in bucket] or order
     place = F.row_number().over(Window.partitionBy(*bucket).orderBy(*inside)) - 1
     return (
-        _join_start(df.withColumn("_place", place), counts, bucket)
-        .withColumn("row_index", F.col("_start") + F.col("_place"))
-        .drop("_place", "_start")
+        _join_start(df.withColumn(f"{mark}place", place), counts, bucket, mark)
+        .withColumn("row_index", F.col(f"{mark}start") + F.col(f"{mark}place"))
+        .drop(f"{mark}place", f"{mark}start")
     )
 
 
 def _by_file(df: DataFrame) -> DataFrame:
+    mark = _mark(df)
     # Splits can differ between two scans when the number of executors changes, so
     # the scan is run once and its row numbers are kept.
     rows = written(
         df.select(
             "*",
-            F.col("_metadata.file_path").alias("_path"),
-            F.col("_metadata.file_block_start").alias("_offset"),
-            F.monotonically_increasing_id().alias("_id"),
+            F.col("_metadata.file_path").alias(f"{mark}path"),
+            F.col("_metadata.file_block_start").alias(f"{mark}offset"),
+            F.monotonically_increasing_id().alias(f"{mark}id"),
         ),
         "numbered-rows",
     )
-    block = ["_path", "_offset"]
-    n, first, last = F.count(F.lit(1)), F.min("_id"), F.max("_id")
+    block = [f"{mark}path", f"{mark}offset"]
+    n, first, last = F.count(F.lit(1)), F.min(f"{mark}id"), F.max(f"{mark}id")
     moved = F.raise_error(F.lit("rows of a file block are not together; index the scan itself"))
     counts = rows.groupBy(*block).agg(
-        n.alias("_n"), F.when(last - first + 1 == n, first).otherwise(moved).alias("_first")
+        n.alias(f"{mark}n"), F.when(last - first + 1 == n, first).otherwise(moved).alias(f"{mark}first")
     )
     return (
-        _join_start(rows, counts, block, MAX_BROADCAST_BLOCKS)
-        .withColumn("row_index", F.col("_start") + F.col("_id") - F.col("_first"))
-        .drop(*block, "_id", "_first", "_start")
+        _join_start(rows, counts, block, mark)
+        .withColumn("row_index", F.col(f"{mark}start") + F.col(f"{mark}id") - F.col(f"{mark}first"))
+        .drop(*block, f"{mark}id", f"{mark}first", f"{mark}start")
     )
 
 
@@ -129,10 +129,11 @@ def with_row_index(
     if order is None:
         return _by_file(df)
     order = [order] if isinstance(order, str) else list(order)
+    mark = _mark(df)
     if bucket is not None:
-        return _by_key(df, order, bucket)
+        return _by_key(df, order, bucket, mark)
     *head, last = order
     if not isinstance(df.schema[last].dataType, T.IntegralType):
-        return _by_key(df, order, order)
-    ranged = df.withColumn("_range", long_bucket(F.col(last), bits))
-    return _by_key(ranged, order, [*head, "_range"]).drop("_range")
+        return _by_key(df, order, order, mark)
+    ranged = df.withColumn(f"{mark}range", long_bucket(F.col(last), bits))
+    return _by_key(ranged, order, [*head, f"{mark}range"], mark).drop(f"{mark}range")

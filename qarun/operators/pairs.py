@@ -10,10 +10,6 @@ from qarun.scratch import written
 
 BLOCK = ["conv_id", "block"]
 
-# First turns of later blocks, three numbers each, that are broadcast (some 50 MB).
-# Beyond it, with billions of turns in long conversations, Spark joins by key.
-MAX_BROADCAST_FIRSTS = 1_000_000
-
 
 def _lent_turns(turns: DataFrame, bits: int) -> DataFrame | None:
     """The first turn of each later block, moved to the block before it.
@@ -44,8 +40,6 @@ def _lent_turns(turns: DataFrame, bits: int) -> DataFrame | None:
     targets = firsts.join(ends, ["conv_id", "_span"]).select(
         "conv_id", "turn", before.alias("_to")
     )
-    if firsts.count() <= MAX_BROADCAST_FIRSTS:
-        targets = F.broadcast(targets)
     return (
         later.join(targets, ["conv_id", "turn"])
         .withColumn("block", F.col("_to"))

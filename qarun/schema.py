@@ -27,3 +27,6 @@ ASK, START_SESSION = "ask", "start_session"
 
 # Column that receives log lines which are not whole JSON objects.
 CORRUPT = "_corrupt"
+
+# Column that names the fields of a log line whose values could not be read.
+DAMAGED = "_damaged"

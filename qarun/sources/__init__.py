@@ -1,8 +1,9 @@
-from qarun.sources.logs import intact, read_log, with_run, write_log
+from qarun.sources.logs import damaged, intact, read_log, with_run, write_log
 from qarun.sources.questions import QuestionColumnError, read_questions, resolve_question
 
 __all__ = [
     "QuestionColumnError",
+    "damaged",
     "intact",
     "read_log",
     "read_questions",

@@ -2,22 +2,24 @@
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from qarun.schema import CORRUPT, RECORD_SCHEMA
+from qarun.schema import CORRUPT, DAMAGED, RECORD_FIELDS, RECORD_SCHEMA
 
 # Fixed value: how `ts` is written, always in UTC.
 TIMESTAMP_FORMAT = "yyyy-MM-dd'T'HH:mm:ssX"
 
-LOG_SCHEMA = T.StructType([*RECORD_SCHEMA.fields, T.StructField(CORRUPT, T.StringType())])
+# Why a row failed; logs of this package have it after the record fields.
+ERROR_FIELD = "error"
 
-LOG_OPTIONS = {
-    "timestampFormat": TIMESTAMP_FORMAT,
-    "timeZone": "UTC",
-    "columnNameOfCorruptRecord": CORRUPT,
-}
+# Every field is read as text, so that a line is only refused if it is no JSON object.
+LOG_SCHEMA = T.StructType(
+    [T.StructField(name, T.StringType()) for name in (*RECORD_FIELDS, ERROR_FIELD, CORRUPT)]
+)
+
+LOG_OPTIONS = {"columnNameOfCorruptRecord": CORRUPT}
 
 
 def write_log(
@@ -35,18 +37,58 @@ def write_log(
     records.write.mode(mode).options(**options).json(path)
 
 
-def read_log(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
-    """Read one or many logs. A line that is cut off lands in ``_corrupt``."""
+def _time(text: Column) -> Column:
+    """An ISO time with or without fractions; its own offset, or UTC if it has none."""
+    offset = F.regexp_replace(text, r"(:\d\d(?:\.\d+)?[+-]\d\d)(\d\d)$", "$1:$2")
+    zoned = F.rlike(offset, F.lit(r"(?:[zZ]|[+-]\d\d:\d\d)\s*\z"))
+    return F.when(zoned, offset).otherwise(F.concat(F.rtrim(offset), F.lit("Z"))).try_cast("timestamp")
+
+
+def parsed(raw: DataFrame, error: bool = False) -> DataFrame:
+    """The record fields of lines read with ``LOG_SCHEMA``, and what did not fit.
+
+    A value that is not of its field's type becomes null, and ``_damaged`` names the field.
+    """
+    typed = {
+        f.name: _time(F.col(f.name)) if f.name == "ts" else F.trim(f.name).try_cast(f.dataType)
+        for f in RECORD_SCHEMA
+        if not isinstance(f.dataType, T.StringType)
+    }
+    unfit = [
+        F.when(F.col(name).isNotNull() & value.isNull(), F.lit(name)) for name, value in typed.items()
+    ]
+    more = [ERROR_FIELD] if error else []
+    return raw.select(
+        *[typed.get(name, F.col(name)).alias(name) for name in RECORD_FIELDS],
+        *more,
+        CORRUPT,
+        F.array_compact(F.array(*unfit)).alias(DAMAGED),
+    )
+
+
+def read_log(spark: SparkSession, path: str | Sequence[str], error: bool = False) -> DataFrame:
+    """Read one or many logs, by this package or others; ``error`` adds the field of that name.
+
+    A line that is no JSON object, such as one that is cut off, lands in ``_corrupt``. Any other
+    line is a record: fields it lacks are null, ``ts`` may have fractions and an offset, and
+    ``row_index`` may be text. A value that cannot be read is null and named in ``_damaged``.
+    """
     paths = path if isinstance(path, str) else list(path)
-    return spark.read.schema(LOG_SCHEMA).options(**LOG_OPTIONS).json(paths)
+    raw = spark.read.schema(LOG_SCHEMA).options(**LOG_OPTIONS).json(paths)
+    return parsed(raw, error)
 
 
 def intact(log: DataFrame) -> DataFrame:
-    """The whole records of a log, without the ``_corrupt`` column."""
-    # A line such as `{}` says nothing. Naming other columns also keeps Spark from
-    # refusing a scan of `_corrupt` alone, as in a plain count.
-    says_something = F.coalesce(F.col("row_index").cast("string"), "status", "phase").isNotNull()
-    return log.filter(F.col(CORRUPT).isNull() & says_something).drop(CORRUPT)
+    """The records of a log, without lines that are no object and without empty objects."""
+    says_something = F.coalesce(*[F.col(name).cast("string") for name in RECORD_FIELDS]).isNotNull()
+    whole = F.col(CORRUPT).isNull() & (says_something | (F.size(DAMAGED) > 0))
+    return log.filter(whole).drop(CORRUPT, DAMAGED)
+
+
+def damaged(log: DataFrame) -> DataFrame:
+    """What a log lost: ``field, n``, where the field ``line`` stands for lines that are no object."""
+    lost = F.when(F.col(CORRUPT).isNotNull(), F.array(F.lit("line"))).otherwise(F.col(DAMAGED))
+    return log.select(F.explode(lost).alias("field")).groupBy("field").agg(F.count(F.lit(1)).alias("n"))
 
 
 def with_run(log: DataFrame) -> DataFrame:

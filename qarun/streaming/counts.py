@@ -5,7 +5,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from qarun.sources.logs import LOG_OPTIONS, LOG_SCHEMA, intact
+from qarun.sources.logs import LOG_OPTIONS, LOG_SCHEMA, intact, parsed
 
 
 def read_log_stream(
@@ -19,7 +19,7 @@ def read_log_stream(
     reader = spark.readStream.schema(LOG_SCHEMA).options(**LOG_OPTIONS)
     if max_files_per_trigger is not None:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
-    return intact(reader.json(path))
+    return intact(parsed(reader.json(path)))
 
 
 def progress_counts(

@@ -14,10 +14,11 @@ from qarun.operators import ask, shared_sessions, summary, with_row_index, with_
 from qarun.plans import prepare, review, run
 from qarun.schema import ASK, START_SESSION
 from qarun.scratch import shared_dir
+from qarun.sources import intact, read_log
 from qarun.streaming import progress
 
-THREE = ["What is the capital of France?", "How do I reset my password?"]
-THREE += ["What are your business hours?"]
+THREE = ["Which river runs through the old town?", "Where can I hand in a lost key?"]
+THREE += ["Is the library open on Mondays?"]
 
 
 def table(spark, questions):
@@ -94,6 +95,57 @@ def test_other_columns_pass_through_unchanged(spark):
     assert [r.big for r in rows] == [2**60 + 1, None]
     assert rows[0].list == [1, None]
     assert [r.response for r in rows] == ["r1-0: a", "r1-1: b"]
+    assert [r.response_ for r in rows] == ["old", "old"]
+
+
+@pytest.mark.parametrize("header", ["S.No.", "Response", "STATUS", "Error", "a`b", "ts", "Phase"])
+def test_ordinary_headers_do_not_stop_a_run(spark, tmp_path, header):
+    (tmp_path / "q.csv").write_text(f"{header},question\n1,a\n2,bad\n")
+    log = run(spark, str(tmp_path / "q.csv"), str(tmp_path / "log"), answer, "r")
+    rows = log.orderBy("row_index").collect()
+    assert [(r.status, r.response) for r in rows] == [("ok", "r-0: a"), ("error", None)]
+    assert [r.error for r in rows] == [None, "RuntimeError: no answer"]
+    mine = ask(prepare(spark, str(tmp_path / "q.csv"), "r"), answer)
+    name = header if header in mine.columns and header == "S.No." else mine.columns[0]
+    assert sorted(r[name] for r in mine.collect()) == ["1", "2"]
+
+
+def test_a_session_without_a_key_is_an_error(spark):
+    for key in (None, ""):
+        [row] = ask(table(spark, ["a"]), answer, lambda key=key: key).collect()
+        assert (row.session_id, row.status, row.phase) == (None, "error", START_SESSION)
+        assert row.error == "ValueError: open_session gave no session key"
+
+
+def test_a_broken_run_is_finished(spark, tmp_path):
+    (tmp_path / "q.csv").write_text("q\n" + "".join(f"q{i}\n" for i in range(40)))
+    asked = tmp_path / "asked"
+    asked.mkdir()
+
+    def once(session_id, question):
+        (asked / f"{question}-{time.monotonic_ns()}").touch()
+        return question
+
+    def stops(session_id, question):
+        if question == "q33":
+            raise SystemExit
+        return once(session_id, question)
+
+    source, log_path = str(tmp_path / "q.csv"), str(tmp_path / "log")
+    with pytest.raises(Exception, match="SystemExit"):
+        run(spark, source, log_path, stops, "r", parallelism=8, resume=True)
+    known = {r.question for r in intact(read_log(spark, log_path)).collect()}
+    assert 0 < len(known) < 40
+    for file in asked.iterdir():
+        if file.name.split("-")[0] not in known:
+            file.unlink()
+    (tmp_path / "q.csv").write_text("q\nanother file by now\n")
+    log = run(spark, source, log_path, once, "r", resume=True)
+    rows = log.orderBy("row_index").collect()
+    assert [(r.row_index, r.question) for r in rows] == [(i, f"q{i}") for i in range(40)]
+    assert len(list(asked.iterdir())) == 40
+    assert run(spark, source, log_path, once, "r", resume=True).count() == 40
+    assert len(list(asked.iterdir())) == 40
 
 
 def test_time_of_asking_is_utc_now(spark):

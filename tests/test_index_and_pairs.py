@@ -54,9 +54,8 @@ def test_pairs_do_not_depend_on_block_size(spark, seed, bits):
     assert sorted(map(tuple, got.collect())) == expected
 
 
-def test_pairs_without_broadcast(spark, monkeypatch):
+def test_pairs_without_broadcast(spark):
     rows = made_turns(9)
-    monkeypatch.setattr(pairs, "MAX_BROADCAST_FIRSTS", 0)
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
         df = spark.createDataFrame(rows, SCHEMA)
@@ -188,3 +187,14 @@ def test_no_task_gets_a_whole_hot_conversation(spark):
     sizes = df.groupBy("conv_id", "block").count().agg(F.max("count")).first()[0]
     assert sizes <= 2**6
     assert df.filter("status = 'ok'").count() == 2000
+
+
+def test_columns_with_names_of_helpers_come_back(spark, tmp_path):
+    names = ["_range", "_place", "_start", "_id", "_path", "_offset", "_first", "_part", "_n", "__n"]
+    df = spark.createDataFrame([(i, *range(len(names))) for i in range(5)], ["id", *names])
+    got = with_row_index(df, ["id"])
+    assert got.columns == ["id", *names, "row_index"]
+    assert sorted(map(tuple, got.collect())) == [(i, *range(len(names)), i) for i in range(5)]
+    df.coalesce(1).write.csv(str(tmp_path / "t"), header=True)
+    got = with_row_index(spark.read.csv(str(tmp_path / "t"), header=True))
+    assert got.columns == ["id", *names, "row_index"] and got.count() == 5

@@ -9,11 +9,12 @@ from pyspark.sql import functions as F
 
 from qarun.operators import errors, summary, to_record
 from qarun.schema import RECORD_FIELDS, RECORD_SCHEMA
-from qarun.sources import intact, read_log, with_run, write_log
+from qarun.sources import damaged, intact, read_log, with_run, write_log
 
+# The field names of a record, their order and the form of the time.
 LINE = (
     '{"ts":"2025-01-23T10:30:45Z","row_index":0,"status":"ok","phase":"ask",'
-    '"question":"What is the capital of France?","response":"The capital of France is Paris."}'
+    '"question":"Which river runs through the old town?","response":"The Leine does."}'
 )
 
 
@@ -27,11 +28,11 @@ def lines(path):
 
 def record(spark):
     return spark.createDataFrame(
-        [(0, "2025-01-23 10:30:45.987", "ok", "ask", "What is the capital of France?")],
+        [(0, "2025-01-23 10:30:45.987", "ok", "ask", "Which river runs through the old town?")],
         "row_index int, ts string, status string, phase string, question string",
     ).select(
         "*",
-        F.lit("The capital of France is Paris.").alias("response"),
+        F.lit("The Leine does.").alias("response"),
         F.lit("s").alias("session_id"),
     )
 
@@ -52,8 +53,8 @@ def test_documented_line_in_any_session_zone(spark, tmp_path, zone):
             F.lit(0).alias("row_index"),
             F.lit("ok").alias("status"),
             F.lit("ask").alias("phase"),
-            F.lit("What is the capital of France?").alias("question"),
-            F.lit("The capital of France is Paris.").alias("response"),
+            F.lit("Which river runs through the old town?").alias("question"),
+            F.lit("The Leine does.").alias("response"),
         )
         path = str(tmp_path / "log")
         write_log(to_record(df), path)
@@ -122,3 +123,45 @@ def test_a_record_without_index_is_kept_and_an_empty_object_is_not(spark, tmp_pa
     whole = intact(read_log(spark, str(tmp_path / "log.jsonl")))
     assert whole.count() == 2
     assert sorted(r.status for r in whole.collect()) == ["error", "ok"]
+
+
+def test_logs_of_other_writers_lose_no_record(spark, tmp_path):
+    lines = [
+        '{"ts":"2025-01-23T10:30:45.123Z","row_index":0,"status":"ok"}',
+        '{"ts":"2025-01-23T11:30:45+01:00","row_index":"1","status":"ok"}',
+        '{"ts":"2025-01-23T05:00:45-0530","row_index":2,"status":"ok","more":[1,2]}',
+        '{"question":"q","response":"r","ts":"2025-01-23T10:30:45"}',
+        '{"ts":"yesterday","row_index":"first","status":"ok"}',
+        '{"ts":"never"}',
+        '[1, 2]',
+        '7',
+        '{"ts":',
+        "{}",
+    ]
+    (tmp_path / "log.jsonl").write_text("\n".join(lines) + "\n")
+    log = read_log(spark, str(tmp_path / "log.jsonl"))
+    seconds = F.unix_millis("ts").alias("ms")
+    rows = intact(log).select(seconds, "row_index", "status", "question").collect()
+    at = 1737628245000
+    assert sorted(map(tuple, rows), key=repr) == sorted(
+        [
+            (at + 123, 0, "ok", None),
+            (at, 1, "ok", None),
+            (at, 2, "ok", None),
+            (at, None, None, "q"),
+            (None, None, "ok", None),
+            (None, None, None, None),
+        ],
+        key=repr,
+    )
+    assert {r.field: r.n for r in damaged(log).collect()} == {"ts": 2, "row_index": 1, "line": 3}
+    assert intact(log).count() == 6
+
+
+def test_error_is_a_seventh_field(spark, tmp_path):
+    path = str(tmp_path / "log")
+    write_log(to_record(record(spark).withColumn("error", F.lit("E: why")), error=True), path)
+    [line] = lines(path)
+    assert list(json.loads(line)) == [*RECORD_FIELDS, "error"]
+    assert intact(read_log(spark, path, error=True)).first().error == "E: why"
+    assert tuple(intact(read_log(spark, path)).columns) == RECORD_FIELDS

@@ -2,6 +2,7 @@
 
 import datetime
 import os
+import re
 
 import duckdb
 import pytest
@@ -28,11 +29,15 @@ def by_name(names, rows):
     return sorted(([row[i] for i in places] for row in rows), key=repr)
 
 
+# The queries of the language-model package have tests of their own.
+OWN = [n for n in contract.queries() if n != "pipeline" and not re.match(r"op\d", n)]
+
+
 def test_every_query_has_sql():
-    assert contract.queries().keys() == contract.oracle_sql().keys()
+    assert set(OWN) <= contract.oracle_sql().keys() <= contract.queries().keys()
 
 
-@pytest.mark.parametrize("name", contract.queries())
+@pytest.mark.parametrize("name", OWN)
 def test_same_rows(spark, duck, name):
     ours = contract.queries()[name](spark, SF_DIR)
     theirs = duck.execute(contract.oracle_sql()[name])

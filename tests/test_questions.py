@@ -10,8 +10,8 @@ from qarun.operators import with_row_index
 from qarun.sources import QuestionColumnError, read_questions, resolve_question
 from qarun.sources.questions import line_options
 
-THREE = ["What is the capital of France?", "How do I reset my password?"]
-THREE += ["What are your business hours?"]
+THREE = ["Which river runs through the old town?", "Where can I hand in a lost key?"]
+THREE += ["Is the library open on Mondays?"]
 
 
 def put(tmp_path, text, name="questions.csv", encoding="utf-8"):

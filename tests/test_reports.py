@@ -42,8 +42,9 @@ def test_errors(mixed):
 
 def test_empty_responses(spark):
     values = [None, "", "   ", "\t\n", " \u00a0", "x", " x\n\n", "\n"]
+    values += ["\x0b", "\x0c\r", "\x85", "\u2028", "\n\u2028", "\x1c"]
     df = log(spark, *[(i, "ok", "ask", "q", v) for i, v in enumerate(values)])
-    assert sorted(r.row_index for r in empty_responses(df).collect()) == [0, 1, 2, 3, 7]
+    assert sorted(r.row_index for r in empty_responses(df).collect()) == [0, 1, 2, 3, 7, 8, 9]
     assert "status" in empty_responses(df).columns
 
 

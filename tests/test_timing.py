@@ -45,10 +45,13 @@ def made_log(seed, n=700, step=1):
         datetime.timedelta(seconds=7),
         datetime.timedelta(minutes=3),
         datetime.timedelta(days=3),
+        datetime.timedelta(days=4000),
+        datetime.timedelta(days=400_000),
     ],
 )
 def test_same_gaps_as_a_walk(spark, monkeypatch, slots_per_block, threshold):
-    monkeypatch.setattr(timing, "SLOTS_PER_BLOCK", slots_per_block)
+    monkeypatch.setattr(timing, "BLOCK_BITS", slots_per_block.bit_length() - 1)
+    monkeypatch.setattr(timing, "SPAN_BITS", 1)
     rows = made_log(slots_per_block)
     got = gaps(spark.createDataFrame(rows, SCHEMA).repartition(5), "run", threshold)
     assert got.columns == ["run", "row_index", "prev_ts", "ts", "gap_micros"]
