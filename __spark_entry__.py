@@ -157,6 +157,19 @@ def csv_user_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return with_row_index(resolve_question(read_questions(spark, path)))
 
 
+def csv_mixed_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files without and with line ends in their values, read together."""
+    path = new_path(spark, "question-files")
+    benchmark, turns = _table(spark, sf_dir, "benchmark"), _user_turns(spark, sf_dir)
+    plain = F.regexp_replace("text", r"[\r\n]+", " ").alias("question")
+    _write_csv(benchmark.select(F.col("item_id").alias("id"), plain), f"{path}/plain")
+    number = (F.col("conv_id") * 10_000 + F.col("turn")).alias("id")
+    ends = F.concat("text", F.lit("\n\r\nend")).alias("question")
+    _write_csv(turns.select(number, ends), f"{path}/ends")
+    files = read_questions(spark, [f"{path}/plain", f"{path}/ends"])
+    return with_row_index(resolve_question(files)).select("id", "question")
+
+
 def session_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     asked = _user_turns(spark, sf_dir).select("conv_id", "turn")
     return with_session(with_row_index(asked, ["conv_id", "turn"]), RUN_ID)
@@ -307,6 +320,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "all_results_in_order": all_results_in_order,
         "csv_questions": csv_questions,
         "csv_user_turns": csv_user_turns,
+        "csv_mixed_files": csv_mixed_files,
         "session_keys": session_keys,
         "log_round_trip": log_round_trip,
         "log_progress": log_progress,
@@ -385,6 +399,13 @@ def oracle_sql() -> dict[str, str]:
                    CAST(conv_id AS VARCHAR) AS conv_id, CAST(turn AS VARCHAR) AS turn,
                    text AS question
             FROM conversations WHERE role = 'user'""",
+        "csv_mixed_files": """
+            SELECT CAST(item_id AS VARCHAR) AS id,
+                   regexp_replace(text, '[\r\n]+', ' ', 'g') AS question FROM benchmark
+            UNION ALL
+            SELECT CAST(conv_id * 10000 + turn AS VARCHAR),
+                   text || chr(10) || chr(13) || chr(10) || 'end'
+            FROM conversations WHERE role = 'user'""",
         "session_keys": f"""
             SELECT conv_id, turn, row_index, '{RUN_ID}-' || row_index AS session_id FROM (
                 SELECT conv_id, turn,

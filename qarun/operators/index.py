@@ -102,7 +102,7 @@ def _by_file(df: DataFrame) -> DataFrame:
     return (
         _join_start(rows, counts, block, mark)
         .withColumn("row_index", F.col(f"{mark}start") + F.col(f"{mark}id") - F.col(f"{mark}first"))
-        .drop(*block, f"{mark}id", f"{mark}first", f"{mark}start")
+        .drop(*block, f"{mark}id", f"{mark}first", f"{mark}start", "_metadata")
     )
 
 

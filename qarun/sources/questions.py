@@ -1,8 +1,11 @@
 """Question tables: CSV scan and choice of the question column."""
 
+import re
 from collections.abc import Sequence
+from functools import reduce
+from urllib.parse import unquote
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from qarun.schema import NO_QUESTION_COLUMN, QUESTION_COLUMNS
@@ -18,35 +21,79 @@ _FIELD = r'(?:(?:"[^"]*+")++|[^",\r\n]*+)'
 WHOLE_ROW = rf"^{_FIELD}(?:,{_FIELD})*+\z"
 
 
-def line_options(spark: SparkSession, paths: Sequence[str]) -> dict:
-    """Options by which the files can be read right, and in splits where possible.
+# How a kind of file is read.
+PLAIN = {"multiLine": False}
+SPLIT_AT_CRLF = {"multiLine": False, "lineSep": "\r\n"}
+WHOLE_CRLF = {"multiLine": True, "lineSep": "\r\n"}
+WHOLE = {"multiLine": True}
 
-    If each line is a whole row, files are split at every line end. Files with rows
-    that end in CR LF, as spreadsheets save them, may still be split there, if values
-    hold only other line ends. All other files are read whole; if rows end in CR LF
-    and values hold both CR LF and LF, Spark then makes every CR LF an LF.
 
-    The checks are scans of plain lines that stop at the first line against them.
+def _pattern(file: str) -> str:
+    """A path that names just the file whose URI Spark gave."""
+    return re.sub(r"[\\*?\[\]{}]", r"\\\g<0>", unquote(file))
+
+
+def _by_file(
+    spark: SparkSession, paths: Sequence[str], facts: dict[str, Column], **options: str
+) -> dict[str, Row]:
+    """One row per file with facts about its lines; files without a line are left out.
+
+    A fact may use ``at``, which orders the lines of a file's first block.
     """
+    lines = spark.read.options(**options).text(paths)
+    lines = lines.select(
+        "value",
+        F.col("_metadata.file_path").alias("file"),
+        F.when(F.col("_metadata.file_block_start") == 0, F.monotonically_increasing_id()).alias("at"),
+    )
+    found = lines.groupBy("file").agg(*[fact.alias(name) for name, fact in facts.items()])
+    # One short row per file, as many as the names that Spark's own file listing holds.
+    return {row.file: row for row in found.collect()}
+
 
-    def none(condition: Column, **options: str) -> bool:
-        return spark.read.options(**options).text(paths).filter(condition).isEmpty()
+def line_options(spark: SparkSession, paths: Sequence[str]) -> list[tuple[dict, list[str]]]:
+    """Kinds of files, each with the options by which they are read right, in splits if possible.
 
+    A file whose lines are all whole rows is split at line ends. One with rows that end in CR LF,
+    as spreadsheets save them, is split there if values hold only other line ends. Others are
+    read whole, each in one task. What one file holds does not change how another is read.
+
+    A file whose rows end in CR LF and whose values hold both CR LF and single LF cannot be read
+    without changing a value, so it is refused by name. The check is one scan of the plain
+    lines, and two more of the files it finds unfit.
+    """
+    value = F.col("value")
     # Spark skips lines of white space alone when it splits a file. They are rows.
-    unfit = ~F.col("value").rlike(WHOLE_ROW) | F.col("value").rlike(r"^[\x00-\x20]+\z")
-    if none(unfit):
-        return {"multiLine": False}
-
-    lines = spark.read.options(lineSep="\n").text(paths)
-    crlf = lines.filter(F.endswith("value", F.lit("\r"))).select("_metadata.file_path").distinct()
-    if crlf.count() < len(lines.inputFiles()):
-        return {"multiLine": True}
-    if none(unfit, lineSep="\r\n"):
-        return {"multiLine": False, "lineSep": "\r\n"}
-    if none(F.contains("value", F.lit("\n")), lineSep="\r\n"):
-        # Told the line end, Spark leaves it as it is inside values.
-        return {"multiLine": True, "lineSep": "\r\n"}
-    return {"multiLine": True}
+    unfit = F.bool_or(~value.rlike(WHOLE_ROW) | value.rlike(r"^[\x00-\x20]+\z"))
+    first = _by_file(spark, paths, {"unfit": unfit})
+    kinds: list[tuple[dict, list[str]]] = [(PLAIN, []), (SPLIT_AT_CRLF, []), (WHOLE_CRLF, []), (WHOLE, [])]
+    plain, split, whole_crlf, whole = [files for _, files in kinds]
+    plain += [file for file, row in first.items() if not row.unfit]
+    rest = [file for file, row in first.items() if row.unfit]
+    if rest:
+        ends = F.endswith(value, F.lit("\r"))
+        by_lf = _by_file(
+            spark,
+            list(map(_pattern, rest)),
+            {"any_cr": F.bool_or(ends), "header_cr": F.min_by(ends, "at")},
+            lineSep="\n",
+        )
+        whole += [file for file, row in by_lf.items() if not row.any_cr]
+        some = [file for file, row in by_lf.items() if row.any_cr]
+        facts = {"unfit": unfit, "lf": F.bool_or(F.contains(value, F.lit("\n")))}
+        by_crlf = _by_file(spark, [_pattern(f) for f in some], facts, lineSep="\r\n") if some else {}
+        for file, row in by_crlf.items():
+            if not row.unfit:
+                split.append(file)
+            elif not row.lf:
+                whole_crlf.append(file)
+            elif not by_lf[file].header_cr:
+                whole.append(file)
+            else:
+                raise ValueError(
+                    f"rows of {file} end in CR LF and values hold both CR LF and LF; save it with LF"
+                )
+    return [(options, sorted(map(_pattern, files))) for options, files in kinds if files]
 
 
 def read_questions(
@@ -57,14 +104,27 @@ def read_questions(
     With ``multi_line=None`` the files are checked first, see ``line_options``. True
     reads each file whole, in one task; False splits files at every line end, which
     is wrong if a value holds one. All files must have the same header.
+
+    Files of several kinds are read apart and put together; the frame then carries
+    ``_metadata`` as a column, which ``with_row_index`` takes and removes.
     """
     paths = [path] if isinstance(path, str) else list(path)
     if any(p.lower().endswith(".xlsx") for p in paths):
         raise ValueError("spreadsheets cannot be read; save the sheet as CSV")
-    lines = line_options(spark, paths) if multi_line is None else {"multiLine": multi_line}
-    return spark.read.options(
-        header=True, quote='"', escape='"', enforceSchema=False, **lines
-    ).csv(paths)
+
+    def read(files: Sequence[str], lines: dict) -> DataFrame:
+        reader = spark.read.options(header=True, quote='"', escape='"', enforceSchema=False, **lines)
+        return reader.csv(list(files))
+
+    if multi_line is not None:
+        return read(paths, {"multiLine": multi_line})
+    kinds = line_options(spark, paths)
+    if len(kinds) <= 1:
+        return read(paths, kinds[0][0] if kinds else PLAIN)
+    frames = [read(files, lines) for lines, files in kinds]
+    if len({tuple(frame.columns) for frame in frames}) > 1:
+        raise ValueError(f"files have different headers: {[frame.columns for frame in frames]}")
+    return reduce(DataFrame.unionByName, [frame.select("*", "_metadata") for frame in frames])
 
 
 def resolve_question(

@@ -24,6 +24,12 @@ def questions(spark, path, **options):
     return resolve_question(read_questions(spark, path), **options)
 
 
+def kind(spark, path):
+    """The options for files that are all of one kind."""
+    [(options, _)] = line_options(spark, [path])
+    return options
+
+
 def texts(df):
     return [row.question for row in df.collect()]
 
@@ -80,13 +86,13 @@ def test_values_stay_as_they_are(spark, tmp_path):
     values = ["two\nlines", "a, b", 'say "hi"', "  spaced  ", "crlf\r\nkept", "\ttab"]
     quoted = ['"' + v.replace('"', '""') + '"' for v in values]
     path = put(tmp_path, "\n".join(["q", *quoted]) + "\n")
-    assert line_options(spark, [path]) == {"multiLine": True}
+    assert kind(spark, path) == {"multiLine": True}
     assert texts(questions(spark, path)) == values
 
 
 def test_split_only_when_no_value_spans_lines(spark, tmp_path):
     flat = put(tmp_path, 'q,n\n"a ""quoted"" word, and more",1\nplain,2\n"",3\n')
-    assert line_options(spark, [flat]) == {"multiLine": False}
+    assert kind(spark, flat) == {"multiLine": False}
     assert texts(questions(spark, flat)) == ['a "quoted" word, and more', "plain", None]
 
 
@@ -211,7 +217,7 @@ def test_random_values_come_back(spark, tmp_path, end, inside, options):
         with open(tmp_path / name, "w", newline="", encoding="utf-8") as out:
             csv.writer(out, lineterminator=end).writerows([["n", "q"], *enumerate(values)])
         expected += values
-    assert line_options(spark, [str(tmp_path)]) == options
+    assert kind(spark, str(tmp_path)) == options
     spark.conf.set("spark.sql.files.maxPartitionBytes", "2000")
     spark.conf.set("spark.sql.files.openCostInBytes", "1")
     try:
@@ -239,7 +245,7 @@ def test_line_ends_may_differ_between_files(spark, tmp_path):
 
 def test_last_line_without_an_end(spark, tmp_path):
     path = put(tmp_path, 'id,q\r\n1,"two\nlines"\r\n\r\n2,end', encoding="utf-8-sig")
-    assert line_options(spark, [path]) == SPLIT_CRLF
+    assert kind(spark, path) == SPLIT_CRLF
     assert texts(questions(spark, path)) == ["two\nlines", "end"]
 
 
@@ -256,11 +262,41 @@ def test_last_line_without_an_end(spark, tmp_path):
 def test_odd_quoting_is_read_like_a_whole_file(spark, tmp_path, text):
     path = put(tmp_path, text)
     whole = read_questions(spark, path, multi_line=True).collect()
-    assert line_options(spark, [path]) == WHOLE
+    assert kind(spark, path) == WHOLE
     assert read_questions(spark, path).collect() == whole
 
 
 def test_a_very_long_line(spark, tmp_path):
     value = 'word, "" ' * 300_000
     path = put(tmp_path, f'q,n\n"{value}",1\n' + "x," * 200_000 + "\n")
-    assert line_options(spark, [path]) == SPLIT
+    assert kind(spark, path) == SPLIT
+
+
+def test_a_file_is_read_the_same_whatever_lies_beside_it(spark, tmp_path):
+    put(tmp_path, "q\n" + "".join(f"a{i}\n" for i in range(3000)), "a plain+[1] ü%20.csv")
+    put(tmp_path, 'q\n"b\r\nkept"\n"b\nkept"\n', "b.csv")
+    put(tmp_path, 'q\r\n"c\r\nkept"\r\nc\r\n', "c.csv")
+    put(tmp_path, 'q\r\n"d\nkept"\r\nd\r\n', "d.csv")
+    put(tmp_path, "", "e.csv")
+    found = {tuple(sorted(o.items())): len(f) for o, f in line_options(spark, [str(tmp_path)])}
+    assert found == {tuple(sorted(o.items())): 1 for o in (SPLIT, WHOLE, SPLIT_CRLF, WHOLE_CRLF)}
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "2000")
+    spark.conf.set("spark.sql.files.openCostInBytes", "1")
+    try:
+        scan = questions(spark, str(tmp_path))
+        assert scan.rdd.getNumPartitions() > 6  # the plain file is still split
+        df = with_row_index(scan)
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert df.columns == ["question", "row_index"]
+    rest = ["b\r\nkept", "b\nkept", "c\r\nkept", "c", "d\nkept", "d"]
+    expected = [*(f"a{i}" for i in range(3000)), *rest]
+    assert sorted((r.row_index, r.question) for r in df.collect()) == list(enumerate(expected))
+
+
+def test_a_file_that_would_change_is_refused_by_name(spark, tmp_path):
+    put(tmp_path, "q\nfine\n", "a.csv")
+    put(tmp_path, 'q\r\n"one\r\ntwo\nthree"\r\n', "bad.csv")
+    with pytest.raises(ValueError, match=r"bad\.csv"):
+        questions(spark, str(tmp_path))
