@@ -6,6 +6,7 @@ import hashlib
 import uuid
 from collections.abc import Callable
 from datetime import timedelta
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,7 +26,7 @@ from qarun.operators import (
     with_session,
 )
 from qarun.plans import recorded_results as recorded
-from qarun.plans import prepare, run
+from qarun.plans import prepare, review, run
 from qarun.scratch import new_path, written
 from qarun.sources import (
     intact,
@@ -228,12 +229,30 @@ def file_run(spark: SparkSession, sf_dir: str) -> DataFrame:
     return run(spark, files, log, _answer, RUN_ID).drop("ts")
 
 
-def resumed_run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A run of which half the log is there already."""
-    files, log = _question_files(spark, sf_dir), new_path(spark, "log")
+def _half_run(spark: SparkSession, files: str) -> str:
+    """The log of a run that has asked every other question."""
+    log = new_path(spark, "log")
     first = ask(prepare(spark, files, RUN_ID), _answer).filter("row_index % 2 = 0")
     write_log(to_record(first, error=True), log)
-    return run(spark, files, log, _answer, RUN_ID, resume=True).drop("ts")
+    return log
+
+
+def review_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = _question_files(spark, sf_dir)
+    log = intact(read_log(spark, _half_run(spark, files)))
+    found = review(prepare(spark, files, RUN_ID), log)
+    reports = {"error": found.errors, "empty": found.empty, "unanswered": found.unanswered}
+    rows = [
+        report.select(F.lit(name).alias("report"), "row_index", "question")
+        for name, report in reports.items()
+    ]
+    return reduce(DataFrame.unionByName, rows)
+
+
+def resumed_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A run of which half the log is there already."""
+    files = _question_files(spark, sf_dir)
+    return run(spark, files, _half_run(spark, files), _answer, RUN_ID, resume=True).drop("ts")
 
 
 def foreign_log_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -328,6 +347,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "ask_with_sessions": ask_with_sessions,
         "file_run": file_run,
         "resumed_run": resumed_run,
+        "review_report": review_report,
         "foreign_log_scan": foreign_log_scan,
         "log_gaps": log_gaps,
         "record_gaps": record_gaps,
@@ -428,6 +448,11 @@ def oracle_sql() -> dict[str, str]:
             FROM (SELECT a.*, r.conv_id, r.conv_id % 3 = 0 AS closed
                   FROM ({ASKED_SQL}) a JOIN ({RECORDED_SQL}) r USING (row_index))""",
         "resumed_run": ASKED_SQL,
+        "review_report": f"""
+            SELECT unnest(CASE WHEN row_index % 2 = 1 THEN ['unanswered']
+                               WHEN status = 'error' THEN ['error', 'empty'] END) AS report,
+                   row_index, question
+            FROM ({ASKED_SQL})""",
         "foreign_log_scan": """
             SELECT CASE turn % 4 WHEN 0 THEN TIMESTAMP '2025-01-23 10:30:45.123'
                                  WHEN 3 THEN NULL ELSE TIMESTAMP '2025-01-23 10:30:45' END AS ts,

@@ -84,7 +84,11 @@ class Review(NamedTuple):
 
 
 def review(questions: DataFrame, log: DataFrame) -> Review:
-    """The failure reports of a run; ``questions`` has the ``row_index`` of the log."""
+    """The failure reports of a run; ``questions`` has the ``row_index`` of the log.
+
+    The log is parsed once and kept in the shared folder, where all four reports read it.
+    """
+    log = written(log, "review-log")
     return Review(
         summary(log),
         errors(log),
