@@ -202,7 +202,7 @@ def _answer(session_id: str, question: str) -> str:
 def batch_ask(spark: SparkSession, sf_dir: str) -> DataFrame:
     questions = recorded_results(spark, sf_dir).select("row_index", "question")
     asked = written(ask(with_session(questions, RUN_ID), _answer), "asked")
-    return asked.select("row_index", "session_id", "status", "phase", "question", "response", "error")
+    return asked.drop("ts")
 
 
 def _no_session() -> str:

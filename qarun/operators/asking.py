@@ -129,7 +129,8 @@ def ask(
             for batch in batches:
                 for start in range(0, batch.num_rows, CHUNK):
                     part = batch.slice(start, CHUNK)
-                    outcomes = list(each(one, part.column(0).to_pylist(), part.column(at).to_pylist()))
+                    sessions, questions = part.column(0), part.column(at)
+                    outcomes = list(each(one, sessions.to_pylist(), questions.to_pylist()))
                     new = [
                         pa.array([outcome[i] for outcome in outcomes], field.type)
                         for i, field in enumerate(OUTCOME_ARROW)

@@ -97,7 +97,8 @@ def _by_file(df: DataFrame) -> DataFrame:
     n, first, last = F.count(F.lit(1)), F.min(f"{mark}id"), F.max(f"{mark}id")
     moved = F.raise_error(F.lit("rows of a file block are not together; index the scan itself"))
     counts = rows.groupBy(*block).agg(
-        n.alias(f"{mark}n"), F.when(last - first + 1 == n, first).otherwise(moved).alias(f"{mark}first")
+        n.alias(f"{mark}n"),
+        F.when(last - first + 1 == n, first).otherwise(moved).alias(f"{mark}first"),
     )
     return (
         _join_start(rows, counts, block, mark)

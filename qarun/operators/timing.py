@@ -29,7 +29,9 @@ def _ends_before(ends: DataFrame, run: str, levels: int) -> DataFrame:
     ends = ends.withColumn("_span", F.shiftright("_block", SPAN_BITS))
     spans = ends.groupBy(run, "_span").agg(F.max("_last").alias("_last"))
     outer = _ends_before(spans.withColumnRenamed("_span", "_block"), run, levels - 1).select(
-        F.col(run).alias("_of_run"), F.col("_block").alias("_of_span"), F.col("_before").alias("_outer")
+        F.col(run).alias("_of_run"),
+        F.col("_block").alias("_of_span"),
+        F.col("_before").alias("_outer"),
     )
     in_span = Window.partitionBy(run, "_span").orderBy("_block")
     same = F.col(run).eqNullSafe(F.col("_of_run")) & (F.col("_span") == F.col("_of_span"))

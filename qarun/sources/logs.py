@@ -41,7 +41,8 @@ def _time(text: Column) -> Column:
     """An ISO time with or without fractions; its own offset, or UTC if it has none."""
     offset = F.regexp_replace(text, r"(:\d\d(?:\.\d+)?[+-]\d\d)(\d\d)$", "$1:$2")
     zoned = F.rlike(offset, F.lit(r"(?:[zZ]|[+-]\d\d:\d\d)\s*\z"))
-    return F.when(zoned, offset).otherwise(F.concat(F.rtrim(offset), F.lit("Z"))).try_cast("timestamp")
+    in_utc = F.concat(F.rtrim(offset), F.lit("Z"))
+    return F.when(zoned, offset).otherwise(in_utc).try_cast("timestamp")
 
 
 def parsed(raw: DataFrame, error: bool = False) -> DataFrame:
@@ -55,7 +56,8 @@ def parsed(raw: DataFrame, error: bool = False) -> DataFrame:
         if not isinstance(f.dataType, T.StringType)
     }
     unfit = [
-        F.when(F.col(name).isNotNull() & value.isNull(), F.lit(name)) for name, value in typed.items()
+        F.when(F.col(name).isNotNull() & value.isNull(), F.lit(name))
+        for name, value in typed.items()
     ]
     more = [ERROR_FIELD] if error else []
     return raw.select(
@@ -86,9 +88,10 @@ def intact(log: DataFrame) -> DataFrame:
 
 
 def damaged(log: DataFrame) -> DataFrame:
-    """What a log lost: ``field, n``, where the field ``line`` stands for lines that are no object."""
+    """What a log lost: ``field, n``; ``line`` stands for lines that are no object."""
     lost = F.when(F.col(CORRUPT).isNotNull(), F.array(F.lit("line"))).otherwise(F.col(DAMAGED))
-    return log.select(F.explode(lost).alias("field")).groupBy("field").agg(F.count(F.lit(1)).alias("n"))
+    fields = log.select(F.explode(lost).alias("field"))
+    return fields.groupBy("field").agg(F.count(F.lit(1)).alias("n"))
 
 
 def with_run(log: DataFrame) -> DataFrame:

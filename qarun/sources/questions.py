@@ -40,11 +40,12 @@ def _by_file(
 
     A fact may use ``at``, which orders the lines of a file's first block.
     """
+    line = F.monotonically_increasing_id()
     lines = spark.read.options(**options).text(paths)
     lines = lines.select(
         "value",
         F.col("_metadata.file_path").alias("file"),
-        F.when(F.col("_metadata.file_block_start") == 0, F.monotonically_increasing_id()).alias("at"),
+        F.when(F.col("_metadata.file_block_start") == 0, line).alias("at"),
     )
     found = lines.groupBy("file").agg(*[fact.alias(name) for name, fact in facts.items()])
     # One short row per file, as many as the names that Spark's own file listing holds.
@@ -66,8 +67,8 @@ def line_options(spark: SparkSession, paths: Sequence[str]) -> list[tuple[dict,
     # Spark skips lines of white space alone when it splits a file. They are rows.
     unfit = F.bool_or(~value.rlike(WHOLE_ROW) | value.rlike(r"^[\x00-\x20]+\z"))
     first = _by_file(spark, paths, {"unfit": unfit})
-    kinds: list[tuple[dict, list[str]]] = [(PLAIN, []), (SPLIT_AT_CRLF, []), (WHOLE_CRLF, []), (WHOLE, [])]
-    plain, split, whole_crlf, whole = [files for _, files in kinds]
+    plain, split, whole_crlf, whole = [], [], [], []
+    kinds = [(PLAIN, plain), (SPLIT_AT_CRLF, split), (WHOLE_CRLF, whole_crlf), (WHOLE, whole)]
     plain += [file for file, row in first.items() if not row.unfit]
     rest = [file for file, row in first.items() if row.unfit]
     if rest:
@@ -81,7 +82,8 @@ def line_options(spark: SparkSession, paths: Sequence[str]) -> list[tuple[dict,
         whole += [file for file, row in by_lf.items() if not row.any_cr]
         some = [file for file, row in by_lf.items() if row.any_cr]
         facts = {"unfit": unfit, "lf": F.bool_or(F.contains(value, F.lit("\n")))}
-        by_crlf = _by_file(spark, [_pattern(f) for f in some], facts, lineSep="\r\n") if some else {}
+        unsure = [_pattern(file) for file in some]
+        by_crlf = _by_file(spark, unsure, facts, lineSep="\r\n") if some else {}
         for file, row in by_crlf.items():
             if not row.unfit:
                 split.append(file)
@@ -91,7 +93,8 @@ def line_options(spark: SparkSession, paths: Sequence[str]) -> list[tuple[dict,
                 whole.append(file)
             else:
                 raise ValueError(
-                    f"rows of {file} end in CR LF and values hold both CR LF and LF; save it with LF"
+                    f"rows of {file} end in CR LF, and values hold both CR LF and LF: "
+                    "save it with rows that end in LF"
                 )
     return [(options, sorted(map(_pattern, files))) for options, files in kinds if files]
 
@@ -113,8 +116,8 @@ def read_questions(
         raise ValueError("spreadsheets cannot be read; save the sheet as CSV")
 
     def read(files: Sequence[str], lines: dict) -> DataFrame:
-        reader = spark.read.options(header=True, quote='"', escape='"', enforceSchema=False, **lines)
-        return reader.csv(list(files))
+        options = {"header": True, "quote": '"', "escape": '"', "enforceSchema": False, **lines}
+        return spark.read.options(**options).csv(list(files))
 
     if multi_line is not None:
         return read(paths, {"multiLine": multi_line})

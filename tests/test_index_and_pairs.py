@@ -6,7 +6,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from qarun.operators import index, pair_turns, pairs, with_row_index
+from qarun.operators import index, pair_turns, with_row_index
 from qarun.plans import recorded_results
 
 SCHEMA = "conv_id long, turn long, role string, text string"
@@ -190,7 +190,7 @@ def test_no_task_gets_a_whole_hot_conversation(spark):
 
 
 def test_columns_with_names_of_helpers_come_back(spark, tmp_path):
-    names = ["_range", "_place", "_start", "_id", "_path", "_offset", "_first", "_part", "_n", "__n"]
+    names = "_range _place _start _id _path _offset _first _part _n __n".split()
     df = spark.createDataFrame([(i, *range(len(names))) for i in range(5)], ["id", *names])
     got = with_row_index(df, ["id"])
     assert got.columns == ["id", *names, "row_index"]
