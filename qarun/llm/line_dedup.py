@@ -53,11 +53,13 @@ def dedup_lines(
     documents what to drop is a plain equi-join, which adaptive execution splits at hot lines.
     """
     lines = _lines(docs, id, text, min_chars).filter(F.col("doc").isNotNull())
+    # Counted by another key than the join's, so that both sides of the join are shuffled for
+    # it alone and a hot line can be split there.
     common = (
-        lines.groupBy("h1", "h2")
+        lines.groupBy(F.bitwise_not("h1").alias("o1"), "h2")
         .agg(F.count_distinct("doc").alias("n"), F.max("doc").alias("keeper"))
         .filter(F.col("n") >= min_docs)
-        .select("h1", "h2", "keeper")
+        .select(F.bitwise_not("o1").alias("h1"), "h2", "keeper")
     )
     drops = (
         lines.join(common, ["h1", "h2"])
