@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import hashlib
-import uuid
 from collections.abc import Callable
 from datetime import timedelta
 from functools import reduce
@@ -83,19 +82,22 @@ def _naive(column: str) -> Column:
 
 
 def _drain(counts: DataFrame) -> DataFrame:
-    """Run a counting stream over all present files; the result is one row per group."""
+    """Run a counting stream over all present files; the result is one row per group.
+
+    Every batch holds all groups and replaces the table that the one before has written.
+    """
     spark = counts.sparkSession
-    name = f"progress_{uuid.uuid4().hex}"
+    path = new_path(spark, "counts")
+    spark.createDataFrame([], counts.schema).write.parquet(path)
     stream = (
         counts.writeStream.outputMode("complete")
-        .format("memory")
-        .queryName(name)
+        .foreachBatch(lambda batch, number: batch.write.mode("overwrite").parquet(path))
         .option("checkpointLocation", new_path(spark, "progress"))
         .trigger(availableNow=True)
         .start()
     )
     stream.awaitTermination()
-    return spark.table(name)
+    return spark.read.schema(counts.schema).parquet(path)
 
 
 def recorded_results(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -231,7 +233,7 @@ def file_run(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _half_run(spark: SparkSession, files: str) -> str:
     """The log of a run that has asked every other question."""
-    log = new_path(spark, "log")
+    log = f"{new_path(spark, 'log')}/log"  # its questions are kept beside it
     first = ask(prepare(spark, files, RUN_ID), _answer).filter("row_index % 2 = 0")
     write_log(to_record(first, error=True), log)
     return log

@@ -2,12 +2,14 @@
 
 import datetime
 import os
+import pathlib
 import re
 
 import duckdb
 import pytest
 
 import __spark_entry__ as contract
+from qarun.scratch import scratch, shared_dir
 
 SF_DIR = os.environ.get("ORACLE_SF_DIR", "/root/testdata/sf0.01")
 TABLES = ("conversations", "benchmark", "events")
@@ -49,3 +51,13 @@ def test_same_rows(spark, duck, name):
         isinstance(v, datetime.datetime) and v.tzinfo for row in expected for v in row
     )
     assert by_name(ours.columns, ours.collect()) == by_name(columns, expected)
+
+
+@pytest.mark.parametrize("name", ["log_progress", "resumed_run", "review_report", "csv_mixed_files"])
+def test_a_query_leaves_nothing_behind(spark, name):
+    folder = pathlib.Path(shared_dir(spark).removeprefix("file:"))
+    before = set(folder.glob("qarun-*"))
+    with scratch(spark):
+        assert contract.queries()[name](spark, SF_DIR).count()
+        assert set(folder.glob("qarun-*")) != before
+    assert set(folder.glob("qarun-*")) == before
