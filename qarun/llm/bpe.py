@@ -107,8 +107,9 @@ def word_counts(docs: DataFrame, content: str, text: str = "text") -> DataFrame:
         vocabulary, counts = _vocabulary(content), Counter()
 
         def handed() -> pa.RecordBatch:
-            columns = [pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())]
-            return pa.RecordBatch.from_arrays(columns, names=["word", "n"])
+            words = pa.array(list(counts), pa.string())
+            numbers = pa.array(list(counts.values()), pa.int64())
+            return pa.RecordBatch.from_arrays([words, numbers], names=["word", "n"])
 
         for batch in batches:
             for value in batch.column(0):

@@ -13,15 +13,11 @@ def components(edges: DataFrame, kept: Kept) -> DataFrame:
     to it and then the label of that label, so long chains shrink fast. Rounds are written
     to the shared folder; only whether a label changed comes back to the driver.
     """
-    links = kept.keep(
-        edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))),
-        "links",
-    )
+    reverse = edges.select(F.col("b").alias("a"), F.col("a").alias("b"))
+    links = kept.keep(edges.select("a", "b").unionByName(reverse), "links")
+    least = links.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("b"))
     labels = kept.keep(
-        links.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("b")).select(
-            "node", F.least("node", "b").alias("component")
-        ),
-        "labels",
+        least.select("node", F.least("node", "b").alias("component")), "labels"
     )
     while True:
         near = (
@@ -31,7 +27,9 @@ def components(edges: DataFrame, kept: Kept) -> DataFrame:
         )
         stepped = kept.keep(
             labels.join(near, F.col("node") == F.col("a")).select(
-                "node", F.col("component").alias("old"), F.least("component", "near").alias("component")
+                "node",
+                F.col("component").alias("old"),
+                F.least("component", "near").alias("component"),
             ),
             "labels",
         )

@@ -12,7 +12,8 @@ WINDOW = 12
 SUBSTITUTED = 2
 # Shorter items say too little to be looked for.
 MIN_WORDS = 5
-# Seeds of the benchmark that one block holds: a table of some 50 MB in each executor.
+# Seeds of the benchmark that one block holds: a table of some 50 MB in each executor, as a
+# seed has only the number of its item and its place there.
 BLOCK_SEEDS = 500_000
 
 
@@ -22,7 +23,7 @@ def words_of(text: Column) -> Column:
 
 
 def _seeds(words: Column, at: Column, masks: list[tuple[int, ...]]) -> Column:
-    """The hash of each mask laid on ``words`` from place ``at``; null where it reaches over the end."""
+    """The hash of each mask laid on ``words`` from place ``at``; null if it does not fit."""
     return F.array(
         *[
             F.when(
@@ -58,19 +59,25 @@ def contaminated(
     block is broadcast and meets the seeds of all documents in the scan, so their
     texts are never shuffled; a benchmark of any size takes more scans, not more memory.
     """
-    items = benchmark.select(
-        F.col(item_id).alias("item_id"), words_of(as_text(item_text)).alias("item")
-    ).filter(F.size("item") >= MIN_WORDS)
+    items = (
+        benchmark.select(
+            F.col(item_id).alias("item_id"), words_of(as_text(item_text)).alias("item")
+        )
+        .filter(F.size("item") >= MIN_WORDS)
+        .distinct()
+        # Ids may repeat or be null; id and words together tell items apart.
+        .withColumn("item_key", F.xxhash64("item_id", "item"))
+    )
     short = items.filter(F.size("item") < WINDOW).select(F.size("item").alias("n")).distinct()
     whole = [tuple(range(row.n)) for row in short.collect()]  # lengths below WINDOW
     masks = [*MASKS, *sorted(whole)]
 
     at = F.explode(F.sequence(F.lit(0), F.size("item") - 1)).alias("place")
+    place = F.struct("item_key", "place", F.size("item").alias("size"))
     seeds = (
-        items.distinct()
-        .select("item_id", "item", at)
-        .select("item_id", "item", "place", F.posexplode(_seeds(F.col("item"), F.col("place"), masks)))
-        .toDF("item_id", "item", "place", "mask", "seed")
+        items.select("item_key", "item", at)
+        .select("*", F.posexplode(_seeds(F.col("item"), F.col("place"), masks)))
+        .toDF("item_key", "item", "place", "mask", "seed")
         .filter(F.col("seed").isNotNull())
         # Long items have the masks of windows, short ones the mask of their length.
         .filter(
@@ -79,7 +86,7 @@ def contaminated(
             )
         )
         .groupBy("seed")
-        .agg(F.collect_set(F.struct("item_id", "place", "item")).alias("at_items"))
+        .agg(F.collect_set(place).alias("places"))
     )
     blocks = max(1, -(-seeds.count() // block_seeds))
 
@@ -104,25 +111,30 @@ def contaminated(
     for block in range(blocks):
         part = seeds.filter(F.pmod(F.xxhash64("seed", F.lit("block")), F.lit(blocks)) == block)
         hits = probes.join(F.broadcast(part), "seed").select(
-            "doc_id", "text_hash", "words", "at", F.explode("at_items").alias("hit")
+            "doc_id", "text_hash", "words", "at", F.explode("places").alias("hit")
         )
         found = hits if found is None else found.unionByName(hits)
 
-    item = F.col("hit.item")
+    # The words of the document where the item would lie, null beyond its ends.
     start = F.col("at") - F.col("hit.place")
-    equal = F.transform(item, lambda word, i: (F.get("words", start + i) == word).cast("int"))
+    reach = F.sequence(F.lit(0), F.col("hit.size") - 1)
+    here = F.transform(reach, lambda i: F.get("words", start + i)).alias("here")
+    equal = F.zip_with("here", "item", lambda a, b: (a == b).cast("int"))
     window = F.least(F.lit(WINDOW), F.size("equal"))
     needed = F.when(F.size("equal") < WINDOW, F.size("equal")).otherwise(WINDOW - SUBSTITUTED)
-    kept = F.exists(
-        F.sequence(F.lit(1), F.size("equal") - window + 1),
-        lambda first: F.aggregate(
-            F.slice("equal", first, window), F.lit(0), lambda sum, one: sum + F.coalesce(one, F.lit(0))
-        )
-        >= needed,
-    )
+
+    def agreeing(first: Column) -> Column:
+        part = F.slice("equal", first, window)
+        return F.aggregate(part, F.lit(0), lambda n, one: n + F.coalesce(one, F.lit(0)))
+
+    starts = F.sequence(F.lit(1), F.size("equal") - window + 1)
+    item_key = F.col("hit.item_key").alias("item_key")
     return (
-        found.select("doc_id", "text_hash", F.col("hit.item_id").alias("item_id"), equal.alias("equal"))
-        .filter(kept)
+        found.select("doc_id", "text_hash", item_key, here)
+        .distinct()
+        .join(items, "item_key")
+        .select("doc_id", "text_hash", "item_id", equal.alias("equal"))
+        .filter(F.exists(starts, lambda first: agreeing(first) >= needed))
         .groupBy("doc_id", "text_hash")
         .agg(F.sort_array(F.collect_set("item_id")).alias("item_ids"))
     )

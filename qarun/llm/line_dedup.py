@@ -78,7 +78,8 @@ def dedup_lines(
         "n_lines": F.size(split).cast("bigint"),
         "n_dropped": F.coalesce(F.size("gone"), F.lit(0)).cast("bigint"),
     }
-    columns = {name: F.col("row").getField(name) for name in docs.columns if name.lower() not in counts}
+    others = [name for name in docs.columns if name.lower() not in counts]
+    columns = {name: F.col("row").getField(name) for name in others}
     columns[text] = F.when(F.col("gone").isNull(), here).otherwise(kept)
     return rows.join(drops, ["doc", "text_hash"], "left").select(
         *[value.alias(name) for name, value in {**columns, **counts}.items()]

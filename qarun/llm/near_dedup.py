@@ -85,7 +85,8 @@ def _linked(block: pa.Table, percent: int) -> pa.Table:
             reached = {labels[t]: t for t in targets[100 * shared >= percent * union]}
             pairs += [(i, t) for label, t in reached.items() if label != labels[i]]
     a, b = zip(*pairs, strict=True) if pairs else ((), ())
-    return pa.table({"a": reps.take(pa.array(a, pa.int64())), "b": reps.take(pa.array(b, pa.int64()))})
+    first, second = (reps.take(pa.array(side, pa.int64())) for side in (a, b))
+    return pa.table({"a": first, "b": second})
 
 
 def _named(schema: T.StructType, *more: str) -> T.StructType:

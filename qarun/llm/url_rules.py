@@ -115,7 +115,8 @@ def judge_urls(
     # How many pages hold each token of a rule: one row per token of the rule list.
     literals = sorted({token for rule in rules for token in rule.tokens})
     seen = named.select(F.explode("tokens").alias("token")).filter(F.col("token").isin(literals))
-    counts = {row.token: row.n for row in seen.groupBy("token").agg(F.count("*").alias("n")).collect()}
+    found = seen.groupBy("token").agg(F.count(F.lit(1)).alias("n")).collect()
+    counts = {row.token: row.n for row in found}
 
     filed = spark.createDataFrame(
         [
@@ -133,7 +134,8 @@ def judge_urls(
         F.struct("rule", "rule_verdict"),
         F.when(F.col("site"), F.struct(F.char_length("rule"), F.col("rule"))),
     )
-    blocked = F.coalesce(F.bool_or(~F.col("site") & (F.col("rule_verdict") == "block")), F.lit(False))
+    blocks = ~F.col("site") & (F.col("rule_verdict") == "block")
+    blocked = F.coalesce(F.bool_or(blocks), F.lit(False))
     key = ["page_id", "host", "path"]
     verdicts = hits.groupBy(*key).agg(longest.alias("best"), blocked.alias("blocked"))
     verdicts = verdicts.withColumnsRenamed({name: f"of_{name}" for name in key})
