@@ -85,30 +85,41 @@ class Model(NamedTuple):
         return 1 / (1 + math.exp(-max(-700.0, min(z, 700.0))))
 
 
+def _parts(rows: np.ndarray) -> Iterator[np.ndarray]:
+    """A thousand rows at a time, as full numbers; the whole stays in its small type."""
+    for at in range(0, len(rows), 1000):
+        yield rows[at : at + 1000].astype(float)
+
+
 def fit_logistic(
     x: np.ndarray, y: np.ndarray, differences: np.ndarray, ridge: float, penalty: float
 ) -> tuple[np.ndarray, float]:
     """Weights and bias that minimise log loss, plus a ridge, plus ``penalty`` times the
     squared change of the raw score over ``differences`` (rows: counterfactual minus original).
     """
-    design = np.hstack([x, np.ones((len(x), 1), x.dtype)])
-    keep = np.full(design.shape[1], ridge)
+    width = x.shape[1]
+    keep = np.full(width + 1, ridge)
     keep[-1] = 1e-6
     fixed = np.diag(keep)
-    if len(differences):
-        d = np.hstack([differences, np.zeros((len(differences), 1), x.dtype)])
-        fixed += 2 * penalty * (d.T @ d)
-    w = np.zeros(design.shape[1])
+    for d in _parts(differences):
+        fixed[:-1, :-1] += 2 * penalty * (d.T @ d)
+    w = np.zeros(width + 1)
+
+    def raw(w: np.ndarray) -> np.ndarray:
+        return np.concatenate([part @ w[:-1] for part in _parts(x)]) + w[-1]
 
     def loss(w: np.ndarray) -> float:
-        z = design @ w
+        z = raw(w)
         return float(np.logaddexp(0, z).sum() - y @ z + w @ fixed @ w / 2)
 
     now = loss(w)
     for _ in range(50):
-        p = 1 / (1 + np.exp(-(design @ w)))
-        slope = design.T @ (p - y) + fixed @ w
-        curve = design.T @ (design * (p * (1 - p))[:, None]) + fixed
+        p = 1 / (1 + np.exp(-np.clip(raw(w), -500, 500)))
+        slope, curve = fixed @ w, fixed.copy()
+        for part, q, r in zip(_parts(x), _parts(p), _parts(p - y), strict=True):
+            whole = np.hstack([part, np.ones((len(part), 1))])
+            slope += whole.T @ r
+            curve += whole.T @ (whole * (q * (1 - q))[:, None])
         step = np.linalg.solve(curve, slope)
         size = 1.0
         while (new := loss(w - size * step)) > now and size > 1e-4:
@@ -121,8 +132,9 @@ def fit_logistic(
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """How many texts of a batch hold each feature, and how many of them are toxic."""
-    for batch in batches:
+    """How many of some hundred texts hold each feature, and how many of those are toxic."""
+    parts = (batch.slice(at, 500) for batch in batches for at in range(0, batch.num_rows, 500))
+    for batch in parts:
         n: Counter[str] = Counter()
         toxic: Counter[str] = Counter()
         for text, label in zip(*[column.to_pylist() for column in batch.columns], strict=True):
@@ -149,7 +161,7 @@ def fit(
     penalty: float = 10.0,
     groups: Iterable[Iterable[str]] = IDENTITY_TERMS,
 ) -> Model:
-    """Fit on the labelled rows of ``docs``: at most about ``max_rows`` of them, by a hash of the id.
+    """Fit on the labelled rows of ``docs``, at most about ``max_rows``, taken by a hash of the id.
 
     The ``max_features`` features that differ most between toxic and other texts enter the
     model, and all identity terms that occur. Every labelled text that mentions an identity
@@ -168,7 +180,8 @@ def fit(
     # At most about max_rows pairs of numbers.
     few = F.broadcast(labels.filter(chosen))
     rows = docs.select(F.col(id).alias("id"), as_text(text).alias("text")).join(few, "id")
-    rows = rows.select("text", "label").repartition(docs.sparkSession.sparkContext.defaultParallelism)
+    tasks = docs.sparkSession.sparkContext.defaultParallelism
+    rows = rows.select("text", "label").repartition(tasks)
 
     counts = rows.mapInArrow(_counted, "feature string, n bigint, toxic bigint")
     counts = counts.groupBy("feature").agg(F.sum("n").alias("n"), F.sum("toxic").alias("toxic"))
@@ -184,15 +197,16 @@ def fit(
     names = sorted({*names, *terms})
     place = {name: i for i, name in enumerate(names)}
 
+    def present(text: str) -> list[int]:
+        return sorted(place[f] for f in features(text) if f in place)
+
     def active(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column("text").to_pylist()
-            own = [sorted(place[f] for f in features(t) if f in place) for t in texts]
-            swaps = [swapped(t, groups) for t in texts]
-            other = [
-                None if t is None else sorted(place[f] for f in features(t) if f in place)
-                for t in swaps
-            ]
+            own, other = [], []
+            for text in batch.column("text"):
+                own.append(present(text.as_py()))
+                other_text = swapped(text.as_py(), groups)
+                other.append(None if other_text is None else present(other_text))
             kind = pa.list_(pa.int32())
             yield pa.RecordBatch.from_arrays(
                 [batch.column("label"), pa.array(own, kind), pa.array(other, kind)],
@@ -203,7 +217,7 @@ def fit(
     found = rows.mapInArrow(active, "label int, own array<int>, other array<int>").toArrow()
 
     def matrix(column: list) -> np.ndarray:
-        x = np.zeros((len(column), len(names)))
+        x = np.zeros((len(column), len(names)), np.int8)
         for i, at in enumerate(column):
             x[i, at] = 1
         return x
@@ -222,6 +236,6 @@ def toxicity(model: Model, text: str | Column = "text") -> Column:
 
     @F.arrow_udf("double")
     def score(texts: pa.Array) -> pa.Array:
-        return pa.array([model.score(t) for t in texts.to_pylist()], pa.float64())
+        return pa.array([model.score(t.as_py()) for t in texts], pa.float64())
 
     return score(text)
