@@ -55,11 +55,12 @@ DEPTH = 512
 
 _RAW_ENDS = {tag: re.compile(f"</{tag}(?![a-z])", re.I) for tag in RAW}
 _NAME = re.compile(r"[a-zA-Z][^\s/>]*")
+# The next attribute of a tag with its whole value, or the end of the tag.
 _ATTRIBUTE = re.compile(
-    r"""(?<![\w-])(class|id|role|hidden|style|aria-hidden)(?![\w-])"""
-    r"""(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""",
-    re.I,
+    r"""[\s/]*+(?:(>)|([^\s/>][^\s/>=]*+)"""
+    r"""(?:\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s>]*+)))?)"""
 )
+_READ = frozenset("class id role hidden style aria-hidden".split())
 _WORD = re.compile(r"[a-z]+")
 _SPACES = re.compile(r"\s+")
 
@@ -69,15 +70,14 @@ class Element:
 
     __slots__ = ("tag", "parent", "away", "inside", "hidden", "link")
 
-    def __init__(self, tag: str, parent: "Element | None", attributes: str):
+    def __init__(self, tag: str, parent: "Element | None", attributes: dict[str, str]):
         self.tag, self.parent = tag, parent
         self.away = bool(parent and parent.away)
         self.inside = bool(parent and parent.inside)
         self.hidden = bool(parent and parent.hidden) or tag in HIDDEN
         self.link = tag == "a" or bool(parent and parent.link)
         words: set[str] = set()
-        for name, value in _ATTRIBUTE.findall(attributes) if attributes else ():
-            name, value = name.lower(), value.strip("\"'").lower()
+        for name, value in attributes.items():
             if name == "hidden" or (name == "aria-hidden" and value == "true"):
                 self.hidden = True
             elif name == "style":
@@ -104,7 +104,7 @@ class Block(NamedTuple):
 
 def blocks_of(page: str) -> list[Block]:
     """The visible blocks of a page in order, with white space folded."""
-    root = Element("html", None, "")
+    root = Element("html", None, {})
     open_elements = [root]
     blocks: list[Block] = []
     pieces: list[str] = []
@@ -160,8 +160,8 @@ def blocks_of(page: str) -> list[Block]:
             add("<")
             at = start + 1
             continue
-        end = _tag_end(page, name.end())
-        tag, attributes = name[0].lower(), page[name.end() : end]
+        end, attributes = _attributes(page, name.end())
+        tag = name[0].lower()
         at = end + 1
         if closing:
             for i in range(len(open_elements) - 1, 0, -1):
@@ -186,7 +186,7 @@ def blocks_of(page: str) -> list[Block]:
             end_block()
         elif tag == "br":
             add(" ")
-        if tag in VOID or attributes.endswith("/") and tag == "svg":
+        if tag in VOID or tag == "svg" and page[end - 1] == "/":
             continue
         if len(open_elements) < DEPTH or tag in RAW:
             open_elements.append(Element(tag, open_elements[-1], attributes))
@@ -197,23 +197,22 @@ def blocks_of(page: str) -> list[Block]:
     return blocks
 
 
-def _tag_end(page: str, at: int) -> int:
-    """The place of the ``>`` that ends a tag, past quoted values; the page's end if there is none."""
-    while True:
-        end = page.find(">", at)
-        if end < 0:
-            return len(page)
-        for quote in re.finditer(r"=\s*([\"'])", page[at:end]):
-            closing = page.find(quote[1], at + quote.end())
-            if closing > end:
-                at = closing + 1
-                break
-            if closing < 0:
-                return end
-        else:
-            return end
-        if at >= len(page):
-            return len(page)
+def _attributes(page: str, at: int) -> tuple[int, dict[str, str]]:
+    """The place of the ``>`` that ends a tag, and the attributes before it that tell something.
+
+    Attributes are read one after another, so what a value holds is never taken for another
+    one. The first of a name counts. A tag without an end goes to the end of the page; a quote
+    that is never closed is part of an unquoted value.
+    """
+    found: dict[str, str] = {}
+    while part := _ATTRIBUTE.match(page, at):
+        if part[1]:
+            return part.end() - 1, found
+        name = part[2].lower()
+        if name in _READ:
+            found.setdefault(name, (part[3] or part[4] or part[5] or "").lower())
+        at = part.end()
+    return len(page), found
 
 
 # The classifier starts from these weights and moves from them as far as pages tell it to.

@@ -60,6 +60,30 @@ def test_pages(name):
     assert extract(page, START) == want
 
 
+@pytest.mark.parametrize(
+    "tag",
+    [
+        'title="The hidden cost of tea"',
+        "data-h='hidden'",
+        'href="/a/hidden/b"',
+        "href=/a?id=ad",
+        "href='/a?class=sidebar&role=menu'",
+        'data-x="style=display:none"',
+        "title=\"it is='so\" alt='>'",
+        "class=x class=sidebar",
+    ],
+)
+def test_what_a_value_holds_is_no_attribute(tag):
+    page = f"<article><p {tag}>{LONG}</p><p>See <a {tag}>these words</a> here.</p></article>"
+    assert extract(page, START) == f"{LONG}\nSee these words here."
+
+
+@pytest.mark.parametrize("tag", ["HIDDEN", "a=b hidden=''", "x='1'hidden", "style='DISPLAY : NONE'", "aria-hidden=true"])
+def test_hidden_attributes_are_found_among_others(tag):
+    page = f"<article><p>{LONG}</p><p title='a > b' {tag}>no</p></article>"
+    assert extract(page, START) == LONG
+
+
 def test_deep_and_long_pages_end_soon():
     deep = "<div>" * 20_000 + LONG + "<b>" * 20_000 + "<p>more"
     assert [b.text for b in blocks_of(deep)] == [LONG, "more"]
