@@ -49,6 +49,12 @@ AWAY_WORDS = frozenset(
 )
 CONTENT_WORDS = frozenset("article body content entry main post story text".split())
 AWAY_TAGS = frozenset("nav footer aside form menu dialog fieldset search".split())
+# Away tags that pages also wrap around all they have.
+WRAPPING_TAGS = frozenset(("form", "fieldset"))
+# A header of one of these belongs to the content.
+HEADED = frozenset("article content entry post story".split())
+# What is left of an away mark one element further down.
+FADE = 0.6
 
 # Elements open at once; deeper ones count as part of the last one that was opened.
 DEPTH = 512
@@ -66,33 +72,56 @@ _SPACES = re.compile(r"\s+")
 
 
 class Element:
-    """An open or closed element: what the blocks in it inherit."""
+    """An open or closed element: what the blocks in it inherit.
 
-    __slots__ = ("tag", "parent", "away", "inside", "hidden", "link")
+    ``away`` is 1 where a tag or word marks a part as no content and fades below it. The mark
+    is ``firm``, or it counts the less the more of the page's text its element holds.
+    """
+
+    __slots__ = ("tag", "parent", "away", "mark", "firm", "inside", "hidden", "link")
 
     def __init__(self, tag: str, parent: "Element | None", attributes: dict[str, str]):
         self.tag, self.parent = tag, parent
-        self.away = bool(parent and parent.away)
+        self.away = parent.away * FADE if parent else 0.0
+        self.mark: Element | None = parent.mark if parent else None
+        self.firm = bool(parent and parent.firm)
         self.inside = bool(parent and parent.inside)
         self.hidden = bool(parent and parent.hidden) or tag in HIDDEN
         self.link = tag == "a" or bool(parent and parent.link)
-        words: set[str] = set()
+        marked = pure = content = False
         for name, value in attributes.items():
             if name == "hidden" or (name == "aria-hidden" and value == "true"):
                 self.hidden = True
             elif name == "style":
                 self.hidden |= "display:none" in value.replace(" ", "")
             else:
-                words.update(_WORD.findall(value))
-        marked = bool(words & AWAY_WORDS)
-        main = tag in ("article", "main") or bool(words & CONTENT_WORDS and not marked)
+                for token in value.split():
+                    words = set(_WORD.findall(token))
+                    away = words & AWAY_WORDS
+                    if words & HEADED:
+                        away.discard("header")
+                    marked |= bool(away)
+                    pure |= bool(away) and words <= AWAY_WORDS
+                    content |= not away and bool(words & CONTENT_WORDS)
+        own = tag in ("article", "main")
         if tag in AWAY_TAGS or (tag == "header" and not self.inside):
-            self.away = True
-        elif tag not in ("html", "body", "article", "main"):
-            self.away |= marked
-        if main and not self.away:
+            self._set_apart(tag not in WRAPPING_TAGS)
+        elif tag in ("html", "body") or own:
+            above = self.mark.tag if self.mark else ""
+            if tag == "main" or (tag == "article" and not marked and above in WRAPPING_TAGS):
+                self.away, self.mark, self.firm = 0.0, None, False
+            elif tag == "article" and not marked and above not in (*AWAY_TAGS, "header"):
+                self.firm = False  # set apart by a word only
+        elif marked and (pure or not content):
+            self._set_apart(pure and not content)
+        if (own or content) and not self.firm:
             self.inside = True
 
+    def _set_apart(self, firm: bool) -> None:
+        self.away, self.mark, self.firm = 1.0, self, firm
+        if firm:
+            self.inside = False
+
 
 class Block(NamedTuple):
     """A run of text without a block boundary in it."""
@@ -218,7 +247,7 @@ def _attributes(page: str, at: int) -> tuple[int, dict[str, str]]:
 # The classifier starts from these weights and moves from them as far as pages tell it to.
 FEATURES = {
     "bias": -0.4,
-    "away": -9.0,
+    "away": -9.0,  # at the marked element itself; less below it
     "inside": 3.0,
     "linked": -3.0,
     "heading": 0.6,
@@ -235,6 +264,27 @@ _NOTICE = re.compile(
 )
 
 
+def _holds(blocks: list[Block]) -> list[float]:
+    """How far the mark above each block holds, from 0 to 1.
+
+    A mark that is not firm is weighed by its part of the text that no firm mark sets apart. It
+    holds up to a third of that, and no longer from two thirds on: a form or a wrapper around
+    all of a page tells nothing.
+    """
+    held: dict[Element | None, int] = {}
+    for block in blocks:
+        if not block.element.firm:
+            mark = block.element.mark
+            held[mark] = held.get(mark, 0) + len(block.text)
+    size = sum(held.values())
+    return [
+        float(block.element.firm)
+        if block.element.firm or block.element.mark is None
+        else min(1.0, max(0.0, 2 - 3 * held[block.element.mark] / size))
+        for block in blocks
+    ]
+
+
 def features_of(blocks: list[Block]) -> np.ndarray:
     """One row per block in the order of ``FEATURES``."""
     seen: dict[str, int] = {}
@@ -244,8 +294,8 @@ def features_of(blocks: list[Block]) -> np.ndarray:
         [
             (
                 1.0,
-                block.element.away,
-                block.element.inside,
+                block.element.away * holds,
+                block.element.inside * (1 - holds),
                 min(1.0, block.linked / len(block.text)),
                 block.element.tag in ("h1", "h2", "h3", "h4", "h5", "h6"),
                 block.element.tag in ("li", "td", "th", "dt", "dd", "label", "legend", "caption"),
@@ -254,7 +304,7 @@ def features_of(blocks: list[Block]) -> np.ndarray:
                 bool(_NOTICE.search(block.text)) and len(block.text) < 400,
                 seen[block.text] > 2,
             )
-            for block in blocks
+            for block, holds in zip(blocks, _holds(blocks), strict=True)
         ],
         dtype=float,
     ).reshape(-1, len(FEATURES))
@@ -337,6 +387,8 @@ def minimum_cut(
 
 # What it costs to part two blocks: neighbours in the page, and neighbours with one parent.
 ADJACENT, SIBLINGS = 0.3, 0.9
+# The part of that which is left between blocks under different marks.
+ACROSS = 1 / 3
 
 
 def label_blocks(blocks: list[Block], weights: np.ndarray) -> list[bool]:
@@ -350,11 +402,13 @@ def label_blocks(blocks: list[Block], weights: np.ndarray) -> list[bool]:
     last_of: dict[int, int] = {}
     for i, block in enumerate(blocks):
         own = block.element
-        if i and blocks[i - 1].element.away == own.away:
-            edges.append((i - 1, i, ADJACENT))
+        if i:
+            same = blocks[i - 1].element.mark is own.mark
+            edges.append((i - 1, i, ADJACENT if same else ADJACENT * ACROSS))
         parent = id(own.parent)
-        if parent in last_of and blocks[last_of[parent]].element.away == own.away:
-            edges.append((last_of[parent], i, SIBLINGS))
+        if parent in last_of:
+            same = blocks[last_of[parent]].element.mark is own.mark
+            edges.append((last_of[parent], i, SIBLINGS if same else SIBLINGS * ACROSS))
         last_of[parent] = i
     # Labelled content where the source's side would be paid for being away.
     return minimum_cut(away_cost.tolist(), content_cost.tolist(), edges)
@@ -383,7 +437,8 @@ def fit_weights(
     """
     names = list(FEATURES)
     start = np.array(list(FEATURES.values()))
-    free = [i for i, name in enumerate(names) if name not in ("away", "inside")]
+    away_at, inside_at = names.index("away"), names.index("inside")
+    free = [i for i in range(len(names)) if i not in (away_at, inside_at)]
     rows = pages.select(F.col(id).cast("string").alias("id"), F.col(source).alias("html"))
     part = int(min(1.0, max_pages / max(rows.count(), 1)) * (1 << 20))
 
@@ -393,9 +448,10 @@ def fit_weights(
         for batch in batches:
             for page in batch.column("html"):
                 blocks = blocks_of(page.as_py() or "")
-                for block, values in zip(blocks, features_of(blocks).round(1).tolist(), strict=True):
-                    if block.element.away or block.element.inside:
-                        key = (*values, float(block.element.inside and not block.element.away))
+                for values in features_of(blocks).round(1).tolist():
+                    away, inside = values[away_at], values[inside_at]
+                    if away or inside:
+                        key = (*values, float(inside > away))
                         counts[key] = counts.get(key, 0) + 1
         rows_of = pa.array([list(k) for k in counts], pa.list_(pa.float64()))
         yield pa.RecordBatch.from_arrays(

@@ -12,6 +12,7 @@ from qarun.llm.html_text import (
     extract,
     extract_pages,
     fit_weights,
+    label_blocks,
     minimum_cut,
 )
 
@@ -84,6 +85,64 @@ def test_hidden_attributes_are_found_among_others(tag):
     assert extract(page, START) == LONG
 
 
+BODY = f"<h1>Title</h1><p>{LONG}</p><p>{LONG} Again.</p>"
+WHOLE = f"Title\n{LONG}\n{LONG} Again."
+SHELL = (
+    "<nav><a href=/>Home</a></nav><div class=navbar><ul><li><a href=/a>A</a><li><a href=/b>B</a></ul></div>",
+    "<div class=sidebar><p>Read this too</p></div><footer>&copy; 2024</footer>",
+)
+
+
+@pytest.mark.parametrize(
+    ("before", "after"),
+    [
+        ("<form id=aspnetForm>", "</form>"),
+        ("<form action=x><div class=page><div id=main>", "</div></div></form>"),
+        ("<form><fieldset>", "</fieldset></form>"),
+        ("<form><article>", "</article></form>"),
+        ('<div class="content has-sidebar">', "</div>"),
+        ('<div class="has-sidebar">', "</div>"),
+        ('<div class="post tag-social">', "</div>"),
+        ('<div class="article-header">', "</div>"),
+        ('<div class="article-header"><article>', "</article></div>"),
+        ('<div class="notice"><article>', "</article></div>"),
+        ('<div class="sidebar-left"><div class=x><main>', "</main></div></div>"),
+    ],
+)
+@pytest.mark.parametrize("inner", [False, True])
+def test_wrappers_do_not_take_the_page_away(before, after, inner):
+    top, end = SHELL
+    parts = (before, top, BODY, end, after) if inner else (top, before, BODY, after, end)
+    assert extract(f"<body>{''.join(parts)}</body>", START) == WHOLE
+
+
+@pytest.mark.parametrize(
+    "part",
+    [
+        f"<form><p>{LONG}</p><label>Name</label></form>",
+        f"<div class=ad-slot><p>{LONG}</p></div>",
+        f"<div class=related-posts><article><h3>Other</h3><p>{LONG}</p></article></div>",
+        f"<section class=comments><article class=comment><p>{LONG}</p></article></section>",
+        f"<aside><div class=text><p>{LONG}</p></div></aside>",
+        f"<div class=comments><div><p>{LONG}</p></div></div>",
+    ],
+)
+@pytest.mark.parametrize("inside", [False, True])
+def test_small_parts_stay_away(part, inside):
+    body = BODY + "".join(f"<p>{LONG} Number {i}.</p>" for i in range(3))
+    want = WHOLE + "".join(f"\n{LONG} Number {i}." for i in range(3))
+    page = f"<article>{body}{part}</article>" if inside else f"<article>{body}</article>{part}"
+    assert extract(page, START) == want
+
+
+def test_the_cut_also_decides_at_the_border_of_a_mark():
+    weights = np.zeros(len(START))
+    weights[:2] = 0.5, -0.7  # alone, the marked block would be cut away
+    assert label_blocks(blocks_of("<p>a</p><aside>b</aside>"), weights) == [True, True]
+    weights[1] = -1.2
+    assert label_blocks(blocks_of("<p>a</p><aside>b</aside>"), weights) == [True, False]
+
+
 def test_deep_and_long_pages_end_soon():
     deep = "<div>" * 20_000 + LONG + "<b>" * 20_000 + "<p>more"
     assert [b.text for b in blocks_of(deep)] == [LONG, "more"]
