@@ -56,9 +56,6 @@ HEADED = frozenset("article content entry post story".split())
 # What is left of an away mark one element further down.
 FADE = 0.6
 
-# Elements open at once; deeper ones count as part of the last one that was opened.
-DEPTH = 512
-
 _RAW_ENDS = {tag: re.compile(f"</{tag}(?![a-z])", re.I) for tag in RAW}
 _NAME = re.compile(r"[a-zA-Z][^\s/>]*")
 # The next attribute of a tag with its whole value, or the end of the tag.
@@ -78,7 +75,7 @@ class Element:
     is ``firm``, or it counts the less the more of the page's text its element holds.
     """
 
-    __slots__ = ("tag", "parent", "away", "mark", "firm", "inside", "hidden", "link")
+    __slots__ = ("tag", "parent", "away", "mark", "firm", "inside", "hidden", "link", "block")
 
     def __init__(self, tag: str, parent: "Element | None", attributes: dict[str, str]):
         self.tag, self.parent = tag, parent
@@ -88,6 +85,10 @@ class Element:
         self.inside = bool(parent and parent.inside)
         self.hidden = bool(parent and parent.hidden) or tag in HIDDEN
         self.link = tag == "a" or bool(parent and parent.link)
+        # The nearest element that is a block, if it is another one.
+        self.block: Element | None = None
+        if parent and tag not in BLOCK:
+            self.block = parent.block or parent
         marked = pure = content = False
         for name, value in attributes.items():
             if name == "hidden" or (name == "aria-hidden" and value == "true"):
@@ -135,6 +136,9 @@ def blocks_of(page: str) -> list[Block]:
     """The visible blocks of a page in order, with white space folded."""
     root = Element("html", None, {})
     open_elements = [root]
+    # Where elements of a tag are open, so that none has to be searched however deep a page is.
+    places: dict[str, list[int]] = {}
+    stops = [0]
     blocks: list[Block] = []
     pieces: list[str] = []
     linked = 0
@@ -155,9 +159,7 @@ def blocks_of(page: str) -> list[Block]:
         if here.hidden or not text:
             return
         if not pieces:
-            owner = here
-            while owner.parent is not None and owner.tag not in BLOCK:
-                owner = owner.parent
+            owner = here.block or here
         pieces.append(text)
         if here.link:
             linked += len(text.strip())
@@ -165,6 +167,10 @@ def blocks_of(page: str) -> list[Block]:
     def close(at: int) -> None:
         if any(element.tag in BLOCK for element in open_elements[at:]):
             end_block()
+        for element in reversed(open_elements[at:]):
+            places[element.tag].pop()
+            if element.tag in STOPS:
+                stops.pop()
         del open_elements[at:]
 
     at, size = 0, len(page)
@@ -193,23 +199,19 @@ def blocks_of(page: str) -> list[Block]:
         tag = name[0].lower()
         at = end + 1
         if closing:
-            for i in range(len(open_elements) - 1, 0, -1):
-                if open_elements[i].tag == tag:
-                    close(i)
-                    break
-            else:
-                if tag in BLOCK:
-                    end_block()
+            if places.get(tag):
+                close(places[tag][-1])
+            elif tag in BLOCK:
+                end_block()
             continue
         ends = CLOSES.get(tag)
         if ends:
-            for i in range(len(open_elements) - 1, 0, -1):
-                if open_elements[i].tag in ends:
-                    close(i)
-                    if tag in ("li", "dt", "dd", "tr", "td", "th"):
-                        continue
+            while True:
+                last = max((places[end][-1] for end in ends if places.get(end)), default=0)
+                if last <= stops[-1]:
                     break
-                if open_elements[i].tag in STOPS:
+                close(last)
+                if tag not in ("li", "dt", "dd", "tr", "td", "th"):
                     break
         if tag in BLOCK:
             end_block()
@@ -217,8 +219,10 @@ def blocks_of(page: str) -> list[Block]:
             add(" ")
         if tag in VOID or tag == "svg" and page[end - 1] == "/":
             continue
-        if len(open_elements) < DEPTH or tag in RAW:
-            open_elements.append(Element(tag, open_elements[-1], attributes))
+        places.setdefault(tag, []).append(len(open_elements))
+        if tag in STOPS:
+            stops.append(len(open_elements))
+        open_elements.append(Element(tag, open_elements[-1], attributes))
         if tag in RAW:
             end = _RAW_ENDS[tag].search(page, at)
             at = size if end is None else end.start()

@@ -150,6 +150,24 @@ def test_deep_and_long_pages_end_soon():
     assert extract(long, START).count("\n") == 4_999
 
 
+@pytest.mark.parametrize("tag", ["div", "span", "font"])
+def test_deep_parts_keep_their_marks(tag):
+    deep, up = f"<{tag}>" * 3_000, f"</{tag}>" * 3_000
+    page = f"<article>{deep}<nav><p>{LONG}</p></nav><p>{LONG}</p>{up}<p>{LONG} End.</p></article>"
+    assert [(b.element.away > 0, b.element.inside) for b in blocks_of(page)] == [
+        (True, False),
+        (False, True),
+        (False, True),
+    ]
+    assert extract(page, START) == f"{LONG}\n{LONG} End."
+
+
+def test_deep_pages_are_not_searched():
+    deep = "<span>" * 30_000
+    for part in ("<h1>x</h1>", "x<hr>", "<p>x", "</b>x<li>"):
+        assert len(blocks_of(deep + part * 30_000)) == 30_000
+
+
 def test_minimum_cut_against_all_labellings():
     rng = random.Random(4)
     for _ in range(60):
