@@ -427,24 +427,22 @@ def extract(page: str | None, weights: np.ndarray) -> str:
 
 def fit_weights(
     pages: DataFrame,
-    id: str = "page_id",
     source: str = "html",
     max_pages: int = 2_000,
     trust: float = 50.0,
 ) -> np.ndarray:
-    """Weights of the block classifier, fitted on at most about ``max_pages`` pages.
+    """Weights of the block classifier, fitted on the blocks of all pages.
 
     Pages carry no labels, so blocks in ``article`` or ``main`` stand for content and blocks
     in parts for navigation, notices and forms for the rest. The weights of those two
     features keep their starting values; the others are fitted without them, with a ridge of
-    strength ``trust`` towards the start, so that few or odd pages change little.
+    strength ``trust`` towards the start, so that few or odd pages change little. All blocks
+    together weigh as much as ``max_pages`` against the ridge, however many pages there are.
     """
     names = list(FEATURES)
     start = np.array(list(FEATURES.values()))
     away_at, inside_at = names.index("away"), names.index("inside")
     free = [i for i in range(len(names)) if i not in (away_at, inside_at)]
-    rows = pages.select(F.col(id).cast("string").alias("id"), F.col(source).alias("html"))
-    part = int(min(1.0, max_pages / max(rows.count(), 1)) * (1 << 20))
 
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Blocks with the same features and label, counted."""
@@ -455,21 +453,22 @@ def fit_weights(
                 for values in features_of(blocks).round(1).tolist():
                     away, inside = values[away_at], values[inside_at]
                     if away or inside:
-                        key = (*values, float(inside > away))
+                        key = (*(values[i] for i in free), float(inside > away))
                         counts[key] = counts.get(key, 0) + 1
         rows_of = pa.array([list(k) for k in counts], pa.list_(pa.float64()))
         yield pa.RecordBatch.from_arrays(
             [rows_of, pa.array(list(counts.values()), pa.int64())], names=["row", "n"]
         )
 
-    chosen = rows.filter(F.pmod(F.xxhash64(F.coalesce("id", F.lit(""))), F.lit(1 << 20)) < part)
-    # Few distinct rows: features are rounded.
-    counted = chosen.mapInArrow(sums, "row array<double>, n bigint")
+    # Few distinct rows, however many pages: features are rounded.
+    counted = pages.select(F.col(source).alias("html")).mapInArrow(
+        sums, "row array<double>, n bigint"
+    )
     found = counted.groupBy("row").agg(F.sum("n").alias("n")).toArrow()
     if not found.num_rows:
         return start
     table = np.array(found.column("row").to_pylist())
-    n, x, y = found.column("n").to_numpy().astype(float), table[:, free], table[:, -1]
+    n, x, y = found.column("n").to_numpy().astype(float), table[:, :-1], table[:, -1]
     n = n / n.sum() * max_pages
     w = start[free].copy()
     for _ in range(30):
@@ -500,7 +499,7 @@ def extract_pages(
     Pages are worked on one by one where they are read, without a shuffle.
     """
     if weights is None:
-        weights = fit_weights(pages, id, source)
+        weights = fit_weights(pages, source)
 
     def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -218,3 +218,10 @@ def test_fitted_weights_stay_near_the_start(spark):
     assert (fit_weights(pages.limit(0)) == START).all()
     for page, want in PAGES.values():
         assert extract(page, weights) == want
+
+
+def test_all_pages_are_fitted_whatever_their_number(spark):
+    few, many = [page for page, _ in PAGES.values()], 40
+    once = fit_weights(table(spark, few), max_pages=100)
+    again = fit_weights(table(spark, few * many), max_pages=100)
+    assert not np.allclose(once, START) and np.allclose(once, again, rtol=0, atol=1e-9)
