@@ -17,9 +17,25 @@ MIN_WORDS = 5
 BLOCK_SEEDS = 500_000
 
 
+# Fixed value: scripts written without spaces between words, such as Thai, Lao, Burmese, Khmer,
+# Japanese and Chinese.
+UNSPACED = (
+    r"\x{0E00}-\x{0EFF}\x{1000}-\x{109F}\x{1780}-\x{17FF}\x{1950}-\x{19DF}\x{1A20}-\x{1AAF}"
+    r"\x{3005}-\x{3007}\x{3040}-\x{312F}\x{31A0}-\x{31BF}\x{31F0}-\x{31FF}\x{3400}-\x{4DBF}"
+    r"\x{4E00}-\x{9FFF}\x{A9E0}-\x{A9FF}\x{AA60}-\x{AA7F}\x{F900}-\x{FAFF}\x{FF66}-\x{FF9F}"
+    r"\x{20000}-\x{3FFFF}"
+)
+
+
 def words_of(text: Column) -> Column:
-    """Runs of letters and digits, in lower case."""
-    return F.array_remove(F.split(F.lower(text), r"[^\p{L}\p{M}\p{N}]+"), "")
+    """Runs of letters and digits, in lower case; single characters in unspaced scripts."""
+    lower = F.lower(text)
+    # Most texts have none of these; to see that is cheaper than to replace.
+    spaced = F.when(
+        lower.rlike(f"[{UNSPACED}]"),
+        F.regexp_replace(lower, f"([{UNSPACED}&&[\\p{{L}}\\p{{N}}]]\\p{{M}}*)", " $1 "),
+    ).otherwise(lower)
+    return F.array_remove(F.split(spaced, r"[^\p{L}\p{M}\p{N}]+"), "")
 
 
 def _seeds(words: Column, at: Column, masks: list[tuple[int, ...]]) -> Column:
@@ -49,7 +65,8 @@ def contaminated(
     A document holds an item if, laid on each other at some place, ``WINDOW`` words in a row
     differ in at most ``SUBSTITUTED``. An item with fewer words must be there whole and
     unchanged, and one with fewer than ``MIN_WORDS`` is not looked for. Words are runs of
-    letters and digits in lower case, so punctuation and line ends do not matter.
+    letters and digits in lower case, so punctuation and line ends do not matter. In scripts
+    without spaces each character, with its marks, is a word.
 
     ``text_hash`` (xxhash64 of the text) tells rows with the same or a null id apart. Null and
     empty texts hold nothing, null or repeated items are no special case, and empty tables

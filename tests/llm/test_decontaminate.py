@@ -3,12 +3,15 @@
 import itertools
 import random
 
+from pyspark.sql import functions as F
+
 from qarun.llm.decontaminate import (
     MASKS,
     SUBSTITUTED,
     WINDOW,
     contaminated,
     without_contaminated,
+    words_of,
 )
 from tests.llm.helpers import docs, words
 
@@ -73,3 +76,15 @@ def test_null_ids_and_empty_tables(spark):
     assert contaminated(docs(spark, []), bench).count() == 0
     assert contaminated(table, bench.limit(0)).count() == 0
     assert without_contaminated(table, contaminated(table, bench.limit(0))).count() == 4
+
+
+def test_scripts_without_spaces(spark):
+    han = "春天的時候村裡的人都到河邊去看花開"
+    kana = "きのうカタカナのほんをよんだ"
+    thai = "ภาษาไทยไม่มีช่องว่างระหว่างคำ"
+    bench = spark.createDataFrame([(0, han), (1, kana), (2, thai)], "item_id long, text string")
+    texts = [f"他說{han}，然後走了", f"{han[:6]}某{han[7:]}", f"x{kana}y", f"ก่อน{thai}หลัง", han[:8], "한국어 문장 하나", "rain"]
+    found = contaminated(docs(spark, texts), bench).collect()
+    assert {r.doc_id: list(r.item_ids) for r in found} == {0: [0], 1: [0], 2: [1], 3: [2]}
+    row = spark.sql("SELECT 'Ab-C 12 กำ日本x é' AS t").select(words_of(F.col("t")).alias("w")).first()
+    assert list(row.w) == ["ab", "c", "12", "ก", "ำ", "日", "本", "x", "é"]
