@@ -82,6 +82,26 @@ def test_stages_of_the_pipeline(spark):
     assert sorted(r.doc_id for r in left.collect()) == [1, 2] and left.columns == insulting.columns
 
 
+def test_near_dedup_stage_decides_by_row(spark):
+    stage = dict(corpus_pipeline.STAGES)["near-dedup"]
+    a, b, c = "a b c d e f g", "q r s t u v w", "k l m n o p i j"
+    cases = [
+        # Copies of a text, also with repeated and null ids, leave one row.
+        ([a, a, a], [3, 3, None], [(3, a)]),
+        ([a, a], [None, None], [(None, a)]),
+        # The other text of a repeated id stays.
+        ([a, b, b], [3, 3, 2], [(3, a), (2, b)]),
+        ([a, a, b, c, c], [None, 3, 3, 3, 1], [(3, a), (3, b), (1, c)]),
+        # Empty texts are no copies.
+        ([None, "", " ", a, a], [5, 5, 5, 6, 6], [(5, None), (5, ""), (5, " "), (6, a)]),
+    ]
+    for texts, ids, want in cases:
+        table = docs(spark, texts, ids)
+        left = stage(spark, table, SF_DIR)
+        assert left.columns == table.columns
+        assert sorted(((r.doc_id, r.text) for r in left.collect()), key=repr) == sorted(want, key=repr)
+
+
 def test_whole_pipeline(spark):
     got = corpus_pipeline.run(spark, "/root/testdata/sf0.001").collect()
     ids = {r.doc_id for r in got}
