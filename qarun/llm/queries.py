@@ -11,14 +11,17 @@ from qarun.llm.common import as_text, table
 from qarun.llm.decontaminate import contaminated
 from qarun.llm.exact_dedup import exact_duplicates
 from qarun.llm.html_text import extract_pages
+from qarun.llm.lexical_search import search
 from qarun.llm.line_dedup import dedup_lines
 from qarun.llm.near_dedup import near_duplicates
+from qarun.llm.periodic_runs import looped, periodic_runs, run_digests
 from qarun.llm.quality import score_quality
 from qarun.llm.shards import shard_by_bytes
 from qarun.llm.toxicity import Model
 from qarun.llm.toxicity import fit as fit_toxicity
 from qarun.llm.toxicity import toxicity
 from qarun.llm.url_rules import WORDS, judge_urls
+from qarun.llm.vector_search import search_vectors
 
 # A score of at least this much predicts the label 1.
 DECISION = 0.3
@@ -109,6 +112,19 @@ def op10_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=10)
+
+
+def op12_vector_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return search_vectors(vectors, vectors.filter(F.col("vec_id") % 100 == 0), k=10)
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return run_digests(periodic_runs(table(spark, sf_dir, "documents"), change=looped))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality": op1_quality,
@@ -121,6 +137,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_toxicity": op8_toxicity,
         "op9_near_dedup": op9_near_dedup,
         "op10_shards": op10_shards,
+        "op11_lexical_search": op11_lexical_search,
+        "op12_vector_search": op12_vector_search,
+        "op13_periodic_runs": op13_periodic_runs,
     }
 
 
@@ -172,9 +191,34 @@ FROM (SELECT *, CASE WHEN {_site_sql("example.net/en/")} THEN 'example.net/en/'
 """
 
 
+TERMS_SQL = f"""unnest(regexp_extract_all(translate(text, {LOWER_SQL}),
+    '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) AS term"""
+
+SEARCH_SQL = f"""
+WITH tf AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, {TERMS_SQL} FROM documents)
+            GROUP BY doc_id, term),
+size AS (SELECT doc_id, CAST(sum(tf) AS BIGINT) AS n FROM tf GROUP BY doc_id),
+total AS (SELECT count(*) AS docs, CAST(sum(n) AS BIGINT) AS words FROM size),
+weight AS (
+    SELECT term, CAST(floor(1000 * ln((2 * any_value(docs) + 2) / (2 * count(*) + 1))) AS BIGINT) AS w
+    FROM tf, total GROUP BY term),
+scored AS (
+    SELECT item_id, doc_id, CAST(sum(w * ((1000000000 * tf)
+               // (1000 * tf + 8 * (25 + (75 * n * docs) // words)))) AS BIGINT) AS score
+    FROM (SELECT item_id, {TERMS_SQL} FROM benchmark)
+    JOIN weight USING (term) JOIN tf USING (term) JOIN size USING (doc_id), total
+    GROUP BY item_id, doc_id)
+SELECT item_id, CAST(row_number() OVER w AS INTEGER) AS rank, doc_id, score FROM scored
+WHERE score > 0
+WINDOW w AS (PARTITION BY item_id ORDER BY score DESC, doc_id)
+QUALIFY row_number() OVER w <= 10
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "op4_url_rules": URLS_SQL,
+        "op11_lexical_search": SEARCH_SQL,
         "op5_line_dedup": f"""
             WITH {LINES_SQL}
             SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,

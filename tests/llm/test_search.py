@@ -1,0 +1,247 @@
+"""Ranked search and vector search against brute force."""
+
+import math
+import random
+import re
+from collections import Counter
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from qarun.llm.lexical_search import FOCUS, _Bucket, _item, search
+from qarun.llm.queries import op12_vector_search
+from qarun.llm.vector_search import _hadamard, keys_of, probes_of, search_vectors
+from tests.llm.helpers import docs
+
+TERM = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
+
+
+def terms(text):
+    lower = "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "")
+    return TERM.findall(lower)
+
+
+def ranked_by_hand(texts, ids, items, k):
+    counts = [Counter(terms(text)) for text in texts]
+    n = sum(1 for c in counts if c)
+    total = sum(sum(c.values()) for c in counts)
+    df = Counter(term for c in counts for term in c)
+    out = []
+    for item_id, text in items:
+        scores = []
+        for doc_id, c in zip(ids, counts, strict=True):
+            m = 25 + 75 * sum(c.values()) * n // total if total else 0
+            score = 0
+            for term in terms(text):
+                if c[term]:
+                    w = math.floor(1000 * math.log((2 * n + 2) / (2 * df[term] + 1)))
+                    score += w * (1_000_000_000 * c[term] // (1000 * c[term] + 8 * m))
+            if score > 0:
+                scores.append((-score, doc_id is None, doc_id or 0, doc_id))
+        for rank, (score, _, _, doc_id) in enumerate(sorted(scores, key=lambda s: s[:3])[:k], 1):
+            out.append((item_id, rank, doc_id, -score))
+    return out
+
+
+def items_table(spark, rows):
+    schema = "item_id long, text string, rank string, doc_id string, norm int"
+    return spark.createDataFrame([(i, t, "x", "y", 3) for i, t in rows], schema)
+
+
+def by_value(rows):
+    return sorted(map(tuple, rows), key=repr)
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_search_is_exact(spark, seed):
+    rng = random.Random(seed)
+    names = [f"w{i}" for i in range(60)] + ["é", "Straße", "日本", "A1"]
+
+    def text(n):
+        return " ,".join(names[min(int(rng.expovariate(0.1)), len(names) - 1)] for _ in range(n))
+
+    texts = [text(rng.choice([1, 5, 30, 200])) for _ in range(300)]
+    texts += texts[:40] + [None, "", " ;", text(20_000)] + ["w1 w1 w2"] * 50  # ties, a hot group
+    ids = [*range(len(texts) - 2), 3, None]  # a repeated and a null id
+    items = [(i, text(rng.choice([1, 3, 12, 40]))) for i in range(25)]
+    items += [(7, "w1 w1 w2"), (100, None), (101, ""), (102, "unknown words"), (103, "W1"), (103, "W1")]
+    want = ranked_by_hand(texts, ids, [*items[:-1]], 10)
+    for block in (200_000, 150):
+        got = search(docs(spark, texts, ids), items_table(spark, items), block_terms=block)
+        assert by_value(got.select("item_id", "rank", "doc_id", "score").collect()) == by_value(want)
+
+
+def test_search_of_empty_tables(spark):
+    some, none = docs(spark, ["a b", "c"]), docs(spark, [])
+    asked = items_table(spark, [(1, "a")])
+    columns = [("item_id", "bigint"), ("rank", "int"), ("doc_id", "bigint"), ("score", "bigint")]
+    for got in (
+        search(none, asked),
+        search(docs(spark, [None, ""]), asked),
+        search(some, asked.limit(0)),
+        search(some, items_table(spark, [(1, None)])),
+    ):
+        assert got.dtypes == columns and got.collect() == []
+
+
+def test_bounds_hold_and_prune():
+    rng = np.random.default_rng(1)
+    import pyarrow as pa
+
+    weights = rng.integers(0, 9000, 300)
+    rows = [np.sort(rng.choice(300, rng.integers(1, 80), replace=False)) for _ in range(500)]
+    parts = [rng.integers(1, 900_000, len(row)) for row in rows]
+    norms = [math.sqrt((weights[row] * part.astype(float) ** 2).sum()) for row, part in zip(rows, parts, strict=True)]
+    bucket = _Bucket(
+        pa.record_batch(
+            {
+                "doc_id": pa.array(range(500)),
+                "norm": pa.array(norms),
+                "terms": pa.array([r.tolist() for r in rows], pa.list_(pa.int32())),
+                "parts": pa.array([p.tolist() for p in parts], pa.list_(pa.int32())),
+            }
+        ),
+        weights,
+    )
+    pruned = 0
+    for size in (1, 5, 30):
+        terms = rng.choice(300, size, replace=False)
+        times = rng.integers(1, 4, size)
+        item = _item(terms.tolist(), times.tolist(), weights)
+        exact = [
+            sum(int(weights[t]) * int(n) * int(p[r == t][0]) for t, n in zip(terms, times, strict=True) if t in r)
+            for r, p in zip(rows, parts, strict=True)
+        ]
+        assert bucket.scores(item, np.arange(500)).tolist() == exact
+        focus, bound = bucket.bounds(item)
+        assert (bound >= exact).all() and (focus <= np.array(exact) + 1).all()
+        assert all(n * item.norm * (1 + 1e-9) >= e for n, e in zip(norms, exact, strict=True))
+        best = sorted(exact)[-10]
+        pruned += (bound < best).sum()
+        assert len(item.terms) == size and item.rest <= item.norm and FOCUS == 8
+    assert pruned > 500
+
+
+VECTORS = T.StructType(
+    [
+        T.StructField("vec_id", T.LongType()),
+        T.StructField("embedding", T.ArrayType(T.FloatType())),
+        T.StructField("rank", T.StringType()),
+        T.StructField("score", T.StringType()),
+        T.StructField("h", T.StringType()),
+    ]
+)
+
+
+def vectors(spark, rows):
+    return spark.createDataFrame([(i, v, "r", None, "h") for i, v in rows], VECTORS).repartition(4)
+
+
+def nearest_by_hand(rows, asked, k):
+    """All rankings, for rows whose ids are unique."""
+    ok = [
+        (i, np.array(v, np.float32).astype(float))
+        for i, v in rows
+        if i is not None and v and None not in v and np.isfinite(v).all() and np.any(v)
+    ]
+    out = {}
+    for q, u in ok:
+        if asked(q):
+            far = [
+                (math.sqrt(((v - u) ** 2).sum()), i) for i, v in ok if i != q and len(u) == len(v)
+            ]
+            out[q] = [(n, i, d) for n, (d, i) in enumerate(sorted(far)[:k], 1)]
+    return out
+
+
+def rankings(got):
+    out = {}
+    for r in got:
+        out.setdefault(r.query_id, []).append((r.rank, r.vec_id, r.score))
+    return {q: sorted(rows) for q, rows in out.items()}
+
+
+def recall(got, want):
+    hits = sum(len({i for _, i, _ in got.get(q, [])} & {i for _, i, _ in rows}) for q, rows in want.items())
+    return hits / sum(len(rows) for rows in want.values())
+
+
+def test_rotations_keep_lengths_and_axes_are_nearest():
+    rng = np.random.default_rng(0)
+    rows = rng.normal(size=(50, 12))
+    dense = np.array([[1.0]])
+    for _ in range(4):
+        dense = np.block([[dense, dense], [dense, -dense]])
+    some = rng.normal(size=(5, 16))
+    assert np.allclose(_hadamard(some), some @ dense)
+    keys = keys_of(rows, 1, 2)
+    assert ((keys >= 0) & (keys < 32 * 32)).all()
+    assert (keys_of(rows * 7.5, 1, 2) == keys).all()
+    # The likeliest bucket of a query is its own, and probing all of them finds each once.
+    tried = probes_of(rows, 1, 2, 32 * 32)
+    assert [t[0] for t in tried] == keys.tolist()
+    assert all(sorted(t) == list(range(32 * 32)) for t in tried)
+
+
+def test_vector_search_with_awkward_rows(spark):
+    rng = np.random.default_rng(3)
+    base = rng.normal(size=(400, 24))
+    rows = [(i, v.tolist()) for i, v in enumerate(base)]
+    rows += [(1000 + i, base[5].tolist()) for i in range(300)]  # a hot group of copies
+    rows += [(2000 + i, (base[5] + rng.normal(size=24) * 1e-3).tolist()) for i in range(200)]
+    rows += [(3000 + i, rng.normal(size=3).tolist()) for i in range(30)]  # another length
+    rows += [(5000, None), (5001, [0.0] * 24), (5002, [float("nan")] * 24), (5003, []), (None, base[1].tolist())]
+    rows += [(5004, [None, 1.0]), (5005, [float("inf"), 1.0]), (5006, [0.5] * 7)]
+    table = vectors(spark, rows)
+    got = rankings(search_vectors(table, table.filter("vec_id % 20 = 0"), k=10).collect())
+    want = nearest_by_hand(rows, lambda i: i % 20 == 0, 10)
+    assert got.keys() == {q for q, near in want.items() if near}
+    assert recall(got, want) >= 0.9
+    for q, found in got.items():
+        assert [n for n, _, _ in found] == list(range(1, len(found) + 1))
+        assert [(d, i) for _, i, d in found] == sorted((d, i) for _, i, d in found)
+        assert q not in {i for _, i, _ in found}
+    # All copies of one vector are at distance 0: the smallest ids win.
+    assert [i for _, i, _ in got[1000]] == [5, *range(1001, 1010)]
+    assert [(i, d) for _, i, d in got[1200]] == [(i, 0.0) for i in (5, *range(1000, 1009))]
+
+
+def test_keys_of_several_axes_and_blocks(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    centers = rng.normal(size=(40, 16))
+    rows = [(i, (centers[i % 40] + rng.normal(size=16) * 0.3).tolist()) for i in range(4000)]
+    table = vectors(spark, rows)
+    want = nearest_by_hand(rows, lambda i: i % 100 == 0, 10)
+    monkeypatch.setattr("qarun.llm.vector_search.BLOCK_VECTORS", 50)
+    monkeypatch.setattr("qarun.llm.vector_search.BLOCK_QUERIES", 3)
+    got = rankings(search_vectors(table, table.filter("vec_id % 100 = 0"), full=10).collect())
+    assert recall(got, want) >= 0.9
+
+
+def test_repeated_rows_and_few_candidates(spark):
+    rows = [(0, [1.0, 0.0]), (0, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [1.0, 1.0]), (2, [1.0, 1.0])]
+    table = vectors(spark, rows)
+    got = rankings(search_vectors(table, table.filter("vec_id = 0")).collect())
+    assert got == {0: [(1, 2, 1.0), (2, 1, math.sqrt(2))]}
+    alone = vectors(spark, rows[:2])
+    for few, asked in ((alone, alone), (table.limit(0), table), (table, table.limit(0))):
+        found = search_vectors(few, asked)
+        assert found.columns == ["query_id", "rank", "vec_id", "score"] and found.collect() == []
+
+
+@pytest.mark.parametrize("sf_dir", ["/root/testdata/sf0.01", "/root/testdata/sf0.1"])
+def test_recall_on_the_test_table(spark, sf_dir):
+    stored = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    rows = [(r.vec_id, r.embedding) for r in stored.select("vec_id", "embedding").collect()]
+    got = rankings(op12_vector_search(spark, sf_dir).collect())
+    want = nearest_by_hand(rows, lambda i: i % 100 == 0, 10)
+    assert got.keys() == want.keys() and all(len(found) == 10 for found in got.values())
+    assert recall(got, want) >= 0.9
+    # Each distance is that of the original vectors.
+    by_id = {i: np.array(v, float) for i, v in rows}
+    for q, found in got.items():
+        for _, i, d in found:
+            assert d == pytest.approx(math.sqrt(((by_id[q] - by_id[i]) ** 2).sum()), rel=1e-12)
+    assert stored.filter(F.col("vec_id") % 100 == 0).count() == len(got)
