@@ -36,6 +36,16 @@ def without_spaces(text: Column) -> Column:
     return text
 
 
+def by_place(df: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """``df`` with its columns named ``c0, c1, ...``, and these names by the old ones.
+
+    So no column of a user can clash with a helper column, whatever it is called. ``toDF`` with
+    the old names brings them back.
+    """
+    places = [f"c{i}" for i in range(len(df.columns))]
+    return df.toDF(*places), dict(zip(reversed(df.columns), reversed(places), strict=True))
+
+
 class Kept:
     """Tables in the shared folder that belong to one computation.
 

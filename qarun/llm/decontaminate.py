@@ -3,7 +3,7 @@
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from qarun.llm.common import as_text, lent
+from qarun.llm.common import as_text, by_place, lent
 
 # Positions that count in a seed; the others may hold any word. Of any twelve words with at
 # most two substitutions at least one of these seeds stays whole (checked in the tests).
@@ -160,9 +160,14 @@ def contaminated(
 def without_contaminated(
     docs: DataFrame, found: DataFrame, id: str = "doc_id", text: str = "text"
 ) -> DataFrame:
-    """The rows of ``docs`` that are not in ``found``, a result of ``contaminated``."""
-    gone = found.select(F.col("doc_id").alias("_gone_id"), F.col("text_hash").alias("_gone_hash"))
-    same = (docs[id].eqNullSafe(F.col("_gone_id"))) & (
-        F.xxhash64(as_text(docs[text])) == F.col("_gone_hash")
+    """The rows of ``docs`` that are not in ``found``, a result of ``contaminated``.
+
+    Rows keep all their columns as they are, whatever these are called. Null ids and texts are
+    matched as such, and of rows that share an id only those with a text in ``found`` go.
+    """
+    bare, place = by_place(docs)
+    gone = found.select(F.col("doc_id").alias("of_id"), F.col("text_hash").alias("of_hash"))
+    same = (F.col(place[id]).eqNullSafe(F.col("of_id"))) & (
+        F.xxhash64(as_text(place[text])) == F.col("of_hash")
     )
-    return docs.join(lent(gone), same, "left_anti")
+    return bare.join(lent(gone), same, "left_anti").toDF(*docs.columns)

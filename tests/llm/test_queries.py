@@ -1,17 +1,39 @@
 """The registered queries against their SQL, and the pipeline stage by stage."""
 
+import re
+from collections import Counter, defaultdict
+
 import duckdb
+import public_tokenizers
 import pytest
+from tokenizers import Tokenizer
 
 import corpus_pipeline
 from qarun.llm import queries
 from qarun.llm.queries import op10_shards, op3_decontaminate, op9_near_dedup
-from tests.llm.helpers import docs
+from tests.llm.helpers import docs, sha
 from tests.llm.test_dedup import family, lines_by_hand, near_by_hand
 
 SF_DIR = "/root/testdata/sf0.01"
 
 
+def words(text):
+    return re.findall(r"[^\W_]+", (text or "").lower())
+
+
+def lies_in(doc, item):
+    """Ten of twelve words in a row agree somewhere, for items of twelve words at least."""
+    places = defaultdict(list)
+    for at, word in enumerate(doc):
+        places[word].append(at)
+    shifts = Counter(at - i for i, word in enumerate(item) for at in places[word])
+    for shift in (s for s, n in shifts.items() if n >= 10):
+        equal = [0 <= shift + i < len(doc) and doc[shift + i] == w for i, w in enumerate(item)]
+        if any(sum(equal[i : i + 12]) >= 10 for i in range(len(item) - 11)):
+            return True
+    return False
+
+
 @pytest.fixture(scope="module")
 def duck():
     connection = duckdb.connect()
@@ -102,6 +124,70 @@ def test_near_dedup_stage_decides_by_row(spark):
         assert sorted(((r.doc_id, r.text) for r in left.collect()), key=repr) == sorted(want, key=repr)
 
 
+# Names that stages use inside, or that Spark reads in another way.
+CLASHES = (
+    "own_hash", "of_id", "of_hash", "of_number", "_gone_id", "_gone_hash", "a.b", "count", "row",
+    "gone", "doc", "text_hash", "n_lines", "n_dropped", "kept", "component_id", "score", "c0", "c1",
+    "n_chars", "seed", "words", "key", "h1", "of`x",
+)
+
+
+@pytest.mark.parametrize("ids", [range(8), [0, 0, 1, 1, 2, 3, None, None]])
+def test_stages_keep_columns_of_any_name(spark, ids):
+    item = spark.read.parquet(f"{SF_DIR}/benchmark.parquet").first().text
+    same = "the same words in both of these rows again"
+    texts = [same, same, "x y z", None, f"Before. {item} After.", "stupid scum, moron, idiot", "", "q r s t"]
+    own = [c for c in CLASHES if c != "n_chars"]
+    rows = [
+        (i, t, *[f"{n} {c}" for c in own], len(t or ""))
+        for n, (i, t) in enumerate(zip(ids, texts, strict=True))
+    ]
+    fields = ", ".join(f"`{c.replace('`', '``')}` string" for c in own)
+    table = spark.createDataFrame(rows, f"doc_id long, text string, {fields}, n_chars long").repartition(3)
+    want = {row[2]: row for row in rows}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        left = stage(spark, table, SF_DIR)
+        assert left.columns == table.columns, name
+        got = [tuple(row) for row in left.collect()]
+        assert len({row[2] for row in got}) == len(got) >= 4, name
+        for row in got:
+            text = want[row[2]][1]
+            assert row == (*want[row[2]][:1], (text or "") if name == "line dedup" else text, *want[row[2]][2:])
+    encoded = corpus_pipeline.STAGES[-1][1](spark, table, SF_DIR)
+    assert encoded.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
+    assert encoded.count() == 8
+
+
+def test_stages_of_empty_tables(spark):
+    table = docs(spark, [])
+    for name, stage in corpus_pipeline.STAGES:
+        left = stage(spark, table, SF_DIR)
+        assert left.count() == 0 and (name == "BPE" or left.columns == table.columns)
+
+
+def test_whole_pipeline_by_hand(spark):
+    """Every row against plain versions of the stages, each over what the one before left."""
+    sf_dir = "/root/testdata/sf0.001"
+    rows = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect()
+    model = queries.toxicity_model(spark, sf_dir)
+    left = [(r.doc_id, r.text) for r in rows if model.score(r.text) < queries.DECISION]
+    left = [(i, text) for i, _, _, text in lines_by_hand(left)]
+    near = near_by_hand(*zip(*left, strict=True), 5, 80)
+    kept = {i for i, _, _, kept in near if kept}
+    left = [(i, text) for i, text in left if i in kept]
+    items = [words(r.text) for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect()]
+    assert min(map(len, items)) >= 12
+    left = [(i, text) for i, text in left if not any(lies_in(words(text), item) for item in items)]
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    tokenizer.no_truncation()
+    tokenizer.no_padding()
+    want = []
+    for i, text in left:
+        ids = tokenizer.encode(text or "", add_special_tokens=False).ids
+        want.append((i, len(ids), sha(" ".join(map(str, ids))), sha(tokenizer.decode(ids, skip_special_tokens=False))))
+    assert sorted(map(tuple, corpus_pipeline.run(spark, sf_dir).collect())) == sorted(want)
+
+
 def test_whole_pipeline(spark):
     got = corpus_pipeline.run(spark, "/root/testdata/sf0.001").collect()
     ids = {r.doc_id for r in got}
