@@ -1,97 +1,49 @@
-"""From raw documents to token ids: the stages of the corpus pipeline, in order."""
+"""From raw documents to token ids: the stages of the corpus pipeline, in order.
+
+What a stage does with nulls, repeated rows and further columns is said in ``qarun.llm.stages``.
+"""
 
 from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from qarun.llm.bpe import digests, encode, read_vocabulary
-from qarun.llm.common import Kept, as_text, lent, table
-from qarun.llm.decontaminate import contaminated, without_contaminated
-from qarun.llm.line_dedup import dedup_lines
-from qarun.llm.near_dedup import near_duplicates
+from qarun.llm.common import Kept, by_place, table
 from qarun.llm.queries import DECISION, toxicity_model
-from qarun.llm.toxicity import toxicity
+from qarun.llm.stages import below, with_distinct_lines, without_near_copies, without_passages
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
 def non_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents below the decision score stay."""
-    model = toxicity_model(spark, sf_dir)
-    return docs.filter(toxicity(model) < DECISION)
+    return below(docs, toxicity_model(spark, sf_dir), DECISION)
 
 
 def distinct_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Common lines stay in one document; ``n_chars`` follows the text, no document goes."""
-    return (
-        dedup_lines(docs)
-        .withColumn("n_chars", F.char_length("text").cast("bigint"))
-        .select(*docs.columns)
-    )
+    return with_distinct_lines(docs)
 
 
 def distinct_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each group of near copies stays: the one with the smallest id, null ids last.
-
-    Rows that share an id but not a text are told apart, and of rows that repeat both, one stays.
-    Empty and blank texts are no copies of anything.
-    """
-    odd = docs.groupBy("doc_id").count().filter("count > 1 OR doc_id IS NULL")
-    if odd.isEmpty():
-        copies = near_duplicates(docs).filter(~F.col("kept")).select("doc_id")
-        return docs.join(lent(copies), "doc_id", "left_anti").select(*docs.columns)
-    # An id does not tell a row, so id and text together get a number, in the order of ids.
-    kept = Kept(spark)
-    key = [F.col("doc_id").alias("of_id"), F.sha2(as_text("text"), 256).alias("of_hash")]
-    numbers = kept.keep(
-        docs.select(*key)
-        .distinct()
-        .orderBy(F.col("of_id").asc_nulls_last(), "of_hash")
-        .withColumn("of_number", F.monotonically_increasing_id()),
-        "numbers",
-    )
-    hashed = docs.withColumn("own_hash", F.sha2(as_text("text"), 256))
-    same = F.col("doc_id").eqNullSafe(F.col("of_id")) & (F.col("own_hash") == F.col("of_hash"))
-    numbered = kept.keep(
-        hashed.join(numbers, same).select(*docs.columns, "of_number"), "numbered"
-    )
-    judged = kept.keep(
-        near_duplicates(numbered, id="of_number")
-        .groupBy("doc_id")
-        .agg(
-            F.bool_and("kept").alias("kept"),
-            (F.max("n_shingles") > 0).alias("linkable"),
-            F.count(F.lit(1)).alias("n"),
-        )
-        .withColumnRenamed("doc_id", "of_number"),
-        "judged",
-    )
-    copies = judged.filter(~F.col("kept")).select("of_number")
-    left = numbered.join(lent(copies), "of_number", "left_anti")
-    repeated = lent(judged.filter("kept AND linkable AND n > 1").select("of_number"))
-    once = left.join(repeated, "of_number", "left_anti")
-    # One task sends one row of each at most, so no repeat is too large.
-    row = F.struct(*docs.columns).alias("row")
-    folded = (
-        left.join(repeated, "of_number", "left_semi")
-        .groupBy("of_number")
-        .agg(F.first(row).alias("row"))
-        .select("row.*")
-    )
-    return once.select(*docs.columns).unionByName(folded.select(*docs.columns))
+    """One row of each group of near copies stays."""
+    return without_near_copies(docs)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark passage stay."""
-    return without_contaminated(docs, contaminated(docs, table(spark, sf_dir, "benchmark")))
+    return without_passages(docs, table(spark, sf_dir, "benchmark"))
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document that is left as token ids, with digests of ids and decoded text."""
+    """Every document that is left as token ids, with digests of ids and decoded text.
+
+    The last stage gives ``doc_id, n_tokens, ids_sha256, decoded_sha256`` and no other column.
+    """
     content = read_vocabulary(public_tokenizers.path("word_bpe_49k.json"))
-    return digests(encode(docs, content))
+    bare, place = by_place(docs)
+    return digests(encode(bare, content, id=place["doc_id"], text=place["text"]))
 
 
 STAGES: list[tuple[str, Stage]] = [
