@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from qarun.schema import NO_QUESTION_COLUMN, QUESTION_COLUMNS
+from qarun.sources.quoted import pinned, quoted_rows, read_quoted, rehomed, well_formed
 
 
 class QuestionColumnError(ValueError):
@@ -22,10 +23,12 @@ WHOLE_ROW = rf"^{_FIELD}(?:,{_FIELD})*+\z"
 
 
 # How a kind of file is read.
+QUOTING = {"quote": '"', "escape": '"'}
 PLAIN = {"multiLine": False}
 SPLIT_AT_CRLF = {"multiLine": False, "lineSep": "\r\n"}
 WHOLE_CRLF = {"multiLine": True, "lineSep": "\r\n"}
 WHOLE = {"multiLine": True}
+BY_QUOTES = {"byQuotes": True}
 
 
 def _pattern(file: str) -> str:
@@ -55,22 +58,35 @@ def _by_file(
 def line_options(spark: SparkSession, paths: Sequence[str]) -> list[tuple[dict, list[str]]]:
     """Kinds of files, each with the options by which they are read right, in splits if possible.
 
-    A file whose lines are all whole rows is split at line ends. One with rows that end in CR LF,
+    A file whose lines are all whole rows is split at line ends. One with line ends in its
+    values that has more than one split is put together to rows by the quotes before each line,
+    see ``quoted``, if every row is well-formed then. A smaller one with rows that end in CR LF,
     as spreadsheets save them, is split there if values hold only other line ends. Others are
     read whole, each in one task. What one file holds does not change how another is read.
 
-    A file whose rows end in CR LF and whose values hold both CR LF and single LF cannot be read
-    without changing a value, so it is refused by name. The check is one scan of the plain
-    lines, and two more of the files it finds unfit.
+    Rows that end in CR LF with values that hold both CR LF and single LF only come back
+    unchanged by their quotes; if such a file is not well-formed it is refused by name. The
+    check is one scan of the plain lines, and up to three more of the files it finds unfit.
     """
+    return _kinds(spark, paths)[0]
+
+
+def _kinds(
+    spark: SparkSession, paths: Sequence[str]
+) -> tuple[list[tuple[dict, list[str]]], DataFrame | None]:
+    """What ``line_options`` gives, and the rows of the files that are read by quotes."""
     value = F.col("value")
     # Spark skips lines of white space alone when it splits a file. They are rows.
     unfit = F.bool_or(~value.rlike(WHOLE_ROW) | value.rlike(r"^[\x00-\x20]+\z"))
-    first = _by_file(spark, paths, {"unfit": unfit})
+    first = _by_file(spark, paths, {"unfit": unfit, "split": F.bool_or(F.col("at").isNull())})
     plain, split, whole_crlf, whole = [], [], [], []
-    kinds = [(PLAIN, plain), (SPLIT_AT_CRLF, split), (WHOLE_CRLF, whole_crlf), (WHOLE, whole)]
     plain += [file for file, row in first.items() if not row.unfit]
     rest = [file for file, row in first.items() if row.unfit]
+    large = [file for file in rest if first[file].split]
+    rows = quoted_rows(spark, list(map(_pattern, large))) if large else None
+    quoted = well_formed(rows, WHOLE_ROW) if large else []
+    rest = sorted(set(rest) - set(quoted))
+    refused = []
     if rest:
         ends = F.endswith(value, F.lit("\r"))
         by_lf = _by_file(
@@ -92,11 +108,21 @@ def line_options(spark: SparkSession, paths: Sequence[str]) -> list[tuple[dict,
             elif not by_lf[file].header_cr:
                 whole.append(file)
             else:
-                raise ValueError(
-                    f"rows of {file} end in CR LF, and values hold both CR LF and LF: "
-                    "save it with rows that end in LF"
-                )
-    return [(options, sorted(map(_pattern, files))) for options, files in kinds if files]
+                refused.append(file)
+    if refused:
+        more = well_formed(quoted_rows(spark, list(map(_pattern, refused))), WHOLE_ROW)
+        for file in set(refused) - set(more):
+            raise ValueError(
+                f"rows of {file} end in CR LF, values hold both CR LF and LF, and not all rows "
+                "are well-formed: save it with rows that end in LF"
+            )
+        quoted += more
+    if refused or len(quoted) < len(large):
+        rows = quoted_rows(spark, list(map(_pattern, quoted))) if quoted else None
+    kinds = [(PLAIN, plain), (BY_QUOTES, quoted), (SPLIT_AT_CRLF, split)]
+    kinds += [(WHOLE_CRLF, whole_crlf), (WHOLE, whole)]
+    found = [(options, sorted(map(_pattern, files))) for options, files in kinds if files]
+    return found, rows
 
 
 def read_questions(
@@ -108,26 +134,35 @@ def read_questions(
     reads each file whole, in one task; False splits files at every line end, which
     is wrong if a value holds one. All files must have the same header.
 
-    Files of several kinds are read apart and put together; the frame then carries
-    ``_metadata`` as a column, which ``with_row_index`` takes and removes.
+    Files of several kinds are read apart and put together, and large files with line ends in
+    their values are read by quotes; the frame then carries ``_metadata`` as a column, which
+    ``with_row_index`` takes and removes.
     """
     paths = [path] if isinstance(path, str) else list(path)
     if any(p.lower().endswith(".xlsx") for p in paths):
         raise ValueError("spreadsheets cannot be read; save the sheet as CSV")
 
-    def read(files: Sequence[str], lines: dict) -> DataFrame:
-        options = {"header": True, "quote": '"', "escape": '"', "enforceSchema": False, **lines}
-        return spark.read.options(**options).csv(list(files))
+    def read(session: SparkSession, files: Sequence[str], lines: dict) -> DataFrame:
+        options = {"header": True, "enforceSchema": False, **QUOTING, **lines}
+        return session.read.options(**options).csv(list(files))
 
     if multi_line is not None:
-        return read(paths, {"multiLine": multi_line})
-    kinds = line_options(spark, paths)
-    if len(kinds) <= 1:
-        return read(paths, kinds[0][0] if kinds else PLAIN)
-    frames = [read(files, lines) for lines, files in kinds]
+        return read(spark, paths, {"multiLine": multi_line})
+    kinds, rows = _kinds(spark, paths)
+    if len(kinds) <= 1 and rows is None:
+        return read(spark, paths, kinds[0][0] if kinds else PLAIN)
+    frames = []
+    held = pinned(spark)
+    for lines, files in kinds:
+        if lines is BY_QUOTES:
+            frames.append(read_quoted(spark, rows, QUOTING))
+        else:
+            place = F.struct("_metadata.file_path", "_metadata.file_block_start")
+            scan = read(held, files, lines)
+            frames.append(rehomed(spark, scan.select("*", place.alias("_metadata"))))
     if len({tuple(frame.columns) for frame in frames}) > 1:
         raise ValueError(f"files have different headers: {[frame.columns for frame in frames]}")
-    return reduce(DataFrame.unionByName, [frame.select("*", "_metadata") for frame in frames])
+    return reduce(DataFrame.union, frames)
 
 
 def resolve_question(
