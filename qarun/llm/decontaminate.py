@@ -1,9 +1,11 @@
 """Benchmark decontamination by spaced seeds, with a look at the words around each hit."""
 
+from itertools import combinations
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from qarun.llm.common import as_text, by_place, lent
+from qarun.llm.common import Kept, as_text, by_place, lent
 
 # Positions that count in a seed; the others may hold any word. Of any twelve words with at
 # most two substitutions at least one of these seeds stays whole (checked in the tests).
@@ -12,9 +14,8 @@ WINDOW = 12
 SUBSTITUTED = 2
 # Shorter items say too little to be looked for.
 MIN_WORDS = 5
-# Seeds of the benchmark that one block holds: a table of some 50 MB in each executor, as a
-# seed has only the number of its item and its place there.
-BLOCK_SEEDS = 500_000
+# Seeds of the benchmark that one block holds: a table of some 50 MB in each executor.
+BLOCK_SEEDS = 2_000_000
 
 
 # Fixed value: scripts written without spaces between words, such as Thai, Lao, Burmese, Khmer,
@@ -51,6 +52,146 @@ def _seeds(words: Column, at: Column, masks: list[tuple[int, ...]]) -> Column:
     )
 
 
+def _items(benchmark: DataFrame, item_id: str, item_text: str) -> DataFrame:
+    """Distinct items of at least ``MIN_WORDS`` words."""
+    words = words_of(as_text(item_text)).alias("item")
+    items = benchmark.select(F.col(item_id).alias("item_id"), words)
+    return items.filter(F.size("item") >= MIN_WORDS).distinct()
+
+
+def _item_windows(items: DataFrame) -> DataFrame:
+    """``item_id, window``: all windows of an item, or a short one as a whole."""
+    last = F.greatest(F.size("item") - WINDOW, F.lit(0))
+    windows = F.transform(
+        F.sequence(F.lit(0), last), lambda at: F.slice("item", at + 1, F.lit(WINDOW))
+    )
+    return items.select("item_id", F.explode(F.array_distinct(windows)).alias("window"))
+
+
+def _keys(window: Column) -> Column:
+    """Keys of a window: two windows share one if all words but ``SUBSTITUTED`` agree.
+
+    Each way to leave out that many of ``WINDOW`` words gives a key, null where it would have to
+    hold a word that is missing. A shorter window has its words as its only key.
+    """
+    left_out = [*combinations(range(WINDOW), SUBSTITUTED)]
+    ways = F.lit([list(way) for way in left_out])
+
+    def key(way: Column) -> Column:
+        held = F.transform(window, lambda w, at: F.when(F.array_contains(way, at), "").otherwise(w))
+        two = F.struct(F.xxhash64(way, held).alias("h1"), F.xxhash64(held, way).alias("h2"))
+        return F.when(~F.exists(held, lambda w: w.isNull()), two)
+
+    whole = F.struct(
+        F.xxhash64(F.size(window), window).alias("h1"), F.xxhash64(window, F.size(window)).alias("h2")
+    )
+    many = F.array_compact(F.transform(ways, key))
+    return F.when(F.size(window) == WINDOW, many).otherwise(F.array(whole))
+
+
+class Contamination:
+    """What of ``benchmark`` is in ``docs``, without a row per pair.
+
+    ``windows`` has ``doc_id, text_hash, window``: the windows of documents around seed hits.
+    ``matched`` has ``window`` for those that agree with a window of an item. ``links`` has
+    ``window, item_id`` for them, as many rows as there are items to a distinct window.
+    """
+
+    def __init__(self, docs, benchmark, id, text, item_id, item_text, block_seeds):
+        kept = Kept(docs.sparkSession)
+        items = kept.keep(_items(benchmark, item_id, item_text), "items")
+        item_windows = kept.keep(_item_windows(items), "item-windows")
+        distinct = kept.keep(item_windows.select("window").distinct(), "distinct-item-windows")
+        short = distinct.select(F.size("window").alias("n")).distinct().filter(F.col("n") < WINDOW)
+        whole = [tuple(range(row.n)) for row in short.collect()]  # lengths below WINDOW
+        masks = [*MASKS, *sorted(whole)]
+        lengths = F.lit([WINDOW] * len(MASKS) + [len(mask) for mask in masks[len(MASKS) :]])
+        spans = F.lit([mask[-1] + 1 for mask in masks])
+
+        # The seeds alone: where they come from is found out for distinct windows only.
+        at = F.explode(F.sequence(F.lit(0), F.size("window") - 1)).alias("at")
+        seeds = kept.keep(
+            distinct.select("window", at)
+            .select("window", "at", F.posexplode(_seeds(F.col("window"), F.col("at"), masks)))
+            .toDF("window", "at", "mask", "seed")
+            .filter(F.col("seed").isNotNull() & (F.get(lengths, "mask") == F.size("window")))
+            .select("seed")
+            .distinct(),
+            "seeds",
+        )
+        blocks = max(1, -(-seeds.count() // block_seeds))
+
+        places = F.when(F.size("words") >= MIN_WORDS, F.sequence(F.lit(0), F.size("words") - 1))
+        probes = (
+            docs.select(
+                F.col(id).alias("doc_id"),
+                F.xxhash64(as_text(text)).alias("text_hash"),
+                words_of(as_text(text)).alias("words"),
+            )
+            .select("doc_id", "text_hash", "words", F.explode(places).alias("at"))
+            .select(
+                "doc_id",
+                "text_hash",
+                "words",
+                "at",
+                F.posexplode(_seeds(F.col("words"), F.col("at"), masks)).alias("mask", "seed"),
+            )
+            .filter(F.col("seed").isNotNull())
+        )
+        found = None
+        for block in range(blocks):
+            part = seeds.filter(F.pmod(F.xxhash64("seed", F.lit("block")), F.lit(blocks)) == block)
+            hits = probes.join(F.broadcast(part), "seed", "left_semi")
+            found = hits if found is None else found.unionByName(hits)
+
+        # The windows that a seed can lie in; words beyond the ends of a text are null.
+        size = F.get(lengths, "mask")
+        start = F.explode(F.sequence(F.col("at") - (size - F.get(spans, "mask")), F.col("at")))
+        reach = F.sequence(F.col("start"), F.col("start") + F.col("size") - 1)
+        inside = F.transform(reach, lambda i: F.when(i >= 0, F.get("words", i)))
+        missing = F.size(F.filter("window", lambda w: w.isNull()))
+        self.windows = kept.keep(
+            found.select("doc_id", "text_hash", "words", size.alias("size"), start.alias("start"))
+            .select("doc_id", "text_hash", inside.alias("window"))
+            .filter(missing <= SUBSTITUTED)
+            .distinct(),
+            "hit-windows",
+        )
+        keys = F.explode(_keys(F.col("window"))).alias("key")
+        own = self.windows.select("window").distinct().select("window", keys)
+        self._own = kept.keep(own, "window-keys")
+        # Few distinct windows of items share a key, however many items have the window.
+        self._of_items = item_windows.join(
+            distinct.select(F.col("window"), keys), "window"
+        ).select("key", "item_id")
+        known = distinct.select(keys).distinct()
+        self.matched = kept.keep(
+            self._own.join(known, "key", "left_semi").select("window").distinct(), "matched-windows"
+        )
+
+    @property
+    def links(self) -> DataFrame:
+        return self._own.join(self._of_items.distinct(), "key").select("window", "item_id").distinct()
+
+
+def holding(
+    docs: DataFrame,
+    benchmark: DataFrame,
+    id: str = "doc_id",
+    text: str = "text",
+    item_id: str = "item_id",
+    item_text: str = "text",
+    block_seeds: int = BLOCK_SEEDS,
+) -> DataFrame:
+    """One row per document that holds a benchmark passage: ``doc_id, text_hash``.
+
+    As ``contaminated``, but which items they are is not looked up, so the work grows with the
+    documents and items, also where all of them share a passage.
+    """
+    found = Contamination(docs, benchmark, id, text, item_id, item_text, block_seeds)
+    return found.windows.join(found.matched, "window").select("doc_id", "text_hash").distinct()
+
+
 def contaminated(
     docs: DataFrame,
     benchmark: DataFrame,
@@ -72,86 +213,17 @@ def contaminated(
     empty texts hold nothing, null or repeated items are no special case, and empty tables
     give no rows. Other columns are not read. Long texts are read whole.
 
-    The seeds of the benchmark are counted and cut into blocks of about ``block_seeds``. A
-    block is broadcast and meets the seeds of all documents in the scan, so their
-    texts are never shuffled; a benchmark of any size takes more scans, not more memory.
+    The distinct seeds of the benchmark, eight bytes each, are cut into blocks of about
+    ``block_seeds``. A block is broadcast and meets the seeds of all documents in the scan, so
+    their texts are never shuffled; a benchmark of any size takes more scans, not more memory.
+    The windows around hits are then verified, each distinct one once, by keys that leave
+    ``SUBSTITUTED`` words out: a common seed leads to as many keys as there are windows, never to
+    pairs of windows. Items are looked up last, for distinct windows; a document is given all of
+    its items, so the rows written grow with the true links (see ``holding`` for none of them).
     """
-    items = (
-        benchmark.select(
-            F.col(item_id).alias("item_id"), words_of(as_text(item_text)).alias("item")
-        )
-        .filter(F.size("item") >= MIN_WORDS)
-        .distinct()
-        # Ids may repeat or be null; id and words together tell items apart.
-        .withColumn("item_key", F.xxhash64("item_id", "item"))
-    )
-    short = items.filter(F.size("item") < WINDOW).select(F.size("item").alias("n")).distinct()
-    whole = [tuple(range(row.n)) for row in short.collect()]  # lengths below WINDOW
-    masks = [*MASKS, *sorted(whole)]
-
-    at = F.explode(F.sequence(F.lit(0), F.size("item") - 1)).alias("place")
-    place = F.struct("item_key", "place", F.size("item").alias("size"))
-    seeds = (
-        items.select("item_key", "item", at)
-        .select("*", F.posexplode(_seeds(F.col("item"), F.col("place"), masks)))
-        .toDF("item_key", "item", "place", "mask", "seed")
-        .filter(F.col("seed").isNotNull())
-        # Long items have the masks of windows, short ones the mask of their length.
-        .filter(
-            F.when(F.size("item") >= WINDOW, F.col("mask") < len(MASKS)).otherwise(
-                F.get(F.lit([len(mask) for mask in masks]), "mask") == F.size("item")
-            )
-        )
-        .groupBy("seed")
-        .agg(F.collect_set(place).alias("places"))
-    )
-    blocks = max(1, -(-seeds.count() // block_seeds))
-
-    places = F.when(F.size("words") >= MIN_WORDS, F.sequence(F.lit(0), F.size("words") - 1))
-    probes = (
-        docs.select(
-            F.col(id).alias("doc_id"),
-            F.xxhash64(as_text(text)).alias("text_hash"),
-            words_of(as_text(text)).alias("words"),
-        )
-        .select("doc_id", "text_hash", "words", F.explode(places).alias("place"))
-        .select(
-            "doc_id",
-            "text_hash",
-            "words",
-            F.col("place").alias("at"),
-            F.explode(_seeds(F.col("words"), F.col("place"), masks)).alias("seed"),
-        )
-        .filter(F.col("seed").isNotNull())
-    )
-    found = None
-    for block in range(blocks):
-        part = seeds.filter(F.pmod(F.xxhash64("seed", F.lit("block")), F.lit(blocks)) == block)
-        hits = probes.join(F.broadcast(part), "seed").select(
-            "doc_id", "text_hash", "words", "at", F.explode("places").alias("hit")
-        )
-        found = hits if found is None else found.unionByName(hits)
-
-    # The words of the document where the item would lie, null beyond its ends.
-    start = F.col("at") - F.col("hit.place")
-    reach = F.sequence(F.lit(0), F.col("hit.size") - 1)
-    here = F.transform(reach, lambda i: F.get("words", start + i)).alias("here")
-    equal = F.zip_with("here", "item", lambda a, b: (a == b).cast("int"))
-    window = F.least(F.lit(WINDOW), F.size("equal"))
-    needed = F.when(F.size("equal") < WINDOW, F.size("equal")).otherwise(WINDOW - SUBSTITUTED)
-
-    def agreeing(first: Column) -> Column:
-        part = F.slice("equal", first, window)
-        return F.aggregate(part, F.lit(0), lambda n, one: n + F.coalesce(one, F.lit(0)))
-
-    starts = F.sequence(F.lit(1), F.size("equal") - window + 1)
-    item_key = F.col("hit.item_key").alias("item_key")
+    found = Contamination(docs, benchmark, id, text, item_id, item_text, block_seeds)
     return (
-        found.select("doc_id", "text_hash", item_key, here)
-        .distinct()
-        .join(items, "item_key")
-        .select("doc_id", "text_hash", "item_id", equal.alias("equal"))
-        .filter(F.exists(starts, lambda first: agreeing(first) >= needed))
+        found.windows.join(found.links, "window")
         .groupBy("doc_id", "text_hash")
         .agg(F.sort_array(F.collect_set("item_id")).alias("item_ids"))
     )
@@ -160,7 +232,7 @@ def contaminated(
 def without_contaminated(
     docs: DataFrame, found: DataFrame, id: str = "doc_id", text: str = "text"
 ) -> DataFrame:
-    """The rows of ``docs`` that are not in ``found``, a result of ``contaminated``.
+    """The rows of ``docs`` that are not in ``found``, a result of ``contaminated`` or ``holding``.
 
     Rows keep all their columns as they are, whatever these are called. Null ids and texts are
     matched as such, and of rows that share an id only those with a text in ``found`` go.

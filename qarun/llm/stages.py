@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from qarun.llm.common import Kept, as_text, by_place, lent
-from qarun.llm.decontaminate import contaminated, without_contaminated
+from qarun.llm.decontaminate import holding, without_contaminated
 from qarun.llm.line_dedup import dedup_lines
 from qarun.llm.near_dedup import near_duplicates
 from qarun.llm.toxicity import Model, toxicity
@@ -92,5 +92,5 @@ def without_near_copies(docs: DataFrame) -> DataFrame:
 def without_passages(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents that hold no passage of ``benchmark``; no column changes."""
     bare, place = by_place(docs)
-    found = contaminated(bare, benchmark, id=place["doc_id"], text=place["text"])
+    found = holding(bare, benchmark, id=place["doc_id"], text=place["text"])
     return without_contaminated(docs, found)

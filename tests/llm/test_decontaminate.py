@@ -9,7 +9,9 @@ from qarun.llm.decontaminate import (
     MASKS,
     SUBSTITUTED,
     WINDOW,
+    Contamination,
     contaminated,
+    holding,
     without_contaminated,
     words_of,
 )
@@ -67,6 +69,30 @@ def test_against_brute_force(spark):
     assert {r.doc_id for r in left.collect()} == set(range(len(texts))) - set(want)
 
 
+def test_a_passage_that_all_share_makes_no_pairs(spark):
+    """Items and documents with the same 13 words: work grows with the rows, not with pairs."""
+    shared = " ".join(f"p{i}" for i in range(13))
+    n = 500
+    own = [f"{shared} " + " ".join(f"{{}}{i}x{k}" for k in range(20)) for i in range(n)]
+    bench = spark.createDataFrame([(i, t.replace("{}", "b")) for i, t in enumerate(own)], "item_id long, text string")
+    table = docs(spark, [t.replace("{}", "d") for t in own] + ["none of it"])
+    found = Contamination(table, bench, "doc_id", "text", "item_id", "text", 500_000)
+    assert found._own.count() < 66 * 10 * (n + 100)
+    assert found.matched.count() < 12 * n
+    held = holding(table, bench)
+    assert {r.doc_id for r in held.collect()} == set(range(n))
+
+
+def test_holding_is_the_same_without_items(spark):
+    rng = random.Random(12)
+    items = [words(rng, n, 40) for n in (30, 12, 11, 6)]
+    texts = [words(rng, 60, 40) for _ in range(10)] + [items[0][5:], items[1], f"x {items[2]} y", items[3], None]
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    table = docs(spark, texts)
+    want = sorted((r.doc_id, r.text_hash) for r in contaminated(table, bench).collect())
+    assert sorted(map(tuple, holding(table, bench, block_seeds=9).collect())) == want and len(want) >= 4
+
+
 def test_null_ids_and_empty_tables(spark):
     item = "one two three four five six seven eight nine ten eleven twelve thirteen"
     bench = spark.createDataFrame([(1, item)], "item_id long, text string")
