@@ -158,20 +158,24 @@ class Contamination:
             "hit-windows",
         )
         keys = F.explode(_keys(F.col("window"))).alias("key")
-        own = self.windows.select("window").distinct().select("window", keys)
-        self._own = kept.keep(own, "window-keys")
         # Few distinct windows of items share a key, however many items have the window.
-        self._of_items = item_windows.join(
-            distinct.select(F.col("window"), keys), "window"
-        ).select("key", "item_id")
-        known = distinct.select(keys).distinct()
-        self.matched = kept.keep(
-            self._own.join(known, "key", "left_semi").select("window").distinct(), "matched-windows"
+        of_windows = kept.keep(distinct.select("window", keys), "item-keys")
+        known = lent(of_windows.select("key").distinct())
+        # Most windows around hits agree with none; their keys go no further than the scan.
+        self._hit_keys = kept.keep(
+            self.windows.select("window")
+            .distinct()
+            .select("window", keys)
+            .join(known, "key", "left_semi"),
+            "hit-keys",
         )
+        self._of_items = item_windows.join(of_windows, "window").select("key", "item_id")
+        self.matched = self._hit_keys.select("window").distinct()
 
     @property
     def links(self) -> DataFrame:
-        return self._own.join(self._of_items.distinct(), "key").select("window", "item_id").distinct()
+        of_items = self._of_items.distinct()
+        return self._hit_keys.join(of_items, "key").select("window", "item_id").distinct()
 
 
 def holding(

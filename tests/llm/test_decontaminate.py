@@ -77,7 +77,7 @@ def test_a_passage_that_all_share_makes_no_pairs(spark):
     bench = spark.createDataFrame([(i, t.replace("{}", "b")) for i, t in enumerate(own)], "item_id long, text string")
     table = docs(spark, [t.replace("{}", "d") for t in own] + ["none of it"])
     found = Contamination(table, bench, "doc_id", "text", "item_id", "text", 500_000)
-    assert found._own.count() < 66 * 10 * (n + 100)
+    assert found._hit_keys.count() < 66 * 10 * (n + 100)
     assert found.matched.count() < 12 * n
     held = holding(table, bench)
     assert {r.doc_id for r in held.collect()} == set(range(n))
