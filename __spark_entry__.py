@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import warnings
 from collections.abc import Callable
 from datetime import timedelta
 from functools import reduce
@@ -38,14 +39,19 @@ from qarun.sources import (
 from qarun.streaming import progress as log_progress_stream
 from qarun.streaming import progress_counts
 
-try:  # a package of its own, which may be left out
-    from corpus_pipeline import ORACLE_SQL as PIPELINE_SQL
-    from corpus_pipeline import run as pipeline
+# A package of its own, which may be left out, and what it needs may be missing. Then its
+# entries go, and no others.
+try:
     from qarun.llm import queries as llm
-except ModuleNotFoundError as missing:
-    if missing.name not in ("corpus_pipeline", "qarun.llm"):
-        raise
+except ImportError as missing:
+    warnings.warn(f"queries of the language-model package are left out: {missing}", stacklevel=2)
     llm = None
+try:
+    from corpus_pipeline import ORACLE_SQL as PIPELINE_SQL
+    from corpus_pipeline import run as pipeline
+except ImportError as missing:
+    warnings.warn(f"the pipeline is left out: {missing}", stacklevel=2)
+    pipeline = PIPELINE_SQL = None
 
 SMOKE_DIR = "/root/testdata/sf0.001"
 
@@ -173,6 +179,24 @@ def csv_mixed_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return with_row_index(resolve_question(files)).select("id", "question")
 
 
+def csv_split_quoted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A file with both kinds of line end in its values and CR LF behind its rows."""
+    path = new_path(spark, "question-files")
+    number = F.col("conv_id") * 10_000 + F.col("turn")
+    value = F.concat(F.replace("text", F.lit('"'), F.lit('""')), F.lit("\n\r\nend"))
+    row = F.format_string('%d,"%s"\r', number, value)
+    header = spark.range(1).select(F.lit(-1).alias("at"), F.lit("id,question\r").alias("row"))
+    turns = _user_turns(spark, sf_dir).select(number.alias("at"), row.alias("row"))
+    # One file, so that its splits cut it; rows are put in order by `at`.
+    header.union(turns).coalesce(1).sortWithinPartitions("at").select("row").write.text(path)
+    return with_row_index(resolve_question(read_questions(spark, path)))
+
+
+def indexed_by_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    asked = _user_turns(spark, sf_dir).select("text", "conv_id", "turn")
+    return with_row_index(asked, ["text", "conv_id", "turn"])
+
+
 def session_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     asked = _user_turns(spark, sf_dir).select("conv_id", "turn")
     return with_session(with_row_index(asked, ["conv_id", "turn"]), RUN_ID)
@@ -328,7 +352,9 @@ def entry(spark: SparkSession) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    more = {} if llm is None else {**llm.queries(), "pipeline": pipeline}
+    more = {} if llm is None else llm.queries()
+    if pipeline is not None:
+        more = {**more, "pipeline": pipeline}
     return {
         **more,
         "recorded_results": recorded_results,
@@ -342,6 +368,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "csv_questions": csv_questions,
         "csv_user_turns": csv_user_turns,
         "csv_mixed_files": csv_mixed_files,
+        "csv_split_quoted": csv_split_quoted,
+        "indexed_by_text": indexed_by_text,
         "session_keys": session_keys,
         "log_round_trip": log_round_trip,
         "log_progress": log_progress,
@@ -384,7 +412,7 @@ BLANKS_SQL = "'', ' ' || chr(9), chr(10), chr(11) || chr(12), chr(133), chr(8232
 def oracle_sql() -> dict[str, str]:
     counts = f"SELECT status, phase, count(*) AS n FROM ({RECORDED_SQL}) GROUP BY status, phase"
     more = {} if llm is None else llm.oracle_sql()
-    if llm is not None and PIPELINE_SQL is not None:
+    if PIPELINE_SQL is not None:
         more["pipeline"] = PIPELINE_SQL
     return {
         **more,
@@ -428,6 +456,15 @@ def oracle_sql() -> dict[str, str]:
             SELECT CAST(conv_id * 10000 + turn AS VARCHAR),
                    text || chr(10) || chr(13) || chr(10) || 'end'
             FROM conversations WHERE role = 'user'""",
+        "csv_split_quoted": """
+            SELECT row_number() OVER (ORDER BY conv_id * 10000 + turn) - 1 AS row_index,
+                   CAST(conv_id * 10000 + turn AS VARCHAR) AS id,
+                   text || chr(10) || chr(13) || chr(10) || 'end' AS question
+            FROM conversations WHERE role = 'user'""",
+        "indexed_by_text": """
+            SELECT text, conv_id, turn,
+                   row_number() OVER (ORDER BY encode(text) NULLS FIRST, conv_id, turn) - 1 AS row_index
+            FROM conversations WHERE role = 'user'""",
         "session_keys": f"""
             SELECT conv_id, turn, row_index, '{RUN_ID}-' || row_index AS session_id FROM (
                 SELECT conv_id, turn,
