@@ -18,6 +18,7 @@ from qarun.operators import (
     gaps,
     pair_turns,
     shared_sessions,
+    stalled,
     summary,
     to_record,
     unanswered,
@@ -346,6 +347,41 @@ def progress(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def open_stalls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs that had no record for a day when the last record of all came in."""
+    events = _table(spark, sf_dir, "events")
+    now = events.agg(F.max("ts")).first()[0]
+    return stalled(events, "user_id", timedelta(days=1), now, order="event_id")
+
+
+def closed_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Days that no record can join any longer, from a stream that is started for each delivery.
+
+    The last delivery has records of the first day, which come too late.
+    """
+    events = _table(spark, sf_dir, "events")
+    first = F.lit(events.agg(F.date_trunc("day", F.min("ts"))).first()[0])
+    late = (F.col("event_id") % 50 == 0) & (F.col("ts") < first + F.expr("INTERVAL 1 DAY"))
+    early = F.col("ts") < first + F.expr("INTERVAL 10 DAYS")
+    log, found = new_path(spark, "events"), new_path(spark, "closed")
+    checkpoint = new_path(spark, "progress")
+    stream = spark.readStream.schema(events.schema).parquet(f"{log}/*")
+    counts = progress_counts(stream, window="1 day", watermark="1 hour", by=["event_type"])
+
+    def keep(batch: DataFrame, number: int) -> None:  # the same table if a batch runs again
+        batch.write.mode("overwrite").parquet(f"{found}/batch={number}")
+
+    for number, part in enumerate((early & ~late, ~early, late)):
+        events.filter(part).write.parquet(f"{log}/{number}")
+        run_once = counts.writeStream.outputMode("append").foreachBatch(keep)
+        run_once = run_once.option("checkpointLocation", checkpoint).trigger(availableNow=True)
+        run_once.start().awaitTermination()
+    closed = spark.read.schema(counts.schema).parquet(f"{found}/batch=*")
+    return closed.select(
+        F.col("window.start").cast("timestamp_ntz").alias("day"), "event_type", "n"
+    )
+
+
 def entry(spark: SparkSession) -> DataFrame:
     """Every recorded question with its answer, from the smallest tables."""
     return recorded_results(spark, SMOKE_DIR)
@@ -382,6 +418,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "log_gaps": log_gaps,
         "record_gaps": record_gaps,
         "progress": progress,
+        "open_stalls": open_stalls,
+        "closed_windows": closed_windows,
     }
 
 
@@ -517,6 +555,21 @@ def oracle_sql() -> dict[str, str]:
                       PARTITION BY user_id ORDER BY ts, event_id) AS prev_ts
                   FROM events WHERE ts IS NOT NULL)
             WHERE date_diff('microsecond', prev_ts, ts) > 86400000000""",
+        "open_stalls": """
+            SELECT user_id, event_id, ts, date_diff('microsecond', ts, last) AS gap_micros
+            FROM (SELECT user_id, event_id, ts, max(ts) OVER () AS last, row_number() OVER (
+                      PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS place
+                  FROM events WHERE ts IS NOT NULL)
+            WHERE place = 1 AND date_diff('microsecond', ts, last) > 86400000000""",
+        "closed_windows": """
+            SELECT day, event_type, count(*) AS n
+            FROM (SELECT CAST(date_trunc('day', ts) AS TIMESTAMP) AS day, event_type,
+                         max(ts) OVER () AS last,
+                         event_id % 50 = 0 AND date_trunc('day', ts)
+                             = date_trunc('day', min(ts) OVER ()) AS late
+                  FROM events WHERE ts IS NOT NULL)
+            WHERE NOT late AND day + INTERVAL 1 DAY <= last - INTERVAL 1 HOUR
+            GROUP BY day, event_type""",
         "progress": """
             SELECT date_trunc('day', ts) AS day, event_type, count(*) AS n
             FROM events GROUP BY ALL""",

@@ -1,5 +1,5 @@
 from qarun.operators.asking import ask, with_session
-from qarun.operators.timing import gaps
+from qarun.operators.timing import gaps, stalled
 from qarun.operators.index import with_row_index
 from qarun.operators.pairs import pair_turns
 from qarun.operators.records import to_record
@@ -19,6 +19,7 @@ __all__ = [
     "gaps",
     "pair_turns",
     "shared_sessions",
+    "stalled",
     "summary",
     "to_record",
     "unanswered",

@@ -1,6 +1,6 @@
 """Time gaps between the records of a run."""
 
-from datetime import timedelta
+from datetime import datetime, timedelta
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -86,3 +86,32 @@ def gaps(
         .withColumn("gap_micros", _micros(ts) - _micros("prev_ts"))
         .filter(F.col("gap_micros") > limit)
     )
+
+
+def stalled(
+    log: DataFrame,
+    run: str,
+    threshold: timedelta,
+    now: datetime | Column,
+    ts: str = "ts",
+    order: str = "row_index",
+) -> DataFrame:
+    """Runs whose last record is more than ``threshold`` before ``now``: stuck, or ended.
+
+    Gives ``run, order, ts, gap_micros`` of the last record; ``gaps`` reports a stall only once
+    the next record is there. Of records with the same ``ts`` the last by ``order`` counts, and
+    those without ``ts`` are left out. A run is folded to one row in each part before the shuffle.
+    """
+    if threshold < timedelta(0):
+        raise ValueError("threshold must not be negative")
+    until = now if isinstance(now, Column) else F.lit(now)
+    last = F.max(F.struct(ts, order)).alias("_last")
+    gap = F.unix_micros(until.cast("timestamp")) - _micros(ts)
+    return (
+        log.filter(F.col(ts).isNotNull())
+        .groupBy(run)
+        .agg(last)
+        .select(run, f"_last.{order}", f"_last.{ts}")
+        .withColumn("gap_micros", gap)
+        .filter(F.col("gap_micros") > threshold // timedelta(microseconds=1))
+    )

@@ -6,7 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from qarun.operators import gaps, timing, to_record
+from qarun.operators import gaps, stalled, timing, to_record
 from qarun.sources import intact, read_log, with_run, write_log
 
 START = datetime.datetime(2024, 5, 1)
@@ -109,3 +109,30 @@ def test_run_is_the_directory_of_the_log(spark, tmp_path):
     [row] = gaps(intact(with_run(log)), "run", datetime.timedelta(minutes=10)).collect()
     assert row.run.endswith("/first") and row.row_index == 2
     assert row.gap_micros == 29 * 60 * 10**6
+
+
+@pytest.mark.parametrize("seconds", [0, 1, 40, 4000])
+def test_runs_that_are_stuck_now(spark, seconds):
+    rows = made_log(6)
+    now = START + datetime.timedelta(seconds=4000)
+    limit = datetime.timedelta(seconds=seconds)
+    last = {}
+    for run, index, ts in rows:
+        if ts is not None:
+            last[run] = max(last.get(run, (ts, index)), (ts, index))
+    want = [
+        (run, index, ts, (now - ts) // datetime.timedelta(microseconds=1))
+        for run, (ts, index) in last.items()
+        if now - ts > limit
+    ]
+    log = spark.createDataFrame(rows, SCHEMA).repartition(5)
+    for moment in (now, F.lit(now)):
+        got = stalled(log, "run", limit, moment).collect()
+        assert sorted(map(tuple, got), key=repr) == sorted(want, key=repr)
+
+
+def test_nothing_is_stuck_in_an_empty_log(spark):
+    log = spark.createDataFrame([], SCHEMA)
+    assert stalled(log, "run", datetime.timedelta(0), START).collect() == []
+    with pytest.raises(ValueError, match="negative"):
+        stalled(log, "run", datetime.timedelta(-1), START)
