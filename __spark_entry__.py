@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import hashlib
+import uuid
 import warnings
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from datetime import timedelta
 from functools import reduce
 
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,6 +31,7 @@ from qarun.operators import (
 )
 from qarun.plans import recorded_results as recorded
 from qarun.plans import prepare, review, run
+from qarun.schema import RECORD_FIELDS
 from qarun.scratch import new_path, written
 from qarun.sources import (
     intact,
@@ -37,8 +41,9 @@ from qarun.sources import (
     with_run,
     write_log,
 )
+from qarun.sources.files import move_over, opened, qualified
 from qarun.streaming import progress as log_progress_stream
-from qarun.streaming import progress_counts
+from qarun.streaming import progress_counts, tail_log
 
 # A package of its own, which may be left out, and what it needs may be missing. Then its
 # entries go, and no others.
@@ -232,6 +237,23 @@ def batch_ask(spark: SparkSession, sf_dir: str) -> DataFrame:
     return asked.drop("ts")
 
 
+def _answers(session_ids: list[str], questions: list[str]) -> list[str | Exception]:
+    """The answers of ``_answer`` to many questions at once."""
+    answers: list[str | Exception] = []
+    for session_id, question in zip(session_ids, questions, strict=True):
+        try:
+            answers.append(_answer(session_id, question))
+        except ValueError as refused:
+            answers.append(refused)
+    return answers
+
+
+def batch_responder(spark: SparkSession, sf_dir: str) -> DataFrame:
+    questions = with_session(recorded_results(spark, sf_dir).select("row_index", "question"), RUN_ID)
+    asked = ask(questions, _answers, questions_per_task=2_000, questions_per_call=64)
+    return written(asked, "asked").drop("ts")
+
+
 def _no_session() -> str:
     raise ConnectionError("no session today")
 
@@ -256,6 +278,13 @@ def file_run(spark: SparkSession, sf_dir: str) -> DataFrame:
     return run(spark, files, log, _answer, RUN_ID).drop("ts")
 
 
+def rolling_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A run whose log grows by files of fifty records."""
+    files, log = _question_files(spark, sf_dir), new_path(spark, "log")
+    sizes = {"questions_per_task": 2_000, "records_per_file": 50}
+    return run(spark, files, log, _answer, RUN_ID, **sizes).drop("ts")
+
+
 def _half_run(spark: SparkSession, files: str) -> str:
     """The log of a run that has asked every other question."""
     log = f"{new_path(spark, 'log')}/log"  # its questions are kept beside it
@@ -282,6 +311,55 @@ def resumed_run(spark: SparkSession, sf_dir: str) -> DataFrame:
     return run(spark, files, _half_run(spark, files), _answer, RUN_ID, resume=True).drop("ts")
 
 
+def _grow(lines: DataFrame, path: str, whole: bool) -> None:
+    """One file per part with its lines in order; the same file if a task is run again.
+
+    More lines in ``lines`` make every file longer. The last line lacks its end if not ``whole``.
+    """
+    spark = lines.sparkSession
+    uri = qualified(spark, path)
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    spread = lines.repartition(parts, "row_index").sortWithinPartitions("delivery", "row_index")
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, root = opened(uri)
+        system.create_dir(root, recursive=True)
+        name = f"{TaskContext.get().partitionId():05d}.jsonl"
+        aside = f"{root}/_{uuid.uuid4().hex}"
+        with system.open_output_stream(aside) as out:
+            last = b""
+            for batch in batches:
+                for line in batch.column(0).to_pylist():
+                    out.write(last)
+                    last = line.encode() + b"\n"
+            out.write(last if whole else last[:-8])
+        move_over(system, aside, f"{root}/{name}")
+        yield from ()
+
+    spread.select("line").mapInArrow(write, "line string").write.format("noop").mode(
+        "overwrite"
+    ).save()
+
+
+def tailed_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files that grow by three deliveries, of which the first two end inside a line.
+
+    The stream is started for each delivery, from the checkpoint of the one before.
+    """
+    log, found = new_path(spark, "growing-log"), new_path(spark, "tailed")
+    checkpoint = new_path(spark, "progress")
+    timed = recorded_results(spark, sf_dir).withColumn("ts", F.lit(LOG_TIME + "Z"))
+    line = F.to_json(F.struct(*RECORD_FIELDS), {"ignoreNullFields": "false"})
+    lines = timed.select((F.col("row_index") % 3).alias("delivery"), "row_index", line.alias("line"))
+    lines = written(lines, "lines")
+    stream = tail_log(spark, log)
+    for delivery in range(3):
+        _grow(lines.filter(F.col("delivery") <= delivery), log, whole=delivery == 2)
+        once = stream.writeStream.format("parquet").option("checkpointLocation", checkpoint)
+        once.trigger(availableNow=True).start(found).awaitTermination()
+    return spark.read.schema(stream.schema).parquet(found).withColumn("ts", _naive("ts"))
+
+
 def foreign_log_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every turn as a line of a log that another program might have written."""
     kind = F.col("turn") % 4
@@ -411,7 +489,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "log_progress": log_progress,
         "batch_ask": batch_ask,
         "ask_with_sessions": ask_with_sessions,
+        "batch_responder": batch_responder,
         "file_run": file_run,
+        "rolling_log": rolling_log,
+        "tailed_log": tailed_log,
         "resumed_run": resumed_run,
         "review_report": review_report,
         "foreign_log_scan": foreign_log_scan,
@@ -547,7 +628,14 @@ def oracle_sql() -> dict[str, str]:
                              ORDER BY date_trunc('second', ts), event_id) AS prev_ts
                   FROM events WHERE ts IS NOT NULL)
             WHERE date_diff('microsecond', prev_ts, ts) > 1800000000""",
+        "batch_responder": f"""
+            SELECT row_index, '{RUN_ID}-' || row_index AS session_id,
+                   status, phase, question, response, error FROM ({ASKED_SQL})""",
         "file_run": ASKED_SQL,
+        "rolling_log": ASKED_SQL,
+        "tailed_log": f"""
+            SELECT TIMESTAMP '{LOG_TIME}' AS ts, row_index, status, phase, question, response
+            FROM ({RECORDED_SQL})""",
         "record_gaps": """
             SELECT user_id, event_id, prev_ts, ts,
                    date_diff('microsecond', prev_ts, ts) AS gap_micros

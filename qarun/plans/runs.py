@@ -16,7 +16,15 @@ from qarun.operators import (
     with_session,
 )
 from qarun.scratch import scratch, written
-from qarun.sources import intact, read_log, read_questions, resolve_question, write_log
+from qarun.sources import (
+    intact,
+    read_log,
+    read_questions,
+    resolve_question,
+    write_log,
+    write_rolling_log,
+)
+from qarun.sources.files import exists
 
 
 def prepare(
@@ -27,50 +35,63 @@ def prepare(
     return with_session(with_row_index(questions), run_id)
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
-
-
 def run(
     spark: SparkSession,
     path: str | Sequence[str],
     log_path: str,
-    responder: Callable[[str, str], str],
+    responder: Callable,
     run_id: str,
     open_session: Callable[[], str] | None = None,
     normalize: bool = False,
     parallelism: int | None = None,
     concurrency: int = 1,
     resume: bool = False,
+    questions_per_task: int | None = None,
+    questions_per_call: int | None = None,
+    records_per_file: int | None = None,
 ) -> DataFrame:
     """Ask every question of the files once, write the log, and return it as read back.
 
-    The log grows as tasks end, so `streaming.progress` can watch it. Behind the record fields
+    The log grows as tasks end, so `streaming.progress` can watch it; with ``records_per_file``
+    it grows by files of that many records while tasks run (`write_rolling_log`). Behind the record fields
     it has ``error``, which says why a row failed and is null for others.
 
     With ``resume`` the numbered questions are kept beside the log, in ``<log_path>-questions``,
     and a run that finds them asks only those the log has no record of. So a run that broke
     off can be called again as it was, even if the question files have changed since.
+
+    For ``questions_per_task`` and ``questions_per_call`` see `ask`.
     """
     with scratch(spark):
         if resume:
             kept = log_path.rstrip("/") + "-questions"
-            if not _exists(spark, f"{kept}/_SUCCESS"):
+            if not exists(spark, f"{kept}/_SUCCESS"):
                 numbered = prepare(spark, path, run_id, normalize)
                 narrow = numbered.select("row_index", "session_id", "question")
                 narrow.write.mode("overwrite").parquet(kept)
             questions = spark.read.parquet(kept)
-            if _exists(spark, log_path):
+            if exists(spark, log_path):
                 # Written first, as the log grows while it is asked.
                 done = written(intact(read_log(spark, log_path)).select("row_index"), "asked")
                 questions = unanswered(questions, done, "row_index")
         else:
             questions = prepare(spark, path, run_id, normalize)
         questions = questions.select("row_index", "session_id", "question")
-        asked = ask(questions, responder, open_session, parallelism, concurrency)
+        asked = ask(
+            questions,
+            responder,
+            open_session,
+            parallelism,
+            concurrency,
+            questions_per_task,
+            questions_per_call,
+        )
         mode = "append" if resume else "errorifexists"
-        write_log(to_record(asked, error=True), log_path, mode, by_task=True)
+        records = to_record(asked, error=True)
+        if records_per_file is None:
+            write_log(records, log_path, mode, by_task=True)
+        else:
+            write_rolling_log(records, log_path, records_per_file, mode)
     return intact(read_log(spark, log_path, error=True))
 
 

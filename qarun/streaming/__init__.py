@@ -1,3 +1,4 @@
 from qarun.streaming.counts import progress, progress_counts, read_log_stream
+from qarun.streaming.tail import tail_log
 
-__all__ = ["progress", "progress_counts", "read_log_stream"]
+__all__ = ["progress", "progress_counts", "read_log_stream", "tail_log"]

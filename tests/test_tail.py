@@ -1,0 +1,103 @@
+"""Records of log files that are still being written."""
+
+import io
+import json
+import pathlib
+import random
+import uuid
+
+import pytest
+
+from qarun.operators import summary
+from qarun.streaming import progress_counts, tail_log
+from qarun.streaming import tail
+from qarun.streaming.tail import Stretch, TailReader, last_line_end, lines_from
+
+
+def line(index, **more):
+    record = {"ts": "2025-03-04T05:06:07Z", "row_index": index, "status": "ok", "phase": "ask"}
+    return json.dumps({**record, "question": f"q{index}", "response": None, **more}) + "\n"
+
+
+def append(path, text):
+    with open(path, "a", encoding="utf-8", newline="") as file:
+        file.write(text)
+
+
+class Follow:
+    """A stream that is started again for each look; its batches are kept as files."""
+
+    def __init__(self, spark, log, tmp_path, **options):
+        self.spark, self.rows = spark, tail_log(spark, str(log), **options)
+        self.out = str(tmp_path / f"out-{uuid.uuid4().hex}")
+
+    def look(self):
+        (
+            self.rows.writeStream.format("parquet")
+            .option("checkpointLocation", self.out + "-checkpoint")
+            .trigger(availableNow=True)
+            .start(self.out)
+            .awaitTermination()
+        )
+        return sorted(r.row_index for r in self.spark.read.parquet(self.out).collect())
+
+
+@pytest.mark.parametrize("bytes_per_task", [50, 64 << 20])
+def test_a_growing_file_gives_each_record_once(spark, tmp_path, bytes_per_task):
+    log = tmp_path / "log"
+    log.mkdir()
+    follow = Follow(spark, log, tmp_path, bytes_per_task=bytes_per_task)
+    append(log / "a.jsonl", line(0) + line(1) + line(2)[:30])
+    assert follow.look() == [0, 1]
+    assert follow.look() == [0, 1]
+    append(log / "a.jsonl", line(2)[30:] + "\n" + "{cut off\n" + line(3, response="ä "))
+    append(log / "b.jsonl", line(10))
+    append(log / "_hidden", line(99))
+    assert follow.look() == [0, 1, 2, 3, 10]
+    append(log / "a.jsonl", line(4))
+    assert follow.look() == [0, 1, 2, 3, 4, 10]
+
+
+def test_counts_of_a_growing_file(spark, tmp_path):
+    (tmp_path / "log").mkdir()
+    append(tmp_path / "log" / "a", line(0) + line(1, status="error") + line(2))
+    counts = progress_counts(tail_log(spark, str(tmp_path / "log")))
+    name = f"t{uuid.uuid4().hex}"
+    stream = counts.writeStream.outputMode("complete").format("memory").queryName(name)
+    stream.trigger(availableNow=True).start().awaitTermination()
+    assert sorted(map(tuple, spark.table(name).collect())) == [("error", "ask", 1), ("ok", "ask", 2)]
+
+
+def test_a_folder_that_is_empty_or_not_there_yet(tmp_path):
+    assert TailReader(str(tmp_path), 10).latestOffset() == {}
+    reader = TailReader(str(tmp_path / "later"), 10)
+    assert reader.latestOffset() == reader.initialOffset() == {}
+    assert reader.partitions({}, {}) == []
+
+
+def test_a_shorter_file_is_read_from_its_start(tmp_path):
+    reader = TailReader(str(tmp_path), 1000)
+    (tmp_path / "a").write_text("one\ntwo\n")
+    before = reader.latestOffset()
+    (tmp_path / "a").write_text("new\n")
+    assert reader.partitions(before, reader.latestOffset()) == [Stretch("a", 0, 0, 4)]
+
+
+def test_stretches_share_out_all_lines(monkeypatch):
+    """Any cut of any text gives each line to one stretch, whatever the block size."""
+    chance = random.Random(5)
+    for _ in range(300):
+        monkeypatch.setattr(tail, "BLOCK", chance.choice([1, 2, 3, 7, 1000]))
+        text = "".join(chance.choice("ab\n\n") for _ in range(chance.randrange(40))).encode()
+        end = last_line_end(io.BytesIO(text), len(text))
+        assert end == text.rfind(b"\n") + 1
+        ends = [0, *[i + 1 for i, byte in enumerate(text[:end]) if byte == 10]]
+        first = chance.choice(ends)
+        step = chance.randrange(1, 12)
+        found = [
+            one
+            for at in range(first, end, step)
+            for lines in lines_from(io.BytesIO(text), Stretch("", first, at, min(at + step, end)))
+            for one in lines
+        ]
+        assert found == text[first:end].split(b"\n")[:-1]
