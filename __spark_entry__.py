@@ -43,6 +43,7 @@ from qarun.sources import (
 )
 from qarun.sources.files import move_over, opened, qualified
 from qarun.streaming import progress as log_progress_stream
+from qarun.streaming import late_questions as late_stream
 from qarun.streaming import progress_counts, tail_log
 
 # A package of its own, which may be left out, and what it needs may be missing. Then its
@@ -432,6 +433,27 @@ def open_stalls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stalled(events, "user_id", timedelta(days=1), now, order="event_id")
 
 
+def late_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The second of each pair of events is the record of the first, if it is no error.
+
+    It may take five minutes.
+    """
+    pattern = f"{sf_dir}/events.parquet*"
+    schema = _table(spark, sf_dir, "events").schema
+    number = F.expr("event_id div 2").alias("row_index")
+
+    def half(odd: int, ts: str) -> DataFrame:
+        events = spark.readStream.schema(schema).parquet(pattern)
+        own = (F.col("event_id") % 2 == odd) & (F.lit(odd == 0) | (F.col("event_type") != "error"))
+        return events.filter(own).select(number, F.col("ts").alias(ts))
+
+    late = late_stream(half(0, "asked"), half(1, "ts"), within=timedelta(minutes=5))
+    found = new_path(spark, "late")
+    once = late.writeStream.format("parquet").option("checkpointLocation", new_path(spark, "progress"))
+    once.trigger(availableNow=True).start(found).awaitTermination()
+    return spark.read.schema(late.schema).parquet(found).withColumn("asked", _naive("asked"))
+
+
 def closed_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Days that no record can join any longer, from a stream that is started for each delivery.
 
@@ -501,6 +523,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "progress": progress,
         "open_stalls": open_stalls,
         "closed_windows": closed_windows,
+        "late_questions": late_questions,
     }
 
 
@@ -658,6 +681,15 @@ def oracle_sql() -> dict[str, str]:
                   FROM events WHERE ts IS NOT NULL)
             WHERE NOT late AND day + INTERVAL 1 DAY <= last - INTERVAL 1 HOUR
             GROUP BY day, event_type""",
+        "late_questions": """
+            WITH halves AS (SELECT event_id // 2 AS row_index, event_id % 2 AS odd, ts
+                            FROM events WHERE event_id % 2 = 0 OR event_type <> 'error'),
+                 ends AS (SELECT least(max(ts) FILTER (WHERE odd = 0), max(ts) FILTER (WHERE odd = 1))
+                                 - INTERVAL 10 MINUTE AS known FROM halves)
+            SELECT q.row_index, q.ts AS asked FROM halves q, ends
+            WHERE q.odd = 0 AND q.ts + INTERVAL 5 MINUTE < known AND NOT EXISTS (
+                SELECT 1 FROM halves r WHERE r.odd = 1 AND r.row_index = q.row_index
+                    AND r.ts BETWEEN q.ts AND q.ts + INTERVAL 5 MINUTE)""",
         "progress": """
             SELECT date_trunc('day', ts) AS day, event_type, count(*) AS n
             FROM events GROUP BY ALL""",

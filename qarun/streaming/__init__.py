@@ -1,4 +1,5 @@
 from qarun.streaming.counts import progress, progress_counts, read_log_stream
+from qarun.streaming.late import late_questions
 from qarun.streaming.tail import tail_log
 
-__all__ = ["progress", "progress_counts", "read_log_stream", "tail_log"]
+__all__ = ["late_questions", "progress", "progress_counts", "read_log_stream", "tail_log"]
