@@ -63,7 +63,7 @@ except ImportError as missing:
 SMOKE_DIR = "/root/testdata/sf0.001"
 
 # The conversations carry no time of asking; a log made of them has this one.
-LOG_TIME = "2025-01-23 10:30:45"
+LOG_TIME = "2025-03-04 10:40:15"
 RUN_ID = "run"
 
 
@@ -365,9 +365,9 @@ def foreign_log_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every turn as a line of a log that another program might have written."""
     kind = F.col("turn") % 4
     ts = (
-        F.when(kind == 0, "2025-01-23T10:30:45.123Z")
-        .when(kind == 1, "2025-01-23T11:30:45+01:00")
-        .when(kind == 2, "2025-01-23T05:00:45-0530")
+        F.when(kind == 0, "2025-03-04T10:40:15.123Z")
+        .when(kind == 1, "2025-03-04T11:40:15+01:00")
+        .when(kind == 2, "2025-03-04T05:10:15-0530")
         .otherwise("later")
     )
     number = (F.col("conv_id") * 10_000 + F.col("turn")).cast("string")
@@ -635,8 +635,8 @@ def oracle_sql() -> dict[str, str]:
                    row_index, question
             FROM ({ASKED_SQL})""",
         "foreign_log_scan": """
-            SELECT CASE turn % 4 WHEN 0 THEN TIMESTAMP '2025-01-23 10:30:45.123'
-                                 WHEN 3 THEN NULL ELSE TIMESTAMP '2025-01-23 10:30:45' END AS ts,
+            SELECT CASE turn % 4 WHEN 0 THEN TIMESTAMP '2025-03-04 10:40:15.123'
+                                 WHEN 3 THEN NULL ELSE TIMESTAMP '2025-03-04 10:40:15' END AS ts,
                    conv_id * 10000 + turn AS row_index,
                    CASE WHEN conv_id % 5 <> 0 THEN 'ok' END AS status, role AS phase,
                    text AS question, CAST(NULL AS VARCHAR) AS response

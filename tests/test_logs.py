@@ -13,7 +13,7 @@ from qarun.sources import damaged, intact, read_log, with_run, write_log
 
 # The field names of a record, their order and the form of the time.
 LINE = (
-    '{"ts":"2025-01-23T10:30:45Z","row_index":0,"status":"ok","phase":"ask",'
+    '{"ts":"2025-03-04T10:40:15Z","row_index":0,"status":"ok","phase":"ask",'
     '"question":"Which river runs through the old town?","response":"The Leine does."}'
 )
 
@@ -28,7 +28,7 @@ def lines(path):
 
 def record(spark):
     return spark.createDataFrame(
-        [(0, "2025-01-23 10:30:45.987", "ok", "ask", "Which river runs through the old town?")],
+        [(0, "2025-03-04 10:40:15.987", "ok", "ask", "Which river runs through the old town?")],
         "row_index int, ts string, status string, phase string, question string",
     ).select(
         "*",
@@ -41,14 +41,14 @@ def test_record_has_six_fields_and_whole_seconds(spark):
     df = to_record(record(spark))
     assert tuple(df.columns) == RECORD_FIELDS
     assert dict(df.dtypes)["ts"] == "timestamp" and dict(df.dtypes)["row_index"] == "bigint"
-    assert df.select(F.date_format("ts", "HH:mm:ss.SSS")).first()[0] == "10:30:45.000"
+    assert df.select(F.date_format("ts", "HH:mm:ss.SSS")).first()[0] == "10:40:15.000"
 
 
 @pytest.mark.parametrize("zone", ["UTC", "America/New_York", "Asia/Kolkata"])
 def test_documented_line_in_any_session_zone(spark, tmp_path, zone):
     spark.conf.set("spark.sql.session.timeZone", zone)
     try:
-        df = spark.createDataFrame([(1737628245,)], "s long").select(
+        df = spark.createDataFrame([(1741084815,)], "s long").select(
             F.timestamp_seconds("s").alias("ts"),
             F.lit(0).alias("row_index"),
             F.lit("ok").alias("status"),
@@ -60,7 +60,7 @@ def test_documented_line_in_any_session_zone(spark, tmp_path, zone):
         write_log(to_record(df), path)
         assert lines(path) == [LINE]
         back = intact(read_log(spark, path))
-        assert back.select(F.unix_seconds("ts")).first()[0] == 1737628245
+        assert back.select(F.unix_seconds("ts")).first()[0] == 1741084815
     finally:
         spark.conf.set("spark.sql.session.timeZone", "UTC")
 
@@ -127,10 +127,10 @@ def test_a_record_without_index_is_kept_and_an_empty_object_is_not(spark, tmp_pa
 
 def test_logs_of_other_writers_lose_no_record(spark, tmp_path):
     lines = [
-        '{"ts":"2025-01-23T10:30:45.123Z","row_index":0,"status":"ok"}',
-        '{"ts":"2025-01-23T11:30:45+01:00","row_index":"1","status":"ok"}',
-        '{"ts":"2025-01-23T05:00:45-0530","row_index":2,"status":"ok","more":[1,2]}',
-        '{"question":"q","response":"r","ts":"2025-01-23T10:30:45"}',
+        '{"ts":"2025-03-04T10:40:15.123Z","row_index":0,"status":"ok"}',
+        '{"ts":"2025-03-04T11:40:15+01:00","row_index":"1","status":"ok"}',
+        '{"ts":"2025-03-04T05:10:15-0530","row_index":2,"status":"ok","more":[1,2]}',
+        '{"question":"q","response":"r","ts":"2025-03-04T10:40:15"}',
         '{"ts":"yesterday","row_index":"first","status":"ok"}',
         '{"ts":"never"}',
         '[1, 2]',
@@ -142,7 +142,7 @@ def test_logs_of_other_writers_lose_no_record(spark, tmp_path):
     log = read_log(spark, str(tmp_path / "log.jsonl"))
     seconds = F.unix_millis("ts").alias("ms")
     rows = intact(log).select(seconds, "row_index", "status", "question").collect()
-    at = 1737628245000
+    at = 1741084815000
     assert sorted(map(tuple, rows), key=repr) == sorted(
         [
             (at + 123, 0, "ok", None),
