@@ -36,6 +36,7 @@ from qarun.scratch import new_path, written
 from qarun.sources import (
     intact,
     read_log,
+    read_question_sets,
     read_questions,
     resolve_question,
     with_run,
@@ -44,7 +45,7 @@ from qarun.sources import (
 from qarun.sources.files import move_over, opened, qualified
 from qarun.streaming import progress as log_progress_stream
 from qarun.streaming import late_questions as late_stream
-from qarun.streaming import progress_counts, tail_log
+from qarun.streaming import progress_counts, shared_sessions_live, stalls, tail_log
 
 # A package of its own, which may be left out, and what it needs may be missing. Then its
 # entries go, and no others.
@@ -186,6 +187,16 @@ def csv_mixed_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return with_row_index(resolve_question(files)).select("id", "question")
 
 
+def csv_two_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One set of files of which some call their questions ``q`` and some ``question``."""
+    path = new_path(spark, "question-files")
+    benchmark = _table(spark, sf_dir, "benchmark").orderBy("item_id")
+    turns = _user_turns(spark, sf_dir).orderBy("conv_id", "turn")
+    _write_csv(benchmark.select(F.col("item_id").alias("item"), F.col("text").alias("q")), f"{path}/a")
+    _write_csv(turns.select(F.col("text").alias("question"), "conv_id", "turn"), f"{path}/b")
+    return with_row_index(read_question_sets(spark, [f"{path}/a", f"{path}/b"]))
+
+
 def csv_split_quoted(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A file with both kinds of line end in its values and CR LF behind its rows."""
     path = new_path(spark, "question-files")
@@ -454,6 +465,53 @@ def late_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.schema(late.schema).parquet(found).withColumn("asked", _naive("asked"))
 
 
+def _delivered(
+    frames: list[DataFrame], live: Callable[[DataFrame], DataFrame], name: str
+) -> DataFrame:
+    """What a stream gives, in append mode, that is started again for each delivery."""
+    spark, schema = frames[0].sparkSession, frames[0].schema
+    log, found = new_path(spark, name), new_path(spark, f"{name}-found")
+    checkpoint = new_path(spark, "progress")
+    stream = live(spark.readStream.schema(schema).parquet(f"{log}/*"))
+    for number, frame in enumerate(frames):
+        frame.write.parquet(f"{log}/{number}")
+        once = stream.writeStream.format("parquet").option("checkpointLocation", checkpoint)
+        once.trigger(availableNow=True).start(found).awaitTermination()
+    return spark.read.schema(stream.schema).parquet(found)
+
+
+def live_stalls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every pause of a user of more than a day, from two deliveries in order of time."""
+    events = _table(spark, sf_dir, "events")
+    ends = events.agg(F.date_trunc("day", F.min("ts")), F.max("ts")).first()
+    early = F.col("ts") < F.lit(ends[0] + (ends[1] - ends[0]) / 2)
+    found = _delivered(
+        [events.filter(early), events.filter(~early)],
+        lambda log: stalls(log, "user_id", timedelta(days=1), order="event_id"),
+        "stalls",
+    )
+    return found.withColumn("ts", _naive("ts"))
+
+
+def shared_sessions_told(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two events in a row are a session, which an error does not use; delivered by their halves."""
+    events = _table(spark, sf_dir, "events").filter(F.col("ts").isNotNull())
+    asked = events.withColumns(
+        {
+            "session_id": F.expr("event_id div 2"),
+            "question": F.when(F.col("event_type") != "error", F.col("event_type")),
+        }
+    )
+    halves = [asked.filter(F.col("event_id") % 2 == half) for half in (0, 1)]
+    # Both deliveries cover the whole time, so a row may come as late as the table is long.
+    whole = timedelta(days=3650)
+    return _delivered(
+        halves,
+        lambda log: shared_sessions_live(log, question="question", keep=whole, watermark=whole),
+        "sessions",
+    )
+
+
 def closed_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Days that no record can join any longer, from a stream that is started for each delivery.
 
@@ -504,6 +562,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "csv_questions": csv_questions,
         "csv_user_turns": csv_user_turns,
         "csv_mixed_files": csv_mixed_files,
+        "csv_two_headers": csv_two_headers,
         "csv_split_quoted": csv_split_quoted,
         "indexed_by_text": indexed_by_text,
         "session_keys": session_keys,
@@ -522,6 +581,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "record_gaps": record_gaps,
         "progress": progress,
         "open_stalls": open_stalls,
+        "live_stalls": live_stalls,
+        "shared_sessions_live": shared_sessions_told,
         "closed_windows": closed_windows,
         "late_questions": late_questions,
     }
@@ -598,6 +659,14 @@ def oracle_sql() -> dict[str, str]:
             SELECT CAST(conv_id * 10000 + turn AS VARCHAR),
                    text || chr(10) || chr(13) || chr(10) || 'end'
             FROM conversations WHERE role = 'user'""",
+        "csv_two_headers": """
+            SELECT row_number() OVER (ORDER BY part, item_id, conv_id, turn) - 1 AS row_index,
+                   question, CAST(item_id AS VARCHAR) AS item,
+                   CAST(conv_id AS VARCHAR) AS conv_id, CAST(turn AS VARCHAR) AS turn
+            FROM (SELECT 0 AS part, item_id, NULL AS conv_id, NULL AS turn, text AS question
+                  FROM benchmark
+                  UNION ALL
+                  SELECT 1, NULL, conv_id, turn, text FROM conversations WHERE role = 'user')""",
         "csv_split_quoted": """
             SELECT row_number() OVER (ORDER BY conv_id * 10000 + turn) - 1 AS row_index,
                    CAST(conv_id * 10000 + turn AS VARCHAR) AS id,
@@ -672,6 +741,18 @@ def oracle_sql() -> dict[str, str]:
                       PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS place
                   FROM events WHERE ts IS NOT NULL)
             WHERE place = 1 AND date_diff('microsecond', ts, last) > 86400000000""",
+        "live_stalls": """
+            SELECT user_id, event_id, ts
+            FROM (SELECT user_id, event_id, ts, lead(ts) OVER (
+                             PARTITION BY user_id ORDER BY ts, event_id) AS next_ts,
+                         date_trunc('millisecond', max(ts) OVER ()) - INTERVAL 10 MINUTE AS known
+                  FROM events WHERE ts IS NOT NULL)
+            WHERE (next_ts IS NULL OR date_diff('microsecond', ts, next_ts) > 86400000000)
+              AND date_diff('microsecond', ts, known) > 86400000000""",
+        "shared_sessions_live": """
+            SELECT event_id // 2 AS session_id FROM events
+            WHERE event_type <> 'error' AND ts IS NOT NULL
+            GROUP BY session_id HAVING count(*) > 1""",
         "closed_windows": """
             SELECT day, event_type, count(*) AS n
             FROM (SELECT CAST(date_trunc('day', ts) AS TIMESTAMP) AS day, event_type,

@@ -19,8 +19,7 @@ from qarun.scratch import scratch, written
 from qarun.sources import (
     intact,
     read_log,
-    read_questions,
-    resolve_question,
+    read_question_sets,
     write_log,
     write_rolling_log,
 )
@@ -30,8 +29,11 @@ from qarun.sources.files import exists
 def prepare(
     spark: SparkSession, path: str | Sequence[str], run_id: str, normalize: bool = False
 ) -> DataFrame:
-    """Question files as numbered questions, each with a session of its own."""
-    questions = resolve_question(read_questions(spark, path), normalize=normalize)
+    """Question files as numbered questions, each with a session of its own.
+
+    Each file may name its question column in another of the accepted ways.
+    """
+    questions = read_question_sets(spark, path, normalize=normalize)
     return with_session(with_row_index(questions), run_id)
 
 

@@ -1,5 +1,10 @@
 from qarun.sources.logs import damaged, intact, read_log, with_run, write_log
-from qarun.sources.questions import QuestionColumnError, read_questions, resolve_question
+from qarun.sources.questions import (
+    QuestionColumnError,
+    read_question_sets,
+    read_questions,
+    resolve_question,
+)
 from qarun.sources.rolling import write_rolling_log
 
 __all__ = [
@@ -7,6 +12,7 @@ __all__ = [
     "damaged",
     "intact",
     "read_log",
+    "read_question_sets",
     "read_questions",
     "resolve_question",
     "with_run",

@@ -68,17 +68,20 @@ def line_options(spark: SparkSession, paths: Sequence[str]) -> list[tuple[dict,
     unchanged by their quotes; if such a file is not well-formed it is refused by name. The
     check is one scan of the plain lines, and up to three more of the files it finds unfit.
     """
-    return _kinds(spark, paths)[0]
+    kinds, _, _ = _kinds(spark, paths)
+    return [(options, list(map(_pattern, files))) for options, files in kinds]
 
 
 def _kinds(
     spark: SparkSession, paths: Sequence[str]
-) -> tuple[list[tuple[dict, list[str]]], DataFrame | None]:
-    """What ``line_options`` gives, and the rows of the files that are read by quotes."""
+) -> tuple[list[tuple[dict, list[str]]], DataFrame | None, dict[str, str]]:
+    """Kinds of files, the rows of those that are read by quotes, and each file's first line."""
     value = F.col("value")
+    written_on = F.when(~value.rlike(r"^[\x00-\x20]*\z"), F.col("at"))
     # Spark skips lines of white space alone when it splits a file. They are rows.
     unfit = F.bool_or(~value.rlike(WHOLE_ROW) | value.rlike(r"^[\x00-\x20]+\z"))
-    first = _by_file(spark, paths, {"unfit": unfit, "split": F.bool_or(F.col("at").isNull())})
+    facts = {"unfit": unfit, "split": F.bool_or(F.col("at").isNull())}
+    first = _by_file(spark, paths, {**facts, "header": F.min_by(value, written_on)})
     plain, split, whole_crlf, whole = [], [], [], []
     plain += [file for file, row in first.items() if not row.unfit]
     rest = [file for file, row in first.items() if row.unfit]
@@ -121,8 +124,8 @@ def _kinds(
         rows = quoted_rows(spark, list(map(_pattern, quoted))) if quoted else None
     kinds = [(PLAIN, plain), (BY_QUOTES, quoted), (SPLIT_AT_CRLF, split)]
     kinds += [(WHOLE_CRLF, whole_crlf), (WHOLE, whole)]
-    found = [(options, sorted(map(_pattern, files))) for options, files in kinds if files]
-    return found, rows
+    found = [(options, sorted(files)) for options, files in kinds if files]
+    return found, rows, {file: row.header for file, row in first.items()}
 
 
 def read_questions(
@@ -142,29 +145,83 @@ def read_questions(
     if any(p.lower().endswith(".xlsx") for p in paths):
         raise ValueError("spreadsheets cannot be read; save the sheet as CSV")
 
-    def read(session: SparkSession, files: Sequence[str], lines: dict) -> DataFrame:
-        options = {"header": True, "enforceSchema": False, **QUOTING, **lines}
-        return session.read.options(**options).csv(list(files))
-
     if multi_line is not None:
-        return read(spark, paths, {"multiLine": multi_line})
-    kinds, rows = _kinds(spark, paths)
+        return _scan(spark, paths, {"multiLine": multi_line})
+    kinds, rows, _ = _kinds(spark, paths)
     if len(kinds) <= 1 and rows is None:
-        return read(spark, paths, kinds[0][0] if kinds else PLAIN)
-    frames = []
-    held = pinned(spark)
-    for lines, files in kinds:
-        if lines is BY_QUOTES:
-            frames.append(read_quoted(spark, rows, QUOTING))
-        else:
-            place = F.struct("_metadata.file_path", "_metadata.file_block_start")
-            scan = read(held, files, lines)
-            frames.append(rehomed(spark, scan.select("*", place.alias("_metadata"))))
+        return _scan(spark, paths, kinds[0][0] if kinds else PLAIN)
+    frames = [_placed(spark, files, lines, rows) for lines, files in kinds]
     if len({tuple(frame.columns) for frame in frames}) > 1:
         raise ValueError(f"files have different headers: {[frame.columns for frame in frames]}")
     return reduce(DataFrame.union, frames)
 
 
+def _scan(spark: SparkSession, paths: Sequence[str], lines: dict) -> DataFrame:
+    options = {"header": True, "enforceSchema": False, **QUOTING, **lines}
+    return spark.read.options(**options).csv(list(paths))
+
+
+def _placed(
+    spark: SparkSession, files: Sequence[str], lines: dict, rows: DataFrame | None
+) -> DataFrame:
+    """Files of one kind and header, with ``_metadata`` as a column."""
+    if lines is BY_QUOTES:
+        return read_quoted(spark, rows, QUOTING)
+    place = F.struct("_metadata.file_path", "_metadata.file_block_start")
+    scan = _scan(pinned(spark), list(map(_pattern, files)), lines)
+    return rehomed(spark, scan.select("*", place.alias("_metadata")))
+
+
+def _header_groups(files: Sequence[str], headers: dict[str, str]) -> list[list[str]]:
+    """Files that start with the same line; one whose header goes on behind it stands alone."""
+    groups: dict[str, list[str]] = {}
+    for file in files:
+        header = (headers.get(file) or "").removeprefix("\ufeff")
+        whole = re.match(WHOLE_ROW.replace(r"\z", r"\Z"), header)
+        groups.setdefault(header if whole else file, []).append(file)
+    return list(groups.values())
+
+
+def read_question_sets(
+    spark: SparkSession,
+    path: str | Sequence[str],
+    candidates: Sequence[str] = QUESTION_COLUMNS,
+    normalize: bool = False,
+) -> DataFrame:
+    """Read CSV files that may have different headers, each by its own question column.
+
+    Files with the same header are read together, as `read_questions` does, the accepted
+    column is named ``question`` in each such group as `resolve_question` does, and the groups are
+    united by name: a column that a file lacks is null for its rows. Names that differ in letter
+    case alone are the same column. A group without a question column is an error that names
+    one of its files.
+
+    The headers come with the scan that tells the kinds of files, so nothing is read for
+    them; every file is then read once, in one frame per header. ``with_row_index`` numbers the
+    rows by file path, whatever group a file is in.
+    """
+    paths = [path] if isinstance(path, str) else list(path)
+    if any(p.lower().endswith(".xlsx") for p in paths):
+        raise ValueError("spreadsheets cannot be read; save the sheet as CSV")
+    kinds, rows, headers = _kinds(spark, paths)
+    grouped = [(lines, _header_groups(files, headers)) for lines, files in kinds]
+    if len(grouped) <= 1 and rows is None and sum(len(groups) for _, groups in grouped) <= 1:
+        frame = _scan(spark, paths, grouped[0][0] if grouped else PLAIN)
+        return resolve_question(frame, candidates, normalize)
+    frames = []
+    for lines, groups in grouped:
+        for files in groups:
+            own = rows
+            if lines is BY_QUOTES and len(groups) > 1:
+                own = quoted_rows(spark, list(map(_pattern, files)))
+            frame = _placed(spark, files, lines, own)
+            try:
+                frames.append(resolve_question(frame, candidates, normalize))
+            except QuestionColumnError as error:
+                raise QuestionColumnError(f"{error} in {files[0]}") from None
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
+
+
 def resolve_question(
     df: DataFrame, candidates: Sequence[str] = QUESTION_COLUMNS, normalize: bool = False
 ) -> DataFrame:

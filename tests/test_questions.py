@@ -9,7 +9,12 @@ from pyspark.sql import functions as F
 
 from qarun.operators import with_row_index
 from qarun.scratch import scratch, shared_dir
-from qarun.sources import QuestionColumnError, read_questions, resolve_question
+from qarun.sources import (
+    QuestionColumnError,
+    read_question_sets,
+    read_questions,
+    resolve_question,
+)
 from qarun.sources.questions import line_options
 
 THREE = ["Which river runs through the old town?", "Where can I hand in a lost key?"]
@@ -389,3 +394,42 @@ def test_other_splits_are_an_error_and_no_wrong_index(spark, tmp_path, small_spl
     small_splits(1300)
     with pytest.raises(Exception, match="split in another way"):
         indexed.collect()
+
+
+def test_files_may_name_the_question_differently(spark, tmp_path):
+    put(tmp_path, "id,q\n1,why\n2,how\n", "b.csv")
+    put(tmp_path, '"a b.c","question",Note\r\nx,"when\nat night",y\r\n', "a.csv")
+    put(tmp_path, "\ufeffid,q\n3,who\n", "c.csv")
+    put(tmp_path, "\n\nquestions,q,note\nwhere,not this,n\n", "d.csv")
+    put(tmp_path, '"question","in two\nlines"\nwhat,z\n', "e.csv")
+    put(tmp_path, "", "f.csv")
+    frame = with_row_index(read_question_sets(spark, str(tmp_path)))
+    rows = sorted(frame.collect(), key=lambda row: row.row_index)
+    assert [row.row_index for row in rows] == list(range(6))
+    asked = ["when\nat night", "why", "how", "who", "where", "what"]
+    assert [row.question for row in rows] == asked
+    assert [row.id for row in rows] == [None, "1", "2", "3", None, None]
+    assert [row["a b.c"] for row in rows] == ["x"] + [None] * 5
+    assert [row["note"] for row in rows] == ["y", None, None, None, "n", None]
+    assert [row["q"] for row in rows] == [None] * 4 + ["not this", None]
+    assert rows[5]["in two\nlines"] == "z"
+
+
+def test_a_set_without_a_question_column_is_named(spark, tmp_path):
+    put(tmp_path, "q\nwhy\n", "a.csv")
+    put(tmp_path, "Q\nhow\n", "b.csv")
+    with pytest.raises(QuestionColumnError, match=r"found \['Q', '_metadata'\] in .*b\.csv"):
+        read_question_sets(spark, str(tmp_path))
+    rows = with_row_index(read_question_sets(spark, str(tmp_path), normalize=True)).collect()
+    assert sorted((r.row_index, r.question) for r in rows) == [(0, "why"), (1, "how")]
+
+
+def test_large_quoted_files_may_have_different_headers(spark, tmp_path, small_splits):
+    for name, header in (("a.csv", "q,id"), ("b.csv", "id,question"), ("c.csv", "q,id")):
+        body = "".join(f'"{name}\n{i}","{name}\n{i}"\n' for i in range(300))
+        put(tmp_path, header + "\n" + body, name)
+    rows = with_row_index(read_question_sets(spark, str(tmp_path))).collect()
+    assert len(rows) == 900 and all(row.question == row.id for row in rows)
+    rows.sort(key=lambda row: row.row_index)
+    want = [f"{name}\n{i}" for name in ("a.csv", "b.csv", "c.csv") for i in range(300)]
+    assert [row.question for row in rows] == want
