@@ -32,8 +32,9 @@ def stalls(
     the same ``ts`` the greatest by ``order`` counts. On a stream, a record that comes later
     than ``watermark`` behind the closed stretch it belongs to is not seen.
 
-    Sessions of a task are merged before the shuffle, so that a run with most of the records
-    moves few rows: ``spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition``
+    On a stream the sessions of a task are merged before the shuffle, so that a run with most of the
+    records moves few rows; a batch moves every record, so ``gaps`` and ``stalled`` suit it better.
+    ``spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition``
     is set for the session if it is not yet.
     """
     for length in (threshold, watermark):
