@@ -5,7 +5,7 @@ from datetime import timedelta
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -20,6 +20,17 @@ def _folded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from counts.rename_columns(["session", "n", "at"]).combine_chunks().to_batches()
 
 
+def _id(session: Column, kind: T.DataType) -> Column:
+    """A whole number or a string for each session, so that the state is the same for all types."""
+    if isinstance(kind, (T.IntegralType, T.StringType)):
+        return session
+    if isinstance(kind, T.BinaryType):
+        return F.hex(session)
+    if isinstance(kind, T.TimestampType):  # as a string, two hours of the year would be one
+        return F.unix_micros(session)
+    return session.cast("string")
+
+
 def shared_sessions_live(
     asked: DataFrame,
     session: str = "session_id",
@@ -27,6 +38,7 @@ def shared_sessions_live(
     keep: timedelta = timedelta(days=1),
     watermark: timedelta = timedelta(minutes=10),
     ts: str = "ts",
+    groups: int = 2048,
 ) -> DataFrame:
     """Each session of the stream ``asked`` that carries more than one question, once.
 
@@ -35,12 +47,19 @@ def shared_sessions_live(
 
     Every row counts as a question; with ``question`` only rows where it is not null. Rows
     without a session or without ``ts`` are left out, and so are those that come later than
-    ``watermark``. State is two numbers per session, dropped when the records have passed the last
-    question of the session by ``keep`` and ``watermark``. A later question starts it anew, so questions
-    further apart than that are not told.
+    ``watermark``. State is the session and two numbers per session, dropped when the records have passed
+    the last question of the session by ``keep`` and ``watermark``. A later question starts it anew, so
+    questions further apart than that are not told.
+
+    Sessions are dealt over ``groups`` states by their hash, as a call of Python costs some
+    milliseconds and a session in it some microseconds: a micro-batch makes at most ``groups`` calls. It
+    writes the states anew that its questions and the sessions to be dropped belong to, so give more
+    groups where many millions of sessions are open and few are asked at a time. A checkpoint keeps to its number.
     """
     if keep <= timedelta(0) or watermark < timedelta(0):
         raise ValueError("keep must be positive and watermark not negative")
+    if groups < 1:
+        raise ValueError("groups must be positive")
     wait = max(keep // timedelta(milliseconds=1), 1)
     rows = asked.select(
         F.col(f"`{session}`").alias("session"),
@@ -49,36 +68,47 @@ def shared_sessions_live(
     )
     rows = rows.dropna().select("session", "at")
     own = rows.schema["session"]
+    if isinstance(own.dataType, (T.FloatType, T.DoubleType)):  # 0.0 and -0.0 are one session
+        rows = rows.withColumn("session", F.col("session") + F.lit(0).cast(own.dataType))
 
     def second(
         key: tuple, parts: Iterator[pd.DataFrame], state: GroupState
     ) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
+        now = state.getCurrentWatermarkMs()
+        known = {id_: (n, until) for id_, n, until in zip(*state.get)} if state.exists else {}
+        for part in [] if state.hasTimedOut else parts:
+            told = []
+            counts = zip(part["id"].tolist(), part["n"].tolist(), part["millis"].tolist())
+            for place, (id_, count, millis) in enumerate(counts):
+                n, until = known.get(id_, (0, wait))
+                # The watermark may have passed what is left of a session that was about to go.
+                known[id_] = (n + count, max(until, millis + wait, now + 1))
+                if n < 2 <= n + count:
+                    told.append(place)
+            if told:
+                yield part[["session"]].iloc[told]
+        known = {id_: kept for id_, kept in known.items() if kept[1] >= now}
+        if not known:
             state.remove()
             return
-        before, last = state.get if state.exists else (0, 0)
-        n = before
-        for part in parts:
-            n += int(part["n"].sum())
-            last = max(last, int(part["millis"].max()))
-        state.update((n, last))
-        # The watermark may have passed what is left of a state that was about to go.
-        state.setTimeoutTimestamp(max(last + wait, state.getCurrentWatermarkMs() + 1))
-        if before < 2 <= n:
-            yield pd.DataFrame({"session": [key[0]]})
+        counts, ends = zip(*known.values())
+        state.update((list(known), list(counts), list(ends)))
+        state.setTimeoutTimestamp(min(ends))
 
     fields = [own, T.StructField("n", T.LongType()), T.StructField("at", T.TimestampType())]
     counted = rows.mapInArrow(_folded, T.StructType(fields))
     counted = counted.withWatermark("at", f"{watermark // timedelta(microseconds=1)} microseconds")
-    found = (
-        counted.withColumn("millis", F.unix_millis("at"))
-        .groupBy("session")
-        .applyInPandasWithState(
-            second,
-            T.StructType([own]),
-            "n bigint, last bigint",
-            "append",
-            GroupStateTimeout.EventTimeTimeout,
-        )
+    counted = counted.withColumns(
+        {"id": _id(F.col("session"), own.dataType), "millis": F.unix_millis("at")}
+    ).withColumn("group", F.pmod(F.xxhash64("id"), F.lit(groups)))
+    packed = T.StructType(
+        [
+            T.StructField("ids", T.ArrayType(counted.schema["id"].dataType)),
+            T.StructField("counts", T.ArrayType(T.LongType())),
+            T.StructField("ends", T.ArrayType(T.LongType())),
+        ]
+    )
+    found = counted.groupBy("group").applyInPandasWithState(
+        second, T.StructType([own]), packed, "append", GroupStateTimeout.EventTimeTimeout
     )
     return found.withColumnRenamed("session", session)

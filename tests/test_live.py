@@ -2,7 +2,8 @@
 
 import random
 import time
-from datetime import datetime, timedelta
+from datetime import date, datetime, timedelta
+from decimal import Decimal
 
 import pytest
 
@@ -140,3 +141,61 @@ def test_the_state_of_old_sessions_is_dropped(spark, tmp_path):
     assert stream.rows() == [("2-0",)]
     with pytest.raises(ValueError, match="positive"):
         shared_sessions_live(stream.source(), keep=timedelta(0))
+
+
+def test_sessions_share_states_and_are_dropped_one_by_one(spark, tmp_path):
+    stream = Stream(spark, tmp_path, ASKED)
+    live = shared_sessions_live(stream.source(), keep=HOUR, groups=1)
+    minutes = timedelta(minutes=1)
+    found, sizes = [], []
+    for asked in (
+        [("a", 0), ("b", 30), ("told", 30), ("told", 30)],
+        [("c", 80), ("told", 80)],  # a is forgotten by this, b is not
+        [("a", 75), ("b", 75)],
+        [("a", 76), ("c", 76), ("b", 76)],
+    ):
+        stream.put([(name, "why", T0 + at * minutes) for name, at in asked])
+        query = stream.run(live)
+        found.append([name for (name,) in stream.rows()])
+        sizes.append(query.lastProgress["stateOperators"][0]["numRowsTotal"])
+    assert found == [["told"], ["told"], ["b", "told"], ["a", "b", "c", "told"]]
+    assert sizes == [1, 1, 1, 1]
+    stream.put([("d", "why", T0 + 50 * HOUR)])
+    stream.run(live)
+    stream.put([("a", "why", T0 + 50 * HOUR), ("d", "why", T0 + 50 * HOUR)])
+    stream.run(live)
+    assert stream.rows() == [("a",), ("b",), ("c",), ("d",), ("told",)]
+    with pytest.raises(ValueError, match="groups"):
+        shared_sessions_live(stream.source(), groups=0)
+
+
+def test_many_sessions_make_no_more_states_than_groups(spark, tmp_path):
+    stream = Stream(spark, tmp_path, ASKED)
+    live = shared_sessions_live(stream.source())
+    stream.put((f"{i}", "why", T0) for i in range(6000))
+    stream.put((f"{i}", "why", T0) for i in range(0, 6000, 3))
+    query = stream.run(live)
+    assert sorted(int(name) for (name,) in stream.rows()) == [*range(0, 6000, 3)]
+    assert 0 < query.lastProgress["stateOperators"][0]["numRowsTotal"] <= 2048
+
+
+@pytest.mark.parametrize(
+    "kind, first, other, again",
+    [
+        ("bigint", 1, 2, 1),
+        ("double", 0.0, 1.5, -0.0),
+        ("binary", b"\xff", b"\xfe", b"\xff"),
+        ("decimal(20,3)", Decimal("1.500"), Decimal("1.501"), Decimal("1.500")),
+        ("date", date(2025, 1, 1), date(2025, 1, 2), date(2025, 1, 1)),
+        ("timestamp", T0, T0 + timedelta(microseconds=1), T0),
+    ],
+)
+def test_sessions_of_any_type_are_told(spark, tmp_path, kind, first, other, again):
+    stream = Stream(spark, tmp_path, f"session_id {kind}, ts timestamp")
+    live = shared_sessions_live(stream.source(), groups=2)
+    stream.put([(first, T0), (other, T0)])
+    stream.run(live)
+    assert stream.rows() == []
+    stream.put([(again, T0)])
+    stream.run(live)
+    assert stream.rows() == [(first,)]
