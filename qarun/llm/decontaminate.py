@@ -16,6 +16,10 @@ SUBSTITUTED = 2
 MIN_WORDS = 5
 # Seeds of the benchmark that one block holds: a table of some 50 MB in each executor.
 BLOCK_SEEDS = 2_000_000
+# Places of a text that are looked at together; what they hit is in memory at once.
+PIECE_WORDS = 2_048
+# Words that a window can reach to either side of a hit.
+REACH = WINDOW - 1
 
 
 # Fixed value: scripts written without spaces between words, such as Thai, Lao, Burmese, Khmer,
@@ -52,6 +56,53 @@ def _seeds(words: Column, at: Column, masks: list[tuple[int, ...]]) -> Column:
     )
 
 
+def _pieces(docs: DataFrame, id: str, text: str, piece_words: int) -> DataFrame:
+    """``doc_id, text_hash, piece``: the words of every text, ``piece_words`` in a row.
+
+    A piece also has the ``REACH`` words before and after it; words before a text are null.
+    """
+    ahead = F.array_repeat(F.lit(None).cast("string"), REACH)
+    starts = F.when(
+        F.size("words") >= REACH + MIN_WORDS,
+        F.sequence(F.lit(1), F.size("words") - REACH, F.lit(piece_words)),
+    )
+    pieces = F.transform(starts, lambda at: F.slice("words", at, F.lit(piece_words + 2 * REACH)))
+    return docs.select(
+        F.col(id).alias("doc_id"),
+        F.xxhash64(as_text(text)).alias("text_hash"),
+        F.concat(ahead, words_of(as_text(text))).alias("words"),
+    ).select("doc_id", "text_hash", F.explode(pieces).alias("piece"))
+
+
+def _hits(pieces: DataFrame, seeds: DataFrame, masks: list, piece_words: int) -> DataFrame:
+    """``doc_id, text_hash, around, mask``: where ``mask`` on a text gives one of ``seeds``.
+
+    ``around`` has the word there in the middle and at most ``REACH`` to either side. A row has
+    no more of the text, as all rows that one piece gives are in memory at once.
+    """
+    places = F.sequence(
+        F.lit(REACH), F.least(F.lit(piece_words) + REACH, F.size("piece")) - F.lit(1)
+    )
+    return (
+        pieces.select("doc_id", "text_hash", "piece", F.explode(places).alias("at"))
+        .select(
+            "doc_id",
+            "text_hash",
+            "piece",
+            "at",
+            F.posexplode(_seeds(F.col("piece"), F.col("at"), masks)).alias("mask", "seed"),
+        )
+        .filter(F.col("seed").isNotNull())
+        .join(F.broadcast(seeds), "seed", "left_semi")
+        .select(
+            "doc_id",
+            "text_hash",
+            F.slice("piece", F.col("at") - REACH + 1, F.lit(2 * REACH + 1)).alias("around"),
+            "mask",
+        )
+    )
+
+
 def _items(benchmark: DataFrame, item_id: str, item_text: str) -> DataFrame:
     """Distinct items of at least ``MIN_WORDS`` words."""
     words = words_of(as_text(item_text)).alias("item")
@@ -97,7 +148,9 @@ class Contamination:
     ``window, item_id`` for them, as many rows as there are items to a distinct window.
     """
 
-    def __init__(self, docs, benchmark, id, text, item_id, item_text, block_seeds):
+    def __init__(
+        self, docs, benchmark, id, text, item_id, item_text, block_seeds, piece_words=PIECE_WORDS
+    ):
         kept = Kept(docs.sparkSession)
         items = kept.keep(_items(benchmark, item_id, item_text), "items")
         item_windows = kept.keep(_item_windows(items), "item-windows")
@@ -121,37 +174,22 @@ class Contamination:
         )
         blocks = max(1, -(-seeds.count() // block_seeds))
 
-        places = F.when(F.size("words") >= MIN_WORDS, F.sequence(F.lit(0), F.size("words") - 1))
-        probes = (
-            docs.select(
-                F.col(id).alias("doc_id"),
-                F.xxhash64(as_text(text)).alias("text_hash"),
-                words_of(as_text(text)).alias("words"),
-            )
-            .select("doc_id", "text_hash", "words", F.explode(places).alias("at"))
-            .select(
-                "doc_id",
-                "text_hash",
-                "words",
-                "at",
-                F.posexplode(_seeds(F.col("words"), F.col("at"), masks)).alias("mask", "seed"),
-            )
-            .filter(F.col("seed").isNotNull())
-        )
+        pieces = _pieces(docs, id, text, piece_words)
         found = None
         for block in range(blocks):
             part = seeds.filter(F.pmod(F.xxhash64("seed", F.lit("block")), F.lit(blocks)) == block)
-            hits = probes.join(F.broadcast(part), "seed", "left_semi")
+            hits = _hits(pieces, part, masks, piece_words)
             found = hits if found is None else found.unionByName(hits)
 
         # The windows that a seed can lie in; words beyond the ends of a text are null.
         size = F.get(lengths, "mask")
-        start = F.explode(F.sequence(F.col("at") - (size - F.get(spans, "mask")), F.col("at")))
+        first = F.lit(REACH) - (size - F.get(spans, "mask"))
+        start = F.explode(F.sequence(first, F.lit(REACH)))
         reach = F.sequence(F.col("start"), F.col("start") + F.col("size") - 1)
-        inside = F.transform(reach, lambda i: F.when(i >= 0, F.get("words", i)))
+        inside = F.transform(reach, lambda i: F.get("around", i))
         missing = F.size(F.filter("window", lambda w: w.isNull()))
         self.windows = kept.keep(
-            found.select("doc_id", "text_hash", "words", size.alias("size"), start.alias("start"))
+            found.select("doc_id", "text_hash", "around", size.alias("size"), start.alias("start"))
             .select("doc_id", "text_hash", inside.alias("window"))
             .filter(missing <= SUBSTITUTED)
             .distinct(),
@@ -215,7 +253,8 @@ def contaminated(
 
     ``text_hash`` (xxhash64 of the text) tells rows with the same or a null id apart. Null and
     empty texts hold nothing, null or repeated items are no special case, and empty tables
-    give no rows. Other columns are not read. Long texts are read whole.
+    give no rows. Other columns are not read. Long texts are read whole and looked at in pieces of
+    ``PIECE_WORDS``, so memory follows the length of a text and not its hits times its length.
 
     The distinct seeds of the benchmark, eight bytes each, are cut into blocks of about
     ``block_seeds``. A block is broadcast and meets the seeds of all documents in the scan, so

@@ -93,6 +93,43 @@ def test_holding_is_the_same_without_items(spark):
     assert sorted(map(tuple, holding(table, bench, block_seeds=9).collect())) == want and len(want) >= 4
 
 
+def test_hits_of_a_long_text_carry_no_text(spark):
+    """Each of 60,000 words is hit; with the whole text beside each hit that is over 50 GB."""
+    rng = random.Random(5)
+    item = words(rng, 12)
+    text = " ".join([item] * 5_000)
+    bench = spark.createDataFrame([(7, item)], "item_id long, text string")
+    found = contaminated(docs(spark, [text, "rain", f"{words(rng, 9_000)} {item}"]), bench)
+    assert sorted((r.doc_id, list(r.item_ids)) for r in found.collect()) == [(0, [7]), (2, [7])]
+
+
+def test_pieces_of_any_length_find_the_same(spark):
+    rng = random.Random(8)
+    items = [words(rng, n, 50) for n in (20, 12, 11, 7, 5)]
+    texts = [f"{words(rng, n, 50)} {item} {words(rng, 15, 50)}" for n in range(14) for item in items]
+    texts += [" ".join(items[0].split()[:10]), " ".join(items[0].split()[-10:]), *items, "w1 w2 w3 w4", None]
+    # Two words swapped, so windows at the ends of an item and of a text count as well.
+    texts += [" ".join("other" if i in (3, 8) else w for i, w in enumerate(t.split())) for t in texts[:40]]
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    table = docs(spark, texts)
+
+    def of(piece_words):
+        seen = Contamination(table, bench, "doc_id", "text", "item_id", "text", 500_000, piece_words)
+        rows = seen.windows.join(seen.links, "window").collect()
+        return {(r.doc_id, r.text_hash, tuple(r.window), r.item_id) for r in rows}
+
+    whole = of(10_000)
+    want = {
+        (i, j)
+        for i, text in enumerate(texts)
+        for j, item in enumerate(items)
+        if holds((text or "").split(), item.split())
+    }
+    assert {(id, item_id) for id, _, _, item_id in whole} == want
+    for piece_words in (1, 5, 13):
+        assert of(piece_words) == whole
+
+
 def test_null_ids_and_empty_tables(spark):
     item = "one two three four five six seven eight nine ten eleven twelve thirteen"
     bench = spark.createDataFrame([(1, item)], "item_id long, text string")
