@@ -15,6 +15,7 @@ from qarun.llm.decontaminate import (
     without_contaminated,
     words_of,
 )
+from qarun.llm.stages import without_passages
 from tests.llm.helpers import docs, words
 
 
@@ -103,6 +104,19 @@ def test_hits_of_a_long_text_carry_no_text(spark):
     assert sorted((r.doc_id, list(r.item_ids)) for r in found.collect()) == [(0, [7]), (2, [7])]
 
 
+def test_the_stage_takes_long_texts_full_of_passages(spark):
+    """As above, for the documents that stay: a passage of 12 words that three words keep apart."""
+    rng = random.Random(6)
+    item = words(rng, 12)
+    apart = " ".join(w if i % 4 else "other" for i, w in enumerate(item.split()))
+    texts = [" ".join([item] * 5_000), " ".join([apart, words(rng, 12)] * 3_000), None]
+    bench = spark.createDataFrame([(7, item)], "item_id long, text string")
+    table = docs(spark, texts)
+    left = without_passages(table, bench)
+    assert left.columns == table.columns
+    assert {r.doc_id: r.text for r in left.collect()} == dict(enumerate(texts[1:], 1))
+
+
 def test_pieces_of_any_length_find_the_same(spark):
     rng = random.Random(8)
     items = [words(rng, n, 50) for n in (20, 12, 11, 7, 5)]
